@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import substring_dedup
+from quarryline.llm import decontaminate, quality_classifier, quality_rules, secret_scan, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": secret_scan.op1_secret_scan,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+    "op7_quality_classifier": quality_classifier.op7_quality_classifier,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 
 SQL: dict[str, str] = {
+    "op2_decontaminate": decontaminate.SQL_OP2,
     "op6_substring_dedup": substring_dedup.SQL_OP6,
 }
