@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import decontaminate, quality_classifier, quality_rules, secret_scan, substring_dedup
+from quarryline.llm import decontaminate, html_extract, language_id, quality_classifier, quality_rules, secret_scan, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op4_language_id": language_id.op4_language_id,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
+    "op8_html_extract": html_extract.op8_html_extract,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 
