@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import decontaminate, html_extract, language_id, quality_classifier, quality_rules, secret_scan, substring_dedup, toxicity
+from quarryline.llm import decontaminate, html_extract, language_id, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_sentencepiece": sentencepiece_codec.op3_sentencepiece,
     "op4_language_id": language_id.op4_language_id,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
