@@ -171,7 +171,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = map_arrow(held.select("doc_id", "text", "grams"), _windows(window), "doc_id long, h1 array<long>, h2 array<int>")
     found = found.select("doc_id", F.inline(F.arrays_zip("h1", "h2")))
     owner = shared_table(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").drop("last"))
-    foreign = found.join(owner, ["h1", "h2"]).filter("doc_id > owner").groupBy("doc_id").agg(F.collect_list("h1").alias("foreign"))
+    foreign = shared_table(found.join(owner, ["h1", "h2"]).filter("doc_id > owner").groupBy("doc_id").agg(F.collect_list("h1").alias("foreign")))
     cut = map_arrow(held.select("doc_id", "text_key", "text").join(foreign, "doc_id", "left"), _remove(window), "doc_id long, text_key string, n_removed long, kept_sha256 string, removed array<int>")
 
     copies = sketch.select("doc_id", "text_key", "n_words", "all_sha256").join(first.select("text_key", F.col("doc_id").alias("head")), "text_key")
