@@ -143,6 +143,25 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     return whole.select("doc_id", "n_words", *(F.when(F.size(c) > 0, united(c)).otherwise(F.col(c)).alias(c) for c in ("runs", "spans")), "items")
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` without any benchmark window, with all their columns."""
+    names = docs.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def keep(block: list[tuple[object, str]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = build(block, window)
+            for b in batches:
+                mask = pa.array([not find(automaton, normalise(t))[1] for t in b.column("__text").to_pylist()], pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column(n).filter(mask) for n in names], names=names)
+
+        return run
+
+    for block in _blocks((tuple(r) for r in benchmark.select("item_id", "text").filter("text IS NOT NULL").toLocalIterator())):
+        docs = map_arrow(docs.withColumn("__text", F.col(text_col).cast("string")), keep(block), schema)
+    return docs
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = benchmark_hits(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
     n_hit = F.expr("aggregate(transform(runs, (x, i) -> IF(i % 2 = 0, -x, x)), 0L, (a, x) -> a + x)")

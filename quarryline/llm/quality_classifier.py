@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import map_arrow, shared_table, table
-from quarryline.llm.docstats import COUNTS, document_stats, ratios
+from quarryline.llm.docstats import COUNTS, document_stats, ratios, stats_of
 
 FEATURES = 256
 BANDWIDTH = 2.0
 RIDGE = 1e-3
+#: Fold that is never learned from.
+HELD_OUT = "pmod(crc32(cast(doc_id AS string)), 3) = 1"
 #: Bound of the labelled rows that are fitted; the rows of least hash are taken.
 MAX_TRAIN_ROWS = 40_000
 #: One of so many training rows calibrates.
@@ -111,18 +113,39 @@ def fit(rows: DataFrame, features: int = FEATURES, seed: int = 7) -> Model:
     return model
 
 
-def training_rows(stats: DataFrame, labels: DataFrame, label_col: str, held_out: str, bound: int) -> DataFrame:
-    """Labelled rows outside the held-out fold, at most about ``bound`` of them, by least hash."""
+def marked_rows(labels: DataFrame, label_col: str, held_out: str, bound: int) -> DataFrame:
+    """(doc_id, label) of about ``bound`` labelled rows outside the held-out fold at most, by least hash."""
     marked = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
     marked = marked.filter(f"NOT ({held_out})")
     n = marked.count()
     share = min(1.0, bound / max(n, 1))
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003))
-    marked = marked.filter(pick < int(share * 1_000_003)) if share < 1 else marked
-    return stats.join(marked, "doc_id").withColumn("calibrate", F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(CALIBRATE_PART)) == 0)
+    return marked.filter(pick < int(share * 1_000_003)) if share < 1 else marked
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: str = "pmod(crc32(cast(doc_id AS string)), 3) = 1", max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: str = HELD_OUT, max_train_rows: int = MAX_TRAIN_ROWS) -> Model:
+    """The model of ``labels.quality``; the labelled rows it learns from are bounded, and so is what is broadcast to find them."""
+    marked = marked_rows(labels, "quality", held_out, max_train_rows)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "doc_id")
+    stats = document_stats(rows, "doc_id", "text", "label").withColumn("calibrate", F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(CALIBRATE_PART)) == 0)
+    return fit(shared_table(stats.select(*COUNTS, "label", "calibrate")))
+
+
+def score_column(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with the score of ``text_col``; a column named ``score_col`` is replaced, others stay."""
+    rest = docs.drop(score_col)
+    names = rest.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = stats_of(b.column("__text"))
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(model.score(ratios(s)), pa.float64())], names=[*names, score_col])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields), f"`{score_col}` double"])
+    return map_arrow(rest.withColumn("__text", F.col(text_col).cast("string")), run, schema)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: str = HELD_OUT, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
     Learns ``labels.quality`` from rows outside ``held_out``.  Only counts of
@@ -130,14 +153,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     without words.  Without labels every score is 0.5.  An id with several
     labels takes the largest.
     """
-    stats = shared_table(document_stats(docs, id_col, text_col))
-    model = fit(training_rows(stats, labels, "quality", held_out, max_train_rows).select(*COUNTS, "label", "calibrate"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(_features(b)), pa.float64())], names=["doc_id", "score"])
-
-    scored = map_arrow(stats, run, "doc_id long, score double")
+    model = learn(docs, labels, id_col, text_col, held_out, max_train_rows)
+    scored = score_column(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__t")), model, "__t")
     return scored.select("doc_id", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -277,9 +277,8 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
 
-def _codec(shared) -> Codec:
-    """One codec for each worker process and vocabulary."""
-    key = shared.id
+def _codec(shared, key: str) -> Codec:
+    """One codec for each worker process and model."""
     held = globals().setdefault("_CODECS", {})
     if key not in held:
         held.clear()
@@ -298,7 +297,7 @@ def encode_column(docs: DataFrame, text_col: str = "text", ids_col: str = "token
     names = rest.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
+        codec = _codec(shared, model)
         for b in batches:
             ids = codec.encode(b.column("__text").to_pylist())
             flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
@@ -316,7 +315,7 @@ def decode_column(docs: DataFrame, ids_col: str = "token_ids", text_col: str = "
     names = rest.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
+        codec = _codec(shared, model)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array([codec.decode(np.array(x or [], np.int64)) for x in b.column(ids_col).to_pylist()], pa.string())], names=[*names, text_col])
 
@@ -324,9 +323,9 @@ def decode_column(docs: DataFrame, ids_col: str = "token_ids", text_col: str = "
     return map_arrow(rest, run, schema)
 
 
-def _digest(shared):
+def _digest(shared, model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
+        codec = _codec(shared, model)
         for b in batches:
             texts = b.column("text").to_pylist()
             ids = codec.encode(texts)
@@ -347,4 +346,4 @@ def _digest(shared):
 def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
     """Every text encoded and decoded: doc_id, n_tokens, n_byte_tokens, ids_sha256 (of little-endian 32-bit ids), round_trip."""
     shared = spark.sparkContext.broadcast(_loaded(model))
-    return map_arrow(table(spark, sf_dir, "documents", "doc_id", "text"), _digest(shared), "doc_id long, n_tokens long, n_byte_tokens long, ids_sha256 string, round_trip boolean")
+    return map_arrow(table(spark, sf_dir, "documents", "doc_id", "text"), _digest(shared, model), "doc_id long, n_tokens long, n_byte_tokens long, ids_sha256 string, round_trip boolean")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import map_arrow, shared_table, table
+from quarryline.llm.quality_classifier import marked_rows
 
 #: Bound of the labelled rows that are learned from; the rows of least hash are taken.
 MAX_TRAIN_ROWS = 20_000
@@ -208,12 +209,9 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, held_out: str, bound: int) -> DataFrame:
-    """text and label of at most about ``bound`` labelled rows outside the held-out fold, by least hash."""
-    marked = labels.filter("toxic IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label")).filter(f"NOT ({held_out})")
-    n = marked.count()
-    cut = int(1_000_003 * min(1.0, bound / max(n, 1)))
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < cut
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(pick).join(marked.filter(pick), "doc_id").select("text", "label")
+    """text and label of the bounded rows to learn from."""
+    marked = marked_rows(labels, "toxic", held_out, bound)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marked), "doc_id").select("text", "label")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
