@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import decontaminate, html_extract, language_id, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, toxicity
+from quarryline.llm import decontaminate, html_extract, language_id, minhash, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_html_extract": html_extract.op8_html_extract,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_minhash": minhash.op10_minhash,
 }
 
 SQL: dict[str, str] = {
