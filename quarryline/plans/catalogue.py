@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quarryline.plans import chunks, datasets, relational, vectors  # noqa: F401  they register their queries
+from quarryline.plans.registry import QUERIES, SQL
+from quarryline.plans.vectors import flagship
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL", "flagship"]
