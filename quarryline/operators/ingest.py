@@ -14,7 +14,7 @@ META = ("ticker", "filing_type", "fiscal_year", "period_of_report", "accession_n
 
 def read_submissions(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of every submission under ``root``; fails if there are none."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "full-submission.txt").text(root)
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "full-submission.txt").text(root, wholetext=True)
     df = df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")).filter(F.col("path").contains("/10-K/"))
     if df.isEmpty():
         raise ValueError(f"no submissions under {root}")

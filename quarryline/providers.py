@@ -83,6 +83,7 @@ def embed_column(df: DataFrame, embedder: Embedder, text_col: str = "text", out_
     """``df`` with a vector for each text; rows go to the model in slices."""
     ship(df.sparkSession)
     rest = df.drop(out_col)
+    names = rest.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields), f"`{out_col}` array<float>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +91,7 @@ def embed_column(df: DataFrame, embedder: Embedder, text_col: str = "text", out_
             texts = [t or "" for t in b.column(text_col).to_pylist()]
             v = np.concatenate([embedder.embed(texts[i : i + slice_rows]) for i in range(0, len(texts), slice_rows)]) if texts else np.zeros((0, embedder.dimension))
             vec = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * embedder.dimension, pa.int32()), pa.array(v.ravel(), pa.float32()))
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in rest.columns), vec], names=[*rest.columns, out_col])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), vec], names=[*names, out_col])
 
     return rest.mapInArrow(run, schema)
 
@@ -99,6 +100,7 @@ def label_column(df: DataFrame, labeler: Labeler, query_col: str = "query", out_
     """``df`` with the labeler's raw output; null after ``retries`` failed retries, so that one row never fails the job."""
     ship(df.sparkSession)
     rest = df.drop(out_col)
+    names = rest.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields), f"`{out_col}` string"])
 
     def once(q: str) -> str | None:
@@ -112,7 +114,7 @@ def label_column(df: DataFrame, labeler: Labeler, query_col: str = "query", out_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in rest.columns), pa.array([once(q or "") for q in b.column(query_col).to_pylist()], pa.string())], names=[*rest.columns, out_col])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array([once(q or "") for q in b.column(query_col).to_pylist()], pa.string())], names=[*names, out_col])
 
     return rest.mapInArrow(run, schema)
 

@@ -39,5 +39,6 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "quarry
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
