@@ -43,8 +43,8 @@ HINT = re.compile(
 )
 ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 #: Weights while no labelled page is known: words for, tags against.
-DEFAULT = {"word": 1.0, "boiler": -3.0}
-DEFAULT_TAG = -2.0
+DEFAULT = {"word": 1.0, "boiler": -1.0}
+DEFAULT_TAG = -0.3
 
 
 def _marked(name: str, attrs: str) -> bool:
@@ -128,7 +128,7 @@ def weights_of(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     for k in {k for k, _ in counts}:
         v = np.log((counts.get((k, True), 0) + 0.5) / inside) - np.log((counts.get((k, False), 0) + 0.5) / outside)
         out[k] = float(np.clip(v, -6, 6 if k == "word" else -0.1))
-    out["word"], out["boiler"] = max(out.get("word", 1.0), 0.5), min(out.get("boiler", -3.0), -1.0)
+    out["word"], out["boiler"] = max(out.get("word", 1.0), 0.5), min(out.get("boiler", -1.0), -1.0)
     return out
 
 
