@@ -9,7 +9,9 @@ counts all pairs of stratum and rule (Bonferroni).  Within a pair cutoffs are
 tested from the loosest on and the first failure ends it (fixed-sequence
 testing), which needs no further correction.  So with probability ``1 - delta``
 no stratum loses more than ``alpha`` of its good documents to the rules
-together.  A stratum with too few labels gets no cutoff.
+together.  Of the cutoffs that hold, the loosest one that still catches
+nearly all (``CATCH``) of the labelled junk that the strictest would is used; a
+rule that catches none, and a stratum with too few labels, gets no cutoff.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ RULES = {
 GRID = tuple(i / 40 for i in range(40))
 ALPHA = 0.05
 DELTA = 0.05
+CATCH = 0.98
 
 
 def binomial_upper(k: int, n: int, delta: float) -> float:
@@ -57,27 +60,27 @@ def binomial_upper(k: int, n: int, delta: float) -> float:
     return hi
 
 
-def choose_cutoffs(counts: list[tuple[str, str, int, int]], goods: dict[str, int], alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], float]:
-    """Strictest cutoff that holds for each (stratum, rule); ``counts``: stratum, rule, bin, good documents in that bin.
+def choose_cutoffs(counts: list[tuple[str, str, int, int, int]], alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], float]:
+    """Cutoff for each (stratum, rule) that has one; ``counts``: stratum, rule, bin, good and bad documents in that bin.
 
     Bin ``b`` holds the documents whose statistic exceeds exactly the grid's first ``b`` points.
     """
-    tests = max(1, len(goods) * len(RULES))
-    out = {}
-    by: dict[tuple[str, str], dict[int, int]] = {}
-    for stratum, rule, b, n in counts:
-        by.setdefault((stratum, rule), {})[b] = n
-    for stratum, total in goods.items():
-        for rule in RULES:
-            lost, best = 0, None
-            bins = by.get((stratum, rule), {})
-            for g in reversed(range(len(GRID))):
-                lost += bins.get(g + 1, 0)
-                if lost / max(total, 1) > alpha or binomial_upper(lost, total, delta / tests) > alpha / len(RULES):
-                    break
-                best = GRID[g]
-            if best is not None:
-                out[stratum, rule] = best
+    by: dict[tuple[str, str], dict[int, tuple[int, int]]] = {}
+    for stratum, rule, b, good, bad in counts:
+        by.setdefault((stratum, rule), {})[b] = (good, bad)
+    tests, out = max(1, len({s for s, _ in by}) * len(RULES)), {}
+    for key, bins in by.items():
+        total = sum(g for g, _ in bins.values())
+        lost = caught = 0
+        held: list[tuple[float, int]] = []
+        for g in reversed(range(len(GRID))):
+            good, bad = bins.get(g + 1, (0, 0))
+            lost, caught = lost + good, caught + bad
+            if lost > alpha * total or binomial_upper(lost, total, delta / tests) > alpha / len(RULES):
+                break
+            held.append((GRID[g], caught))
+        if held and held[-1][1]:
+            out[key] = next(c for c, n in held if n >= CATCH * held[-1][1])
     return out
 
 
@@ -100,15 +103,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     stats = document_stats(docs.withColumn("__s", F.coalesce(F.col(stratum_col).cast("string"), F.lit("\x00none"))), id_col, text_col, "__s")
     stats = shared_table(stats.withColumnRenamed("__s", "stratum"))
-    good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    held = stats.filter(~base_failed()).join(good, "doc_id", "left_semi")
-    stacked = held.select("stratum", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), _bin(F.expr(e)).alias("bin")) for r, e in RULES.items()))).alias("x"))
-    rows = [tuple(r) for r in stacked.groupBy("stratum", "x.rule", "x.bin").count().collect()]  # strata x rules x grid rows at most
-    goods: dict[str, int] = {}
-    for s, r, _, n in rows:
-        if r == next(iter(RULES)):
-            goods[s] = goods.get(s, 0) + n
-    cut = choose_cutoffs(rows, goods, alpha, delta)
+    label = labels.filter("quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("__good"))
+    held = stats.filter(~base_failed()).join(label, "doc_id")
+    stacked = held.select("stratum", "__good", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), _bin(F.expr(e)).alias("bin")) for r, e in RULES.items()))).alias("x"))
+    tally = stacked.groupBy("stratum", "x.rule", "x.bin").agg(F.count_if(F.col("__good") == 1).alias("good"), F.count_if(F.col("__good") == 0).alias("bad"))
+    cut = choose_cutoffs([tuple(r) for r in tally.collect()], alpha, delta)  # strata x rules x grid rows at most
     failing = []
     for rule, expr in RULES.items():
         mine = {s: c for (s, r), c in cut.items() if r == rule}

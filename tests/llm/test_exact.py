@@ -209,23 +209,28 @@ def test_binomial_bound():
 
 
 def test_cutoffs_hold():
-    rows = [("s", r, b, n) for r in quality_rules.RULES for b, n in ((0, 20_000), (20, 3))]
-    cut = quality_rules.choose_cutoffs(rows, {"s": 20_003})
-    g = len(quality_rules.GRID)
-    for c in cut.values():
-        lost = 3 if round(c * 40) < 20 else 0
-        assert quality_rules.binomial_upper(lost, 20_003, quality_rules.DELTA / 8) <= quality_rules.ALPHA / 8
-    assert set(cut) == {("s", r) for r in quality_rules.RULES} and all(c == 0.0 for c in cut.values()) and g == 40
-    assert quality_rules.choose_cutoffs(rows, {"s": 100}) == {}
+    rows = [("s", r, b, n, m) for r in quality_rules.RULES for b, n, m in ((0, 20_000, 5), (20, 3, 0), (30, 0, 50), (40, 0, 50))]
+    cut = quality_rules.choose_cutoffs(rows)
+    assert set(cut) == {("s", r) for r in quality_rules.RULES} and set(cut.values()) == {29 / 40}
+    few = [(s, r, b, n // 200, m) for s, r, b, n, m in rows]
+    assert quality_rules.choose_cutoffs(few) == {}
+    assert quality_rules.choose_cutoffs([(s, r, b, n, 0) for s, r, b, n, m in rows]) == {}
+    rng = random.Random(6)
+    for _ in range(20):
+        some = [("s", "pipes", b, rng.randrange(400), rng.randrange(9)) for b in range(41)]
+        for (_, _), c in quality_rules.choose_cutoffs(some).items():
+            lost, total = sum(x[3] for x in some if x[2] > c * 40), sum(x[3] for x in some)
+            assert quality_rules.binomial_upper(lost, total, quality_rules.DELTA / 8) <= quality_rules.ALPHA / 8
 
 
 def test_quality_rules(spark):
     good = "word " + " ".join(f"w{i}" for i in range(40))
     texts = [*STATS, *[f"{good} {i}" for i in range(3000)], " | ".join(f"x{i}" for i in range(60))]
-    docs = _docs(spark, texts)
-    labels = spark.createDataFrame([(i + len(STATS), 1) for i in range(3000)] + [(10**6, 1), (None, 1), (1, None)], "doc_id long, quality int")
+    junk = " | ".join(f"x{i}" for i in range(60))
+    docs = _docs(spark, [*texts, junk])
+    labels = spark.createDataFrame([(i + len(STATS), 1) for i in range(3000)] + [(len(texts) - 1, 0), (10**6, 1), (None, 1), (1, None)], "doc_id long, quality int")
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs, labels).collect()}
-    assert len(got) == len(texts) and not got[len(texts) - 1]["kept"] and "pipes" in got[len(texts) - 1]["failed_rules"]
+    assert len(got) == len(texts) + 1 and not got[len(texts)]["kept"] and not got[len(texts) - 1]["kept"] and "pipes" in got[len(texts) - 1]["failed_rules"]
     assert all(got[i + len(STATS)]["kept"] for i in range(3000)) and got[0]["base_failed"] and not got[4]["kept"]
     none = quality_rules.quality_rules(docs, labels.limit(0)).filter("kept = base_failed").count()
     assert none == 0 and quality_rules.quality_rules(docs.limit(0), labels).count() == 0
