@@ -93,3 +93,11 @@ def research_plan(directives: DataFrame) -> DataFrame:
     """One row for each company and year a research directive names: query_id, ticker, fiscal_year."""
     years = F.when(F.size("params.year_range") == 2, F.sequence(F.get("params.year_range", F.lit(0)), F.get("params.year_range", F.lit(1)))).otherwise(F.array("params.year"))
     return directives.select("query_id", F.explode("params.companies").alias("company"), years.alias("years")).select("query_id", X.normalize_ticker("company").alias("ticker"), F.explode("years").alias("fiscal_year"))
+
+
+def chat_messages(query: Column | str, system: str, shots: list[tuple[str, str]] = ()) -> Column:
+    """array<struct<role, content>>: system text, worked examples as turns, then the query."""
+    turn = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    q = F.col(query) if isinstance(query, str) else query
+    examples = [turn(r, F.lit(t)) for u, a in shots for r, t in (("user", u), ("assistant", a))]
+    return F.array(turn("system", F.lit(system)), *examples, turn("user", q))

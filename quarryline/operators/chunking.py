@@ -121,3 +121,9 @@ def size_stats(chunks: DataFrame, target: int = TARGET, *keys: str) -> DataFrame
 def dense(chunks: DataFrame, sections: tuple[str, ...], least: int = 80, section_col: str = "section") -> DataFrame:
     """Chunks of these sections with enough tokens; both conditions reach the scan."""
     return chunks.filter(F.col(section_col).isin(*sections) & (F.col("n_tokens") >= least))
+
+
+def additivity_gap(text: str, delimiter: str = "\n\n", count: TokenCounter = word_count) -> int:
+    """Tokens of the whole beyond the sum of its parts: 0 for a counter that adds up across joins."""
+    parts = [p.strip() for p in text.split(delimiter) if p.strip()]
+    return count(delimiter.join(parts)) - sum(map(count, parts))

@@ -115,3 +115,9 @@ def duplicate_rates(df: DataFrame, by: str, text_col: str) -> DataFrame:
     groups = sums(per.groupBy(by)).select(by, "n_rows", "n_unique", rate)
     total = groups.agg(F.sum("n_rows").alias("n_rows"), F.sum("n_unique").alias("n_unique"))
     return groups.unionByName(total.select(F.lit(None).cast(df.schema[by].dataType).alias(by), "n_rows", "n_unique", rate))
+
+
+def quarantine(df: DataFrame, codes: tuple[str, ...], code_col: str = "predicted_code") -> tuple[DataFrame, DataFrame]:
+    """(rows with a code of the taxonomy, the others): parse failures must not become a stratum of their own."""
+    ok = F.coalesce(F.col(code_col).isin(*codes), F.lit(False))
+    return df.filter(ok), df.filter(~ok)

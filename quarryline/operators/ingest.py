@@ -77,3 +77,10 @@ def chunk_corpus(spark: SparkSession, root: str, corpus: str, force: bool = Fals
     after = spark.read.parquet(corpus).select("accession_number").distinct().count()
     failed, total = errors.count(), subs.count()
     return {"processed": after - before, "skipped": total - failed - (after - before), "errors": failed}
+
+
+def accession_mismatches(submissions: DataFrame) -> DataFrame:
+    """path, accession_number and header_accession of filings whose folder and header disagree or are malformed."""
+    head = F.nullif(F.regexp_extract(F.substring("content", 1, 4000), r"(?m)^ACCESSION NUMBER:\s*(\S+)", 1), F.lit(""))
+    df = submissions.select("path", X.accession_from_path("path").alias("accession_number"), head.alias("header_accession"))
+    return df.filter(~F.col("accession_number").eqNullSafe(F.col("header_accession")) | ~F.coalesce(X.valid_accession("accession_number"), F.lit(False)))

@@ -38,3 +38,21 @@ def hit_mrr(ranks: DataFrame) -> DataFrame:
         F.round(F.coalesce(F.avg(hit.cast("int")), F.lit(0.0)), 6).alias("hit_rate"),
         F.round(F.coalesce(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), F.lit(0.0)), 6).alias("mrr"),
     )
+
+
+def near_fiscal_year(year: int, slack: int = 1, period_col: str = "period_of_report"):
+    """Filings whose period ends in the year or up to ``slack`` years beside it; a range the scan can use."""
+    return F.col(period_col).between(f"{year - slack}0101", f"{year + slack}1231")
+
+
+def research(corpus: DataFrame, plan: DataFrame, vectors: DataFrame, k: int = 3, id_col: str = "vec_id", key: str = "ticker") -> DataFrame:
+    """The k best rows for every (query, company, year) of a research plan, with the parts of a query side by side.
+
+    ``plan``: query_id, ticker, fiscal_year; ``vectors``: query_id, query_vec.  Each part is a query of its own
+    against the rows of its company and year.
+    """
+    whole = F.concat_ws("|", F.col(key), F.col("fiscal_year").cast("string"))
+    parts = plan.distinct().withColumn("part", whole).withColumn("part_id", F.xxhash64("query_id", "part"))
+    asked = parts.join(vectors, "query_id").select(F.col("part_id").alias("query_id"), "query_vec", F.col("part").alias("__part"))
+    hits = batched_search(corpus.withColumn("__part", whole), asked, k, "__part", id_col)
+    return hits.withColumnRenamed("query_id", "part_id").join(parts, "part_id").select("query_id", key, "fiscal_year", id_col, "score", "rank")
