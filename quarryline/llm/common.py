@@ -33,18 +33,6 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage, into the shared checkpoint folder.
-
-    A folder of our own is set only where the session names none, as in tests.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarryline-"))
-    return df.checkpoint(eager=True)
-
-
 def shared_table(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back."""
     spark = df.sparkSession
@@ -56,11 +44,3 @@ def shared_table(df: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/quarryline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
-
-
-def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name] for f in schema], schema=schema)
-
-
-def binary(rows: list) -> pa.Array:
-    return pa.array([None if x is None else x.tobytes() for x in rows], type=pa.binary())

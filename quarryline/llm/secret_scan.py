@@ -9,7 +9,9 @@ at least total cost, and values of high cost are spans of kind ``guess``.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -135,10 +137,12 @@ def guess_spans(text: str, base: list[tuple[int, int, str, float]], least: float
     low, out = text.lower(), []
     if not any(h in low for h in _HINTS):
         return out
+    starts, reach = [s[0] for s in base], list(itertools.accumulate((s[1] for s in base), max))
     for m in CONTEXT.finditer(text):
         a, b = next(m.span(i) for i in (1, 2, 3) if m[i] is not None)
         value = text[a:b]
-        if b - a < MIN_VALUE or not _mixed(value) or any(a < e and s < b for s, e, _, _ in base):
+        before = bisect.bisect_left(starts, b)  # base spans that start before the value ends
+        if b - a < MIN_VALUE or not _mixed(value) or before and reach[before - 1] > a:
             continue
         cost = log_guesses(value)
         if cost >= least:

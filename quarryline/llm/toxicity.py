@@ -9,6 +9,8 @@ curve are learned from labelled rows.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -82,7 +84,12 @@ def hits(a: ahocorasick.Automaton, body: bytes) -> list[tuple[int, float]]:
             out_of.append((at, end))
         else:
             found[at] = w
-    return [(p, w) for p, w in found.items() if not any(s <= p < e for s, e in out_of)]
+    if not out_of:
+        return list(found.items())
+    out_of.sort()
+    starts, reach = [s for s, _ in out_of], list(itertools.accumulate((e for _, e in out_of), max))
+    inside = lambda p: (i := bisect.bisect_right(starts, p)) > 0 and reach[i - 1] > p
+    return [(p, w) for p, w in found.items() if not inside(p)]
 
 
 def measures(a: ahocorasick.Automaton, body: bytes) -> tuple[float, float]:
