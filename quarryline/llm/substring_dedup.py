@@ -163,16 +163,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     first = shared_table(sketch.groupBy("text_key").agg(F.min("doc_id").alias("doc_id")))
     heads = sketch.filter(f"n_words >= {window}").dropDuplicates(["doc_id", "text_key"]).join(first, ["doc_id", "text_key"], "left_semi")
-    rows = heads.select("doc_id", F.explode("grams").alias("gram"), F.lit(1).alias("n")).unionAll(heads.select("doc_id", F.explode("twice").alias("gram"), F.lit(2).alias("n")))
+    rows = heads.select("doc_id", "text_key", F.explode("grams").alias("gram"), F.lit(1).alias("n")).unionAll(heads.select("doc_id", "text_key", F.explode("twice").alias("gram"), F.lit(2).alias("n")))
     again = shared_table(rows.groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").select("gram"))
-    wanted = rows.join(again, "gram").groupBy("doc_id").agg(F.collect_list("gram").alias("grams"))
-    held = shared_table(base.join(wanted, "doc_id").join(first, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]))
+    wanted = shared_table(rows.select("doc_id", "text_key", "gram").join(again, "gram").groupBy("doc_id", "text_key").agg(F.collect_list("gram").alias("grams")))
+    held = shared_table(base.join(wanted, ["doc_id", "text_key"]))
 
     found = map_arrow(held.select("doc_id", "text", "grams"), _windows(window), "doc_id long, h1 array<long>, h2 array<int>")
     found = found.select("doc_id", F.inline(F.arrays_zip("h1", "h2")))
     owner = shared_table(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").drop("last"))
     foreign = shared_table(found.join(owner, ["h1", "h2"]).filter("doc_id > owner").groupBy("doc_id").agg(F.collect_list("h1").alias("foreign")))
     cut = map_arrow(held.select("doc_id", "text_key", "text").join(foreign, "doc_id", "left"), _remove(window), "doc_id long, text_key string, n_removed long, kept_sha256 string, removed array<int>")
+    cut = shared_table(cut.dropDuplicates(["doc_id", "text_key"]))
 
     copies = sketch.select("doc_id", "text_key", "n_words", "all_sha256").join(first.select("text_key", F.col("doc_id").alias("head")), "text_key")
     done = copies.join(cut, ["doc_id", "text_key"], "left")
