@@ -3,17 +3,17 @@
 Improved consistent weighted sampling (ICWS) over TF-IDF weighted shingles of
 five words, banded, verified by weighted Jaccard similarity.
 
-* A shingle's weight is its count in the text times
-  ``log(1 + N / max(df, THETA * N))``.  Only shingles in at least ``THETA`` of
-  all N documents weigh less than the cap, and there are at most (mean
-  shingles of a document) / THETA of them at any N, so they can be broadcast.
-  Chunks of documents name candidates (whatever is in half of ``THETA`` of a
-  chunk); the sums keep those that can reach the bound; a second scan counts
-  these exactly.
-* Nearly all shingles have the cap as weight.  A table of ICWS values at that
-  weight turns one sample into a multiplication and a look-up; other weights
-  are computed in full from the same random numbers, so samples agree with
-  probability equal to the weighted Jaccard similarity.
+* A shingle's weight is its count in the text times ``log(1 + N / df)``, where
+  df is the number of the N documents that hold it.  Documents are dealt to
+  chunks by a hash; a chunk sends each of its shingles once, with a count, to
+  the bucket of the shingle's upper bits, and the bucket sends the df of those in
+  two or more documents back to the chunks that hold them.  Any other shingle
+  has a df of 1.  A row is a packed run of shingles, so a shingle in every
+  document costs no more than one entry a chunk.
+* A table of ICWS values at the weight of df 1 turns one sample into a
+  multiplication and a look-up; other weights are computed in full from the
+  same random numbers, so samples agree with probability equal to the weighted
+  Jaccard similarity.
 * First copies of a text only are banded.  Each bucket pairs its members with
   its least one; the pairs that verify are contracted to classes.  Then all
   other pairs of members of one bucket that are still in different classes are
@@ -25,7 +25,7 @@ five words, banded, verified by weighted Jaccard similarity.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,19 +33,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import map_arrow, shared_table, table
+from quarryline.llm.common import map_arrow, shared_table, table, tune
 from quarryline.llm.textcore import U, mix, ngram_hashes, text_chunks, word_bounds, word_hashes
+from quarryline.session import ship
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
-THETA = 0.1
+#: Share of the documents below which document frequencies are taken as equal; 0: every shingle has its own.
+THETA = 0.0
 SEED = 10
 _TABLE_BITS = 20
 #: Share of equal samples below which a pair isn't compared exactly (four deviations below 0.8).
 LIKELY = 0.6
 #: Members that a cell of the grid takes from either side, about.
 CELL = 512
+#: Characters of a chunk of documents and of the shingles of a bucket, about; there are at least PARTS of both.
+PART_CHARS = 1 << 22
+PARTS = 256
 
 
 def _shingles(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -70,28 +75,21 @@ def _shingles(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, n
         yield lo, h[at], np.diff(np.append(at, len(h))), r[at]
 
 
-def _counts(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
+def _pack(h: np.ndarray) -> bytes:
+    """Sorted shingles as bytes: differences, by place of the byte, so that the upper ones compress."""
+    return np.diff(h, prepend=U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles of at least half of THETA of a chunk of documents, with their count there."""
-    held, docs = [], 0
+def _unpack(b: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(b, np.uint8).reshape(8, -1).T.copy().view(U).ravel(), dtype=U)
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        if held:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n >= np.ceil(THETA * docs / 2)
-            yield _counts(h[keep], n[keep])
 
-    for b in batches:
-        for _, h, _, _ in _shingles(b.column("text")):
-            held.append(h)
-        docs += b.num_rows
-        if docs >= 4000:
-            yield from flush()
-            held, docs = [], 0
-    yield from flush()
+def _pack_counts(n: np.ndarray) -> bytes:
+    return n.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpack_counts(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
 
 
 def _lookup(known: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -102,34 +100,48 @@ def _lookup(known: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(known[at] == h, at, -1)
 
 
-def _exact(known: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(known), np.int64)
-        for b in batches:
-            for _, h, _, _ in _shingles(b.column("text")):
-                at = _lookup(known, h)
-                total += np.bincount(at[at >= 0], minlength=len(known))
-        yield _counts(known[total > 0], total[total > 0])
+def _chunk_counts(bits: int):
+    """Shingles of a chunk of documents with the number of these that hold them, a row for each bucket."""
+
+    def run(t: pa.Table) -> pa.Table:
+        held = [h for _, h, _, _ in _shingles(t.column("text"))]
+        h, n = np.unique(np.concatenate([np.zeros(0, U), *held]), return_counts=True)
+        bucket = (h >> U(64 - bits)).astype(np.int64)
+        at = np.flatnonzero(np.diff(bucket, prepend=-1))
+        runs = [slice(a, b) for a, b in zip(at, np.append(at, len(h))[1:], strict=True)]
+        columns = [pa.array(bucket[at]), pa.array([t.column("chunk")[0].as_py()] * len(at), pa.int64()), pa.array([_pack(h[s]) for s in runs], pa.binary()), pa.array([_pack_counts(n[s]) for s in runs], pa.binary())]
+        return pa.table(columns, names=["bucket", "chunk", "h", "n"])
 
     return run
 
 
-def frequent_shingles(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of documents, and the sorted shingles in at least THETA of them with their weights."""
-    n = docs.count()
-    none = (n, np.zeros(0, U), np.zeros(0))
-    if not n:
-        return none
-    collect = lambda df, least: df.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
-    named = collect(map_arrow(docs.select("text"), _candidates, "shingle long, n long"), THETA * n / 2)
-    known = np.sort(named.column("shingle").to_numpy().view(U))
-    if not len(known):
-        return none
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-    out = collect(map_arrow(docs.select("text"), lambda it: _exact(shared.value)(it), "shingle long, n long"), THETA * n)
-    h, df = out.column("shingle").to_numpy().view(U), out.column("n").to_numpy()
+def _bucket_df(t: pa.Table) -> pa.Table:
+    """For each chunk, those of its shingles that two or more documents hold, with their number in all documents."""
+    hs = [_unpack(x) for x in t.column("h").to_pylist()]
+    known, at = np.unique(np.concatenate(hs), return_inverse=True)
+    df = np.bincount(at, np.concatenate([_unpack_counts(x) for x in t.column("n").to_pylist()])).astype(np.int64)[at]
+    rows, lo = [], 0
+    for chunk, h in zip(t.column("chunk").to_pylist(), hs, strict=True):
+        n = df[lo : lo + len(h)]
+        lo += len(h)
+        if (n > 1).any():
+            rows.append((chunk, _pack(h[n > 1]), _pack_counts(n[n > 1])))
+    return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["chunk", "h", "df"])
+
+
+def document_frequencies(base: DataFrame, chars: int) -> DataFrame:
+    """(chunk, h, df): packed runs of the shingles of each chunk of ``base`` (chunk, text) that are in two or more documents."""
+    bits = (max(PARTS, chars // PART_CHARS) - 1).bit_length()
+    counts = base.select("chunk", "text").groupBy("chunk").applyInArrow(_chunk_counts(bits), "bucket long, chunk long, h binary, n binary")
+    return shared_table(counts.groupBy("bucket").applyInArrow(_bucket_df, "chunk long, h binary, df binary"))
+
+
+def _known(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles of a chunk that are in two or more documents, and their number of documents."""
+    h = np.concatenate([np.zeros(0, U), *(_unpack(x) for x in t.column("h").to_pylist())])
+    df = np.concatenate([np.zeros(0, np.uint32), *(_unpack_counts(x) for x in t.column("df").to_pylist())])
     order = np.argsort(h)
-    return n, h[order], np.log1p(n / np.maximum(df[order], THETA * n))
+    return h[order], df[order]
 
 
 @lru_cache(maxsize=1)
@@ -140,17 +152,17 @@ def _random() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rng.gamma(2.0, 1.0, size), np.log(rng.gamma(2.0, 1.0, size)), rng.uniform(0.0, 1.0, size)
 
 
-def _sample_key(slot: np.ndarray, weight: np.ndarray | float) -> np.ndarray:
+def _sample_key(slot: np.ndarray, log_weight: np.ndarray | float) -> np.ndarray:
     """ln a of ICWS as sortable bits in the upper half of a word; equal bits stand for the same step t of one slot."""
     r, ln_c, beta = (x[slot] for x in _random())
-    t = np.floor(np.log(weight) / r + beta)
+    t = np.floor(log_weight / r + beta)
     value = (ln_c - r * (t - beta + 1.0) + 256.0).astype(np.float32)
     return value.view(np.uint32).astype(U) << U(32)
 
 
 @lru_cache(maxsize=2)
-def _capped(weight: float) -> np.ndarray:
-    return _sample_key(np.arange(1 << _TABLE_BITS), weight)
+def _rarest(weight: float) -> np.ndarray:
+    return _sample_key(np.arange(1 << _TABLE_BITS), np.log(weight))
 
 
 @lru_cache(maxsize=1)
@@ -158,25 +170,24 @@ def _odd() -> np.ndarray:
     return mix(np.arange(1, BANDS * ROWS + 1, dtype=U)) | U(1)
 
 
-def weights(h: np.ndarray, tf: np.ndarray, known: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """TF-IDF weight of each shingle."""
-    w = np.full(len(h), np.log1p(1 / THETA))
+def weights(h: np.ndarray, tf: np.ndarray, known: np.ndarray, idf: np.ndarray, rarest: float = 1.0) -> np.ndarray:
+    """TF-IDF weight of each shingle; ``rarest`` is the IDF of those that aren't known."""
+    w = np.full(len(h), rarest)
     at = _lookup(known, h)
     w[at >= 0] = idf[at[at >= 0]]
     return w * tf
 
 
-def signatures(h: np.ndarray, tf: np.ndarray, row: np.ndarray, known: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(h: np.ndarray, tf: np.ndarray, row: np.ndarray, known: np.ndarray, idf: np.ndarray, rarest: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """(rows that have shingles, one line of BANDS * ROWS samples for each)."""
     first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
     out = np.zeros((len(first), BANDS * ROWS), U)
     if not len(first):
         return row[first], out
-    cap = float(np.log1p(1 / THETA))
-    w = weights(h, tf, known, idf)
-    odd_ones = np.flatnonzero(w != cap)
-    special, sw = h[odd_ones], w[odd_ones]
-    base = _capped(cap)
+    w = weights(h, tf, known, idf, rarest)
+    odd_ones = np.flatnonzero(w != rarest)
+    special, sw = h[odd_ones], np.log(w[odd_ones])
+    base = _rarest(rarest)
     low = U(0xFFFFFFFF)
     for k, a in enumerate(_odd()):
         p = h * a
@@ -188,44 +199,51 @@ def signatures(h: np.ndarray, tf: np.ndarray, row: np.ndarray, known: np.ndarray
     return row[first], out
 
 
-def _sketch(shared):
+def _sketch(n: int):
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("samples", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, idf = shared.value
-        for b in batches:
-            bands: list = [None] * b.num_rows
-            samples: list = [None] * b.num_rows
-            for lo, h, tf, row in _shingles(b.column("text")):
-                rows, s = signatures(h, tf, row, known, idf)
-                band = np.zeros((len(rows), BANDS), U)
-                for j in range(ROWS):
-                    band = mix(band + s[:, j::ROWS])
-                small = (mix(s) & U(0xFFFFFFFF)).astype(np.uint32)
-                for i, r in enumerate(rows.tolist()):
-                    bands[lo + r], samples[lo + r] = band[i].view(np.int64), small[i].tobytes()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(bands, schema.field("bands").type), pa.array(samples, pa.binary())], schema=schema)
+    def run(t: pa.Table, frequent: pa.Table) -> pa.Table:
+        known, df = _known(frequent)
+        idf = np.log1p(n / df)
+        bands: list = [None] * t.num_rows
+        samples: list = [None] * t.num_rows
+        for lo, h, tf, row in _shingles(t.column("text")):
+            rows, s = signatures(h, tf, row, known, idf, float(np.log1p(n)))
+            band = np.zeros((len(rows), BANDS), U)
+            for j in range(ROWS):
+                band = mix(band + s[:, j::ROWS])
+            small = (mix(s) & U(0xFFFFFFFF)).astype(np.uint32)
+            for i, r in enumerate(rows.tolist()):
+                bands[lo + r], samples[lo + r] = band[i].view(np.int64), small[i].tobytes()
+        return pa.table([t.column("doc_id"), t.column("text_key"), pa.array(bands, schema.field("bands").type), pa.array(samples, pa.binary())], schema=schema)
 
     return run
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        hs: list = [b""] * b.num_rows
-        tfs: list = [b""] * b.num_rows
-        for lo, h, tf, row in _shingles(b.column("text")):
-            at = np.searchsorted(row, np.arange(b.num_rows - lo + 1))
-            for i in range(b.num_rows - lo):
-                if at[i + 1] > at[i]:
-                    s = slice(at[i], at[i + 1])
-                    hs[lo + i] = h[s].tobytes()
-                    tfs[lo + i] = b"" if tf[s].max() == 1 else tf[s].astype(np.uint32).tobytes()
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(hs, pa.binary()), pa.array(tfs, pa.binary())], names=["doc_id", "h", "tf"])
-
-
-def _vector(h: bytes, tf: bytes, known: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = np.frombuffer(h, U)
-    return x, weights(x, np.frombuffer(tf, np.uint32) if tf else np.ones(len(x)), known, idf)
+def _vectors(t: pa.Table, frequent: pa.Table) -> pa.Table:
+    """Packed shingles of each text, with counts and document frequencies where any isn't 1."""
+    known, df = _known(frequent)
+    hs: list = [b""] * t.num_rows
+    tfs: list = [b""] * t.num_rows
+    dfs: list = [b""] * t.num_rows
+    for lo, h, tf, row in _shingles(t.column("text")):
+        at = _lookup(known, h)
+        held = np.ones(len(h), np.uint32)
+        held[at >= 0] = df[at[at >= 0]]
+        at = np.searchsorted(row, np.arange(t.num_rows - lo + 1))
+        for i in range(t.num_rows - lo):
+            if at[i + 1] > at[i]:
+                s = slice(at[i], at[i + 1])
+                hs[lo + i] = _pack(h[s])
+                tfs[lo + i] = b"" if tf[s].max() == 1 else _pack_counts(tf[s])
+                dfs[lo + i] = b"" if held[s].max() == 1 else _pack_counts(held[s])
+    return pa.table([t.column("doc_id"), pa.array(hs, pa.binary()), pa.array(tfs, pa.binary()), pa.array(dfs, pa.binary())], names=["doc_id", "h", "tf", "df"])
+
+
+def _vector(h: bytes, tf: bytes, df: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    x = _unpack(h)
+    one = np.ones(len(x))
+    return x, np.log1p(n / (_unpack_counts(df) if df else one)) * (_unpack_counts(tf) if tf else one)
 
 
 def weighted_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
@@ -237,9 +255,8 @@ def weighted_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndar
     return float(least / total) if total > 0 else 0.0
 
 
-def _verify(shared, similarity: float):
+def _verify(n: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, idf = shared.value
         for b in batches:
             a, c = b.column("a"), b.column("b")
             held: dict[int, tuple] = {}  # sides of this batch that repeat, as the least member of a bucket does
@@ -247,7 +264,7 @@ def _verify(shared, similarity: float):
             for i, (x, y) in enumerate(zip(a.to_pylist(), c.to_pylist(), strict=True)):
                 for d, side in ((x, "a"), (y, "b")):
                     if d not in held:
-                        held[d] = _vector(b.column(f"h_{side}")[i].as_py(), b.column(f"tf_{side}")[i].as_py(), known, idf)
+                        held[d] = _vector(*(b.column(f"{c}_{side}")[i].as_py() for c in ("h", "tf", "df")), n)
                 good.append(weighted_jaccard(*held[x], *held[y]) >= similarity)
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), c.filter(mask)], names=["a", "b"])
@@ -290,11 +307,10 @@ def _wanted_of_cell(t: pa.Table) -> pa.Table:
     return pa.table([t.column("least").take(at), t.column("doc_id").take(at)], names=["least", "doc_id"])
 
 
-def _links_of_cell(shared, similarity: float):
+def _links_of_cell(n: int, similarity: float):
     def run(t: pa.Table) -> pa.Table:
-        known, idf = shared.value
         x, y = _pairs_of_cell(t)
-        vec = {int(i): _vector(t.column("h")[int(i)].as_py(), t.column("tf")[int(i)].as_py(), known, idf) for i in np.unique(np.concatenate([x, y]))}
+        vec = {int(i): _vector(*(t.column(c)[int(i)].as_py() for c in ("h", "tf", "df")), n) for i in np.unique(np.concatenate([x, y]))}
         good = np.array([weighted_jaccard(*vec[a], *vec[b]) >= similarity for a, b in zip(x.tolist(), y.tolist(), strict=True)], bool)
         ids = t.column("doc_id").to_numpy()
         return pa.table([pa.array(ids[x[good]]), pa.array(ids[y[good]])], names=["a", "b"])
@@ -347,12 +363,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     have one shingle.  Rows that repeat an id and text give equal rows.  An
     empty table gives an empty table; other columns are ignored.
     """
-    sc = docs.sparkSession.sparkContext
+    tune(docs.sparkSession)
+    ship(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("text_key", F.unhex(F.md5(F.col("text").cast("binary"))))
-    _, known, idf = frequent_shingles(base)
-    shared = sc.broadcast((known, idf))
-    sketch = shared_table(map_arrow(base.select("doc_id", "text_key", "text"), _sketch(shared), "doc_id long, text_key binary, bands array<long>, samples binary"))
+    n, chars = base.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    base = base.withColumn("chunk", F.pmod(F.xxhash64("text_key", "doc_id"), F.lit(max(PARTS, chars // PART_CHARS))))
+    frequent = document_frequencies(base, chars)
+
+    def by_chunk(texts: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+        return texts.groupBy("chunk").cogroup(frequent.groupBy("chunk")).applyInArrow(fn, schema)
+
+    sketch = shared_table(by_chunk(base, _sketch(n), "doc_id long, text_key binary, bands array<long>, samples binary"))
     first = shared_table(sketch.groupBy("text_key").agg(F.min("doc_id").alias("text_id")))
     heads = sketch.filter("bands IS NOT NULL").join(first.select("text_key", F.col("text_id").alias("doc_id")), ["text_key", "doc_id"], "left_semi")
     member = heads.select("doc_id", F.posexplode("bands").alias("band", "key"))
@@ -362,11 +384,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def vectors(ids: DataFrame) -> DataFrame:
         # Written first, so that Spark knows the size of the ids before it plans the join with the texts.
-        some = base.select("doc_id", "text").join(shared_table(ids.distinct()), "doc_id", "left_semi")
-        return shared_table(map_arrow(some, _vectors, "doc_id long, h binary, tf binary").dropDuplicates(["doc_id"]))
+        some = base.select("doc_id", "chunk", "text").join(shared_table(ids.distinct()), "doc_id", "left_semi")
+        return shared_table(by_chunk(some, _vectors, "doc_id long, h binary, tf binary, df binary").dropDuplicates(["doc_id"]))
 
-    def side(df: DataFrame, name: str, **columns: str) -> DataFrame:
-        return df.select(F.col("doc_id").alias(name), *(F.col(c).alias(f"{k}_{name}") for k, c in columns.items()))
+    def side(rows: DataFrame, name: str, **columns: str) -> DataFrame:
+        return rows.select(F.col("doc_id").alias(name), *(F.col(c).alias(f"{k}_{name}") for k, c in columns.items()))
 
     stars = pairs.filter("doc_id > least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
     rows = stars.join(side(samples, "a", s="samples"), "a").join(side(samples, "b", s="samples"), "b")
@@ -375,8 +397,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = shared_table(pairs.filter("doc_id > least").withColumn("class_id", F.col("doc_id")).join(samples, "doc_id"))
     wanted = shared_table(grid(apart).groupBy("least", "i", "j").applyInArrow(_wanted_of_cell, "least long, doc_id long").distinct())
     vector = vectors(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).unionAll(wanted.select("doc_id")))
-    rows = likely.join(side(vector, "a", h="h", tf="tf"), "a").join(side(vector, "b", h="h", tf="tf"), "b")
-    links = shared_table(map_arrow(rows.select("a", "b", "h_a", "tf_a", "h_b", "tf_b"), _verify(shared, similarity), "a long, b long"))
+    rows = likely.join(side(vector, "a", h="h", tf="tf", df="df"), "a").join(side(vector, "b", h="h", tf="tf", df="df"), "b")
+    links = shared_table(map_arrow(rows.select("a", "b", "h_a", "tf_a", "df_a", "h_b", "tf_b", "df_b"), _verify(n, similarity), "a long, b long"))
     classes = components(links)
     # Of those, the pairs that are still in different classes.
     placed = wanted.join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
@@ -384,7 +406,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = shared_table(placed.groupBy("least").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).filter("lo < hi").select("least"))
     if not mixed.isEmpty():
         held = placed.join(mixed, "least", "left_semi").join(samples, "doc_id").join(vector, "doc_id")
-        more = shared_table(grid(held).groupBy("least", "i", "j").applyInArrow(_links_of_cell(shared, similarity), "a long, b long"))
+        more = shared_table(grid(held).groupBy("least", "i", "j").applyInArrow(_links_of_cell(n, similarity), "a long, b long"))
         classes = components(links.unionAll(more))
     labelled = sketch.select("doc_id", "text_key").join(first, "text_key").join(classes.withColumnRenamed("id", "text_id"), "text_id", "left")
     return labelled.select("doc_id", "text_id", F.coalesce("class_id", "text_id").alias("class_id"))

@@ -127,6 +127,19 @@ def test_near_duplicates_edges(spark):
     assert sorted((r["doc_id"], r["class_id"]) for r in rows) == [(2, 2), (5, 2), (5, 2), (9, 9)]
 
 
+def test_rare_shingles_weigh_by_their_own_frequency(spark):
+    """A passage in 6 of 100 documents weighs less than one in 2: below a tenth of the documents too, IDF differs."""
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    docs = [(0, words("p", 60) + " " + words("x", 9)), (1, words("p", 60) + " " + words("y", 9))]
+    docs += [(i, words("p", 60) + " " + words(f"z{i}v", 400)) for i in range(2, 6)]
+    docs += [(6, words("q", 60) + " " + words("s", 4)), (7, words("q", 60) + " " + words("t", 4))]
+    docs += [(i, words(f"u{i}v", 20)) for i in range(8, 100)]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), similarity=0.7).collect()}
+    assert got == _classes(docs, 0.7)
+    # 56 shared shingles of 65: 0.757 if all weigh the same, 0.66 by their own frequency.
+    assert got[1] == 1 and got[7] == 6
+
+
 def test_large_group_is_one_class(spark):
     rng = random.Random(9)
     words = [f"v{i}" for i in range(150)]
