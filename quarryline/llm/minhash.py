@@ -17,7 +17,8 @@ five words, banded, verified by weighted Jaccard similarity.
 * First copies of a text only are banded.  Each bucket pairs its members with
   its least one; the pairs that verify are contracted to classes.  Then all
   other pairs of members of one bucket that are still in different classes are
-  verified, so that no candidate pair is skipped.  That happens inside
+  verified.  A candidate pair is skipped only if it has fewer equal samples
+  than a pair at the similarity asked for has but once in 1 / MISS.  That happens inside
   tasks: members that share a bucket's least one are dealt to a grid of cells of
   bounded size, a cell compares its members in numpy and gives out links only,
   so that neither rows nor what a task holds grow with the square of a group.
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +46,8 @@ BANDS, ROWS = 16, 4
 THETA = 0.0
 SEED = 10
 _TABLE_BITS = 20
-#: Share of equal samples below which a pair isn't compared exactly (four deviations below 0.8).
-LIKELY = 0.6
+#: Chance that a candidate pair just at the similarity asked for isn't compared exactly, as it has too few equal samples.
+MISS = 1e-6
 #: Members that a cell of the grid takes from either side, about.
 CELL = 512
 #: Characters of a chunk of documents and of the shingles of a bucket, about; there are at least PARTS of both.
@@ -272,15 +274,28 @@ def _verify(n: int, similarity: float):
     return run
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    k = BANDS * ROWS
-    for b in batches:
-        sa, sb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, k) for c in ("s_a", "s_b"))
-        mask = pa.array((sa == sb).mean(1) >= LIKELY) if b.num_rows else pa.array([], pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], names=["a", "b"])
+@lru_cache(maxsize=8)
+def least_equal(similarity: float) -> int:
+    """Equal samples that a pair needs to be compared: fewer have a chance of MISS at most at ``similarity`` or above."""
+    k, chance = BANDS * ROWS, 0.0
+    for m in range(k):
+        chance += comb(k, m) * similarity**m * (1 - similarity) ** (k - m)
+        if chance > MISS:
+            return m
+    return k
+
+
+def _likely(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sa, sb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS) for c in ("s_a", "s_b"))
+            mask = pa.array((sa == sb).sum(1) >= least) if b.num_rows else pa.array([], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], names=["a", "b"])
 
+    return run
 
-def _pairs_of_cell(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+
+def _pairs_of_cell(t: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the pairs of a cell that are in different classes and have enough equal samples."""
     k = BANDS * ROWS
     s = np.frombuffer(b"".join(t.column("samples").to_pylist()), np.uint32).reshape(-1, k)
@@ -291,7 +306,7 @@ def _pairs_of_cell(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         same = np.zeros((len(block), len(right)), np.int32)
         for c in range(k):
             same += s[block, c][:, None] == s[right, c][None]
-        near = (same >= LIKELY * k) & (cls[block][:, None] != cls[right][None])
+        near = (same >= least) & (cls[block][:, None] != cls[right][None])
         if i == j:
             near &= block[:, None] < right[None]
         x, y = np.nonzero(near)
@@ -300,16 +315,20 @@ def _pairs_of_cell(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(xs), np.concatenate(ys)
 
 
-def _wanted_of_cell(t: pa.Table) -> pa.Table:
+def _wanted_of_cell(least: int):
     """Members of a cell that have a pair to compare."""
-    x, y = _pairs_of_cell(t)
-    at = np.unique(np.concatenate([x, y]))
-    return pa.table([t.column("least").take(at), t.column("doc_id").take(at)], names=["least", "doc_id"])
+
+    def run(t: pa.Table) -> pa.Table:
+        x, y = _pairs_of_cell(t, least)
+        at = np.unique(np.concatenate([x, y]))
+        return pa.table([t.column("least").take(at), t.column("doc_id").take(at)], names=["least", "doc_id"])
+
+    return run
 
 
 def _links_of_cell(n: int, similarity: float):
     def run(t: pa.Table) -> pa.Table:
-        x, y = _pairs_of_cell(t)
+        x, y = _pairs_of_cell(t, least_equal(similarity))
         vec = {int(i): _vector(*(t.column(c)[int(i)].as_py() for c in ("h", "tf", "df")), n) for i in np.unique(np.concatenate([x, y]))}
         good = np.array([weighted_jaccard(*vec[a], *vec[b]) >= similarity for a, b in zip(x.tolist(), y.tolist(), strict=True)], bool)
         ids = t.column("doc_id").to_numpy()
@@ -392,10 +411,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     stars = pairs.filter("doc_id > least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
     rows = stars.join(side(samples, "a", s="samples"), "a").join(side(samples, "b", s="samples"), "b")
-    likely = shared_table(map_arrow(rows.select("a", "b", "s_a", "s_b"), _likely, "a long, b long"))
+    likely = shared_table(map_arrow(rows.select("a", "b", "s_a", "s_b"), _likely(least_equal(similarity)), "a long, b long"))
     # Members of a bucket besides its least one that may be near each other; texts are joined once for these and the stars.
     apart = shared_table(pairs.filter("doc_id > least").withColumn("class_id", F.col("doc_id")).join(samples, "doc_id"))
-    wanted = shared_table(grid(apart).groupBy("least", "i", "j").applyInArrow(_wanted_of_cell, "least long, doc_id long").distinct())
+    wanted = shared_table(grid(apart).groupBy("least", "i", "j").applyInArrow(_wanted_of_cell(least_equal(similarity)), "least long, doc_id long").distinct())
     vector = vectors(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).unionAll(wanted.select("doc_id")))
     rows = likely.join(side(vector, "a", h="h", tf="tf", df="df"), "a").join(side(vector, "b", h="h", tf="tf", df="df"), "b")
     links = shared_table(map_arrow(rows.select("a", "b", "h_a", "tf_a", "df_a", "h_b", "tf_b", "df_b"), _verify(n, similarity), "a long, b long"))

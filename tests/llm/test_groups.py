@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -162,6 +163,20 @@ def test_samples_agree_as_often_as_similarity():
     assert abs(np.mean(agree) - np.mean(want)) < 0.02
 
 
+def test_pairs_to_compare_follow_similarity():
+    """A pair with 36 of 64 equal samples may well be at 0.6; 35 at 0.8 is still rare enough to be compared."""
+    a = np.arange(64, dtype=np.uint32)
+    for similarity, equal, kept in ((0.6, 36, 1), (0.8, 35, 1), (0.8, 20, 0)):
+        b = np.where(a < equal, a, a + 100).astype(np.uint32)
+        least = minhash.least_equal(similarity)
+        batch = pa.RecordBatch.from_pydict({"a": [1], "b": [2], "s_a": [a.tobytes()], "s_b": [b.tobytes()]})
+        assert sum(x.num_rows for x in minhash._likely(least)([batch])) == kept
+        rng = np.random.default_rng(3)
+        assert (rng.binomial(64, similarity, 10**6) < least).sum() <= 8
+    cell = pa.table({"samples": [a.tobytes(), b.tobytes()], "class_id": [1, 2], "part": [0, 0], "i": [0, 0], "j": [0, 0]})
+    assert len(minhash._pairs_of_cell(cell, 20)[0]) == 1 and len(minhash._pairs_of_cell(cell, 21)[0]) == 0
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(100 + rng.randrange(40), 100 + rng.randrange(40)) for _ in range(50)] + [(500, 500)]
