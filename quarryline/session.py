@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_OWN: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -29,6 +30,32 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for tables between steps (``spark.checkpoint.dir``).
+
+    A session that runs in one process (a ``local`` master) may leave it unset and gets a temporary
+    folder; on a cluster the executors don't share such a folder, so there it is an error.
+    """
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        held = sc._jsc.sc().getCheckpointDir()
+        folder = held.get() if not held.isEmpty() else None
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if sc.applicationId not in _OWN:
+            _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="quarryline-")
+        folder = _OWN[sc.applicationId]
+    return folder.rstrip("/")
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of any file system that Spark knows; none there is fine."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "quarryline") -> SparkSession:
     """A local session with the settings that tests and the bench share."""
     return (
