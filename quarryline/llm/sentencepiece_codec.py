@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import map_arrow, table
+from quarryline.llm.common import add_column, map_arrow, table
 from quarryline.llm.textcore import mix
 
 MODEL = os.environ.get("QUARRYLINE_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
-#: Units whose pieces a worker remembers.
-CACHE_UNITS = 500_000
+#: Units and their characters whose pieces a worker remembers, at most.
+CACHE_UNITS, CACHE_CHARS = 200_000, 1 << 22
+#: Characters of new units that are indexed together, and of texts that are encoded together (a longer one stands alone).
+BLOCK_CHARS, TEXT_CHARS = 1 << 17, 1 << 20
 START, NONE = -2, -1
 
 
@@ -116,10 +118,52 @@ class Vocabulary:
         return ok
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        key = number()
+        kind = key & 7
+        if kind == 0:
+            yield key >> 3, number()
+            continue
+        size = number() if kind == 2 else 8 if kind == 1 else 4
+        yield key >> 3, data[at : at + size]
+        at += size
+
+
+def check_model(data: bytes) -> None:
+    """Raise for models that this codec would encode otherwise than the library: it merges by rank over unchanged text."""
+    # Numbers of fields and of the kind BPE in the file format of the models.
+    trainer, normaliser, bpe = 2, 3, 2
+    parts = {k: dict(_fields(v)) for k, v in _fields(data) if k in (trainer, normaliser)}
+    if parts.get(trainer, {}).get(3, 1) != bpe:
+        raise ValueError("the model isn't BPE")
+    spec = parts.get(normaliser, {})
+    if spec.get(2):
+        raise ValueError("the model changes characters before it encodes")
+    if not spec.get(3, 1) or spec.get(4, 1) or not spec.get(5, 1) or parts[trainer].get(24, 0):
+        raise ValueError("the model treats spaces in another way: it must put one in front, keep all and escape them")
+
+
 def load(path: str) -> Vocabulary:
-    """The vocabulary of a model file (read on the driver; workers get the object)."""
+    """The vocabulary of a model file (read on the driver; workers get the object); models of another kind are an error."""
     import sentencepiece
 
+    with open(path, "rb") as f:
+        check_model(f.read())
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     n = sp.get_piece_size()
     plain = [not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) for i in range(n)]
@@ -138,11 +182,12 @@ class Codec:
     def __init__(self, vocabulary: Vocabulary, cache_units: int = CACHE_UNITS) -> None:
         self.v, self.cache_units = vocabulary, cache_units
         self.forget()
-        self.known = np.full(1 << 20, -1, np.int64)
-        self.answer = np.zeros(1 << 20, bool)
+        self.known = np.full(1 << 18, -1, np.int64)
+        self.answer = np.zeros(1 << 18, bool)
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
+        self.chars = 0
         self.flat: list[np.ndarray] = [np.zeros(0, np.int32)]
         self.count: list[np.ndarray] = [np.zeros(0, np.int64)]
 
@@ -152,7 +197,7 @@ class Codec:
     def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """``apart`` behind a table of recent answers."""
         key = a * (self.v.size + 1) + b
-        slot = (mix(key.astype(np.uint64)) >> np.uint64(44)).astype(np.int64)
+        slot = (mix(key.astype(np.uint64)) >> np.uint64(46)).astype(np.int64)
         out = self.answer[slot]
         new = np.flatnonzero(self.known[slot] != key)
         if len(new):
@@ -244,36 +289,61 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Piece ids of each text; none for null and empty texts."""
-        if len(self.index) > self.cache_units:
+        out, held, size = [], [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t or "")
+            if size >= TEXT_CHARS:
+                out += self._encode(held)
+                held, size = [], 0
+        return out + self._encode(held)
+
+    def _learn(self, new: list[str]) -> None:
+        """Segment new units in blocks, and remember them."""
+        ends = np.cumsum([len(u) + 1 for u in new])
+        lo = 0
+        while lo < len(new):
+            done = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, done + BLOCK_CHARS, "right")))
+            flat, count = self.segment(new[lo:hi])
+            self.flat.append(flat)
+            self.count.append(count)
+            lo = hi
+        self.flat, self.count = [np.concatenate(self.flat)], [np.concatenate(self.count)]
+        self.chars += int(ends[-1])
+
+    def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        if len(self.index) > self.cache_units or self.chars > CACHE_CHARS:
             self.forget()
-        split = [self.units(t or "") for t in texts]
         index, new = self.index, []
         rows = []
-        for units in split:
+        for t in texts:
             row = []
-            for u in units:
+            for u in self.units(t or ""):
                 i = index.get(u)
                 if i is None:
                     i = index[u] = len(index)
                     new.append(u)
                 row.append(i)
-            rows.append(row)
+            rows.append(np.array(row, np.int32))
         if new:
-            flat, count = self.segment(new)
-            self.flat, self.count = [np.concatenate([*self.flat, flat])], [np.concatenate([*self.count, count])]
+            self._learn(new)
         flat, count = self.flat[0], self.count[0]
         first = np.cumsum(count) - count
         out = []
-        for row in rows:
-            r = np.array(row, np.int64)
+        for r in rows:
             n = count[r]
             total = int(n.sum())
             out.append(flat[np.arange(total) + np.repeat(first[r] - (np.cumsum(n) - n), n)] if total else np.zeros(0, np.int32))
         return out
 
-    def decode(self, ids: np.ndarray) -> str:
-        """Text of piece ids: without the space that encoding puts in front."""
-        text = b"".join(map(self.v.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray | list[int | None]) -> str:
+        """Text of piece ids, without the space that encoding puts in front.
+
+        Control pieces stand for nothing; an id outside the vocabulary, a null and bytes that are no UTF-8 give U+FFFD.
+        """
+        known = self.v.bytes_of
+        text = b"".join([known[i] if i is not None and 0 <= i < len(known) else b"\xef\xbf\xbd" for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)]).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -289,38 +359,28 @@ def _codec(shared, key: str) -> Codec:
 def encode_column(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids", model: str = MODEL) -> DataFrame:
     """``docs`` with the piece ids of ``text_col`` in ``ids_col`` (array<int>).
 
-    Null and empty texts have no ids.  A column named ``ids_col`` is replaced,
-    others stay; rows are independent.
+    Null and empty texts have no ids; texts of any length are encoded whole.  A
+    column named ``ids_col`` is replaced, others stay whatever their names; rows
+    are independent, so repeated ones give equal ids and an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_loaded(model))  # as large as the vocabulary
-    rest = docs.drop(ids_col)
-    names = rest.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared, model)
-        for b in batches:
-            ids = codec.encode(b.column("__text").to_pylist())
-            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-            at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32())
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.ListArray.from_arrays(at, flat)], names=[*names, ids_col])
+    def ids_of(texts: pa.Array) -> pa.Array:
+        ids = _codec(shared, model).encode(texts.to_pylist())
+        at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32())
+        return pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32()))
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields), f"`{ids_col}` array<int>"])
-    return map_arrow(rest.withColumn("__text", F.col(text_col).cast("string")), run, schema)
+    return add_column(docs, ids_col, "array<int>", text_col, ids_of)
 
 
 def decode_column(docs: DataFrame, ids_col: str = "token_ids", text_col: str = "text", model: str = MODEL) -> DataFrame:
-    """``docs`` with the text of ``ids_col`` in ``text_col``; null ids give an empty text."""
-    shared = docs.sparkSession.sparkContext.broadcast(_loaded(model))
-    rest = docs.drop(text_col)
-    names = rest.columns
+    """``docs`` with the text of ``ids_col`` in ``text_col``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared, model)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array([codec.decode(np.array(x or [], np.int64)) for x in b.column(ids_col).to_pylist()], pa.string())], names=[*names, text_col])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields), f"`{text_col}` string"])
-    return map_arrow(rest, run, schema)
+    Null and empty ids give an empty text; ids that the vocabulary doesn't have, and null ones, give U+FFFD.
+    A column named ``text_col`` is replaced, others stay whatever their names; rows are independent.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_loaded(model))
+    return add_column(docs, text_col, "string", ids_col, lambda ids: pa.array([_codec(shared, model).decode(x or []) for x in ids.to_pylist()], pa.string()), cast="array<int>")
 
 
 def _digest(shared, model: str):

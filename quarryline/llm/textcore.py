@@ -18,7 +18,9 @@ BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xC2B2AE3D27D4EB4F
 WORD_BASE_2 = 0xD6E8FEB86659FD93
 #: Bytes of text that are hashed together; a longer document is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: Powers that a worker keeps, as a power of two; longer documents compute their own and drop them.
+KEPT_BITS = 19
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -33,10 +35,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of ``base`` and of its inverse modulo 2**64, up to 2**bits of them."""
-    n = 1 << bits
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of ``base`` and of its inverse modulo 2**64."""
     up = np.full(n, base, dtype=U)
     up[0] = 1
     down = np.full(n, pow(base, -1, 1 << 64), dtype=U)
@@ -44,8 +44,15 @@ def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+@lru_cache(maxsize=3)
+def _kept_powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(base, 1 << KEPT_BITS)
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(base, max(21, int(n).bit_length()))
+    if n > 1 << KEPT_BITS:
+        return _powers(base, n)
+    up, down = _kept_powers(base)
     return up[:n], down[:n]
 
 
