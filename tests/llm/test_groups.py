@@ -76,8 +76,8 @@ def _classes(docs, similarity=0.8):
         n = min(5, len(w))
         bags[i] = Counter(tuple(w[j : j + n]) for j in range(len(w) - n + 1)) if w else Counter()
     df = Counter(k for b in bags.values() for k in b)
-    n, cap = len(docs), minhash.THETA
-    w = {i: {k: v * np.log1p(n / max(df[k], cap * n)) for k, v in b.items()} for i, b in bags.items()}
+    n = len(docs)
+    w = {i: {k: v * (1 + np.log10(n / df[k])) for k, v in b.items()} for i, b in bags.items()}
     up = {i: i for i, _ in docs}
 
     def top(x):
@@ -133,11 +133,11 @@ def test_rare_shingles_weigh_by_their_own_frequency(spark):
     words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
     docs = [(0, words("p", 60) + " " + words("x", 9)), (1, words("p", 60) + " " + words("y", 9))]
     docs += [(i, words("p", 60) + " " + words(f"z{i}v", 400)) for i in range(2, 6)]
-    docs += [(6, words("q", 60) + " " + words("s", 4)), (7, words("q", 60) + " " + words("t", 4))]
+    docs += [(6, words("q", 60) + " " + words("s", 9)), (7, words("q", 60) + " " + words("t", 9))]
     docs += [(i, words(f"u{i}v", 20)) for i in range(8, 100)]
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), similarity=0.7).collect()}
     assert got == _classes(docs, 0.7)
-    # 56 shared shingles of 65: 0.757 if all weigh the same, 0.66 by their own frequency.
+    # 56 shared shingles beside 9 of either side's own: 0.73 by the frequency of the pair, 0.70 by that of six.
     assert got[1] == 1 and got[7] == 6
 
 
@@ -148,18 +148,56 @@ def test_large_group_is_one_class(spark):
     assert {r["class_id"] for r in minhash.near_duplicates(df, similarity=0.6).collect()} == {0}
 
 
+def test_loose_group_equals_brute_force(spark, monkeypatch):
+    """Copies of one text at about the similarity asked for, so that no centre is near all: rounds and small cells find every link."""
+    monkeypatch.setattr(minhash, "CELL", 4)
+    rng = random.Random(4)
+    words = [f"v{i}" for i in range(300)]
+    docs = [(i, _mutated(rng, words, rng.randrange(1, 4))) for i in range(60)]
+    docs += [(100 + i, _mutated(rng, [f"w{j}" for j in range(200)], 2)) for i in range(20)]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == _classes(docs)
+    assert 1 < len(set(got.values())) < 60
+
+
+def test_one_id_with_two_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    schema = "doc_id long, text string, text_md5 int, k string, chunk int, class_id int"
+    docs = spark.createDataFrame([(3, a, 1, "x", 0, 0), (5, a, 2, "x", 0, 0), (5, b, 3, "x", 0, 0), (None, b, 4, "x", 0, 0), (7, None, 5, "x", 0, 0), (7, None, 6, "x", 0, 0), (9, "", 7, "x", 0, 0)], schema)
+    got = sorted(((r["doc_id"] or -1), r["text_id"], r["class_id"]) for r in minhash.near_duplicates(docs).collect())
+    assert got == [(-1, 5, 5), (3, 3, 3), (5, 3, 3), (5, 5, 5), (7, 7, 7), (7, 7, 7), (9, 7, 7)]
+    kept = minhash.first_of_class(docs)
+    assert kept.columns == docs.columns and sorted(r["text_md5"] for r in kept.collect()) == [1, 3, 5, 6]
+    nothing = minhash.first_of_class(docs.filter("doc_id IS NULL"))
+    assert [r["text_md5"] for r in nothing.collect()] == [4]
+
+
+def test_cells_meet_every_pair_of_classes_once(spark):
+    """Rows of the cells grow with what is outside a group's largest class, not with the square of the group."""
+    from quarryline.llm.common import Scratch
+
+    rows = [("g", f"k{i}", "big" if i < 90 else f"own{i}", 10) for i in range(100)]
+    df = spark.createDataFrame(rows, "c string, k string, class_k string, size int")
+    with Scratch(spark) as scratch:
+        dealt = minhash.cells(df, scratch, cell=8).collect()
+    cells = {}
+    for r in dealt:
+        cells.setdefault(r["cell"], ([], []))[r["side"]].append(r["k"])
+    met = {frozenset((x, y)) for left, right in cells.values() for x in left for y in right if x != y}
+    assert met >= {frozenset((f"k{i}", f"k{j}")) for i in range(90, 100) for j in range(100) if i != j}
+    assert len(dealt) == 10 * 13 + 100 * 2
+
+
 def test_samples_agree_as_often_as_similarity():
     """Equal ICWS samples estimate weighted Jaccard, also for weights that differ."""
     rng = np.random.default_rng(1)
-    none = np.zeros(0, np.uint64), np.zeros(0)
     agree, want = [], []
     for _ in range(60):
         h = np.sort(rng.integers(0, 2**63, 40).astype(np.uint64))
-        ta, tb = rng.integers(1, 4, 40), rng.integers(1, 4, 40)
-        _, a = minhash.signatures(h[:35], ta[:35], np.zeros(35, int), *none)
-        _, b = minhash.signatures(h[5:], tb[5:], np.zeros(35, int), *none)
-        agree.append((a == b).mean())
-        want.append(minhash.weighted_jaccard(h[:35], ta[:35].astype(float), h[5:], tb[5:].astype(float)))
+        wa, wb = rng.integers(1, 4, 40) * 3.7, rng.integers(1, 4, 40) * 3.7
+        s = minhash.signatures(np.concatenate([h[:35], h[5:]]), np.concatenate([wa[:35], wb[5:]]), np.array([0, 35]))
+        agree.append((s[0] == s[1]).mean())
+        want.append(minhash.weighted_jaccard(h[:35], wa[:35], h[5:], wb[5:]))
     assert abs(np.mean(agree) - np.mean(want)) < 0.02
 
 
@@ -173,13 +211,16 @@ def test_pairs_to_compare_follow_similarity():
         assert sum(x.num_rows for x in minhash._likely(least)([batch])) == kept
         rng = np.random.default_rng(3)
         assert (rng.binomial(64, similarity, 10**6) < least).sum() <= 8
-    cell = pa.table({"samples": [a.tobytes(), b.tobytes()], "class_id": [1, 2], "part": [0, 0], "i": [0, 0], "j": [0, 0]})
-    assert len(minhash._pairs_of_cell(cell, 20)[0]) == 1 and len(minhash._pairs_of_cell(cell, 21)[0]) == 0
+    cell = pa.table({"samples": [a.tobytes(), b.tobytes()], "class_k": [b"x", b"y"], "side": [0, 1]})
+    count = lambda least: sum(len(x) for x, _ in minhash._pairs_of_cell(cell, least))
+    assert count(20) == 1 and count(21) == 0
 
 
 def test_components(spark):
+    from quarryline.llm.common import Scratch
+
     rng = random.Random(2)
-    edges = [(i, i + 1) for i in range(60)] + [(100 + rng.randrange(40), 100 + rng.randrange(40)) for _ in range(50)] + [(500, 500)]
+    edges = [(i, i + 1) for i in range(60)] + [(100 + rng.randrange(40), 100 + rng.randrange(40)) for _ in range(50)] + [(500, 500)] + [(600, 600 + i) for i in range(200)]
     up = {x: x for e in edges for x in e}
 
     def top(x):
@@ -190,10 +231,22 @@ def test_components(spark):
     for a, b in edges:
         x, y = top(a), top(b)
         up[max(x, y)] = min(x, y)
-    got = {r["id"]: r["class_id"] for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    with Scratch(spark) as scratch:
+        got = {r["id"]: r["class_id"] for r in minhash.components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
     assert got == {x: top(x) for x in got} and set(got) >= {x for a, b in edges if a != b for x in (a, b)}
 
 
+def test_spread_join_is_a_join(spark):
+    from quarryline.llm.common import spread_join
+
+    rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(3000)], "key long, salt long").cache()
+    small = spark.createDataFrame([(i, f"v{i}") for i in range(0, 3000, 2)] + [(1, "v1")], "key long, ways string")
+    want = sorted(map(tuple, rows.join(small, "key").collect()))
+    joined = spread_join(rows, small, "key", by="salt")
+    assert joined.columns == ["key", "salt", "ways"] and sorted(map(tuple, joined.collect())) == want
+    assert spread_join(rows, small, "key", how="left").count() == 3000
+
+
 # --- pipeline --------------------------------------------------------------------------------
 
 
