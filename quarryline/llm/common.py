@@ -58,26 +58,26 @@ def q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def ddl(df: DataFrame, *more: str) -> str:
-    """Schema of ``df`` and further fields, as DDL."""
-    return ", ".join([*(f"{q(f.name)} {f.dataType.simpleString()}" for f in df.schema.fields), *more])
+def beside(df: DataFrame, source: str, cast: str = "string") -> tuple[DataFrame, str]:
+    """Columns c0, c1, ... of ``df`` and behind them ``source``; and the DDL of the former.
 
+    Arrow stages get columns by such names, so that no name of the caller's can clash or needs quoting.
+    """
+    base = df.select(*(F.col(q(c)).alias(f"c{i}") for i, c in enumerate(df.columns)), F.col(q(source)).cast(cast).alias("source"))
+    return base, ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema.fields))
 
-def add_column(df: DataFrame, name: str, kind: str, source: str, fn: Callable[[pa.Array], pa.Array], cast: str = "string") -> DataFrame:
-    """``df`` with ``fn`` of the column ``source`` as its last column ``name``; a column of that name is replaced.
 
-    ``source`` travels beside the columns under a name that none of them has, so any names are safe.
-    """
-    rest = df.drop(name)
-    text = own_name(df, "source_in")
-    names = rest.columns
+def add_column(df: DataFrame, name: str, kind: str, source: str, fn: Callable[[pa.Array], pa.Array], cast: str = "string") -> DataFrame:
+    """``df`` with ``fn`` of the column ``source`` as its last column ``name``; a column of that name is replaced."""
+    base, fields = beside(df, source, cast)
+    names = [c for c in df.columns if c.lower() != name.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], fn(b.column(b.num_columns - 1))], names=[*names, name])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], fn(b.column(b.num_columns - 1))], names=[*b.schema.names[:-1], "made"])
 
-    base = df.select(*(F.col(q(c)) for c in names), F.col(q(source)).cast(cast).alias(text))
-    return map_arrow(base, run, ddl(rest, f"{q(name)} {kind}"))
+    out = map_arrow(base, run, f"{fields}, made {kind}" if fields else f"made {kind}")
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns) if c in names), F.col("made").alias(name))
 
 
 def shared_table(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:

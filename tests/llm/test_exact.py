@@ -11,6 +11,7 @@ import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quarryline.llm import decontaminate, quality_rules, secret_scan, substring_dedup
 from quarryline.llm.docstats import stats_of
@@ -68,40 +69,113 @@ def test_secret_property(text):
     assert [f"{k}:{s}:{e}" for s, e, k, _ in secret_scan.scan(text) if k != "guess"] == _plain_base(text)
 
 
-def test_guess_cost():
-    cost = secret_scan.log_guesses
+@pytest.fixture(scope="module")
+def known():
+    from quarryline.llm.sentencepiece_codec import MODEL
+
+    return secret_scan.ranks(secret_scan.vocabulary_words(MODEL))
+
+
+def test_guess_cost(known):
+    cost = lambda v: secret_scan.log_guesses(v, known)
     assert cost("") == 0.0
-    for weak in ("password", "P4ssw0rd", "qwertyuiop", "aaaaaaaaaaaa", "20240131", "123456789", "monkey2024", "dragondragon"):
+    for weak in ("password", "P4ssw0rd", "qwertyuiop", "aaaaaaaaaaaa", "20240131", "123456789", "monkey2024", "dragondragon", "abcabcabcabc", "correcthorse1", "20240131aaaa", "k7k7k7k7k7k7"):
         assert cost(weak) < 8, (weak, cost(weak))
-    for strong in ("x9$Kq2!vLm", "Zt7pQw3nRb8c", "f00barB4zQ!x"):
+    for strong in ("x9$Kq2!vLm", "Zt7pQw3nRb8c", "f00barB4zQ!x", "KqzTvBnWxRtLmPsd"):
         assert cost(strong) > 9, (strong, cost(strong))
-    assert cost("x9$Kq2!vLm" * 2) > cost("x9$Kq2!vLm")
-
-
-def test_guess_cost_is_least():
-    """The dynamic programme equals the least cost over all cuts into its own edges, tried one by one."""
+    assert cost("x9$Kq2!vLm" * 2) < cost("x9$Kq2!vLm") + 1
+    assert cost("ab" * 20_000) < 8 and cost("a" * 20_000) < 8
+
+
+def _plain_cost(value, known):
+    """Every cut into parts, each at the least cost of its kinds, by recursion over the definition."""
+    import math
+    from functools import lru_cache
+
+    @lru_cache(maxsize=None)
+    def part(v):
+        low, out = v.lower(), []
+        plain = low.translate(secret_scan.LEET)
+        n = len(v)
+        for w in (low, plain):
+            if n >= 3 and w in known:
+                out.append(math.log10(known[w] + 1) + math.log10(2) * min(8, sum(x != y for x, y in zip(v, plain, strict=True))))
+        out += [c for c, p in secret_scan.DATES if p.fullmatch(v)]
+        steps = list(zip(low, low[1:], strict=False))
+        if n >= 3:
+            for base, ok in ((1.0, all(x == y for x, y in steps)), (1.5, all(ord(y) - ord(x) == 1 for x, y in steps)), (1.5, all(ord(x) - ord(y) == 1 for x, y in steps)), (2.0, all(p in secret_scan._NEXT for p in steps))):
+                if ok:
+                    out.append(math.log10(secret_scan._alphabet(low[0])) + base * 0.3 + math.log10(n) + (0.3 * n if base == 2.0 else 0))
+        for u in range(2, n // 2 + 1):
+            if n % u == 0 and low == low[:u] * (n // u):
+                out.append(whole(v[:u]) + math.log10(n // u))
+        return min(out, default=math.inf)
+
+    def whole(v):
+        letters = 52 if v.lower() != v and v != v.upper() else 26
+        best = [0.0]
+        for b in range(1, len(v) + 1):
+            k = secret_scan._alphabet(v[b - 1])
+            best.append(min([best[b - 1] + math.log10(letters if k == 26 else k), *(best[a] + part(v[a:b]) + (math.log10(2) if a else 0) for a in range(b))]))
+        return best[-1]
+
+    return whole(value)
+
+
+def test_guess_cost_is_least(known):
+    """The dynamic programme equals the least cost over all cuts, with the cost of each part by its definition."""
     rng = random.Random(3)
-    for _ in range(30):
-        v = "".join(rng.choice(["a", "b", "1", "2", "pass", "qwe", "2020"]) for _ in range(3))
-        whole = secret_scan.log_guesses(v)
-        assert all(whole <= secret_scan.log_guesses(v[:i]) + secret_scan.log_guesses(v[i:]) + 3 for i in range(len(v)))
+    values = ["".join(rng.choice(["a", "b", "1", "2", "pass", "qwe", "2020", "0112", "cba", "zz", "X"]) for _ in range(rng.randrange(1, 7))) for _ in range(150)]
+    for v in values:
+        assert abs(secret_scan.log_guesses(v, known) - _plain_cost(v, known)) < 1e-9, v
 
 
-def test_guess_spans():
-    kinds = lambda t: [(t[s:e], k) for s, e, k, _ in secret_scan.scan(t)]
+def test_guess_spans(known):
+    kinds = lambda t: [(t[s:e], k) for s, e, k, _ in secret_scan.scan(t, known=known)]
     assert kinds("pwd: Tr0ub4dor&3xQ!9 done") == [("Tr0ub4dor&3xQ!9", "guess")]
-    assert kinds("password: sunshine") == [] and kinds("the secret is: erlichkeitungen") == []
+    assert kinds("password: sunshine") == [] and kinds("the secret is: erlichkeit") == [] and kinds("passcode: 0049151123456") == []
     assert kinds('password = "k9$Zq!7p"') == [("k9$Zq!7p", "guess")]
+    assert kinds("pwd: KqzTvBnWxRtLmPsd") == [("KqzTvBnWxRtLmPsd", "guess")] and kinds("passphrase: xqzvkwjhrtplmnbdgfcy") == [("xqzvkwjhrtplmnbdgfcy", "guess")]
+
+
+def test_corpus_words(spark):
+    """Words are ranked over all texts; what stands in credential contexts isn't learned."""
+    texts = ["zorbl zorbl vaxen", "Zorbl vaxen pwd: qqkzvvxxwwyy", "pwd: qqkzvvxxwwyy", None, "", "once ab ab"]
+    assert secret_scan.corpus_words(_docs(spark, texts)) == ["zorbl", "pwd", "vaxen"]
+    assert secret_scan.corpus_words(_docs(spark, texts), most=1) == ["zorbl"] and secret_scan.corpus_words(_docs(spark, texts).limit(0)) == []
+    spans = secret_scan.secret_spans(_docs(spark, ["password: zorbl4vaxen!", *["zorbl vaxen"] * 9]))
+    assert spans.filter("size(spans) > 0").count() == 0
 
 
 def test_secret_frames(spark):
     df = secret_scan.secret_spans(_docs(spark, SECRETS))
     assert df.columns == ["doc_id", "text", "lang", "n_words", "h1", "text_key", "row", "items", "spans"] and df.count() == len(SECRETS)
-    red = {r[0]: r[1] for r in df.withColumn("red", secret_scan.redacted()).select("doc_id", "red").collect()}
-    assert red[0] is None and red[1] == "" and red[4] == "[assign]" and red[5] == "[access] AKIA12" and red[2] == SECRETS[2]
+    odd = _docs(spark, SECRETS).withColumnsRenamed({"lang": "source_in", "row": "__text", "items": "a.b`c"})
+    red = secret_scan.redacted(odd)
+    assert red.columns == odd.columns
+    text = {r["doc_id"]: r["text"] for r in red.collect()}
+    assert text[0] is None and text[1] == "" and text[4] == "[assign]" and text[5] == "[access] AKIA12" and text[2] == SECRETS[2]
+    assert {tuple(r) for r in red.select("source_in", "__text", "`a.b``c`").collect()} == {("xx", "r", "i")}
+    assert secret_scan.redact("ab" * 50_000, [(i, i + 1, "x", 0.0) for i in range(0, 100_000, 2)]) == "[x]b" * 50_000
     assert secret_scan.secret_spans(_docs(spark, ["x"]).limit(0)).count() == 0
-    row = secret_scan.op1_secret_scan(spark, "/root/testdata/sf0.01").filter("n_assign > 0").first()
-    assert row["spans"].split(",")[0].startswith("assign:") and len(row["base_sha256"]) == 64
+
+
+SQL_OP1_COUNTS = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, len(list_filter(regexp_extract_all(text, '(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: len(x) >= 12))::BIGINT AS n_assign,
+       len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: len(x) >= 18))::BIGINT AS n_access,
+       len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: len(x) >= 16))::BIGINT AS n_hex FROM t
+"""
+
+
+def test_secret_counts_sql(spark):
+    """The counts of the base spans equal DuckDB's; their digest equals a plain scan."""
+    out = secret_scan.op1_secret_scan(spark, SF)
+    _same(out.select("doc_id", "n_assign", "n_access", "n_hex"), SQL_OP1_COUNTS)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    for r in out.collect():
+        plain = _plain_base(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(plain).encode()).hexdigest() and [x for x in r["spans"].split(",") if x and not x.startswith("guess")] == plain
 
 
 # --- decontamination -------------------------------------------------------------------------
@@ -119,18 +193,49 @@ def test_decontaminate_cases(spark):
     assert {i: sorted(r["items"]) for i, r in got.items() if r["items"]} == {2: ["1", "10"], 3: ["1", "10"], 5: ["2"], 7: ["2"], 8: ["1", "10"]}
     assert list(got[2]["runs"]) == [1, 13] and list(got[2]["spans"]) == [4, 4 + len(item)]
     assert sum(b - a for a, b in zip(got[7]["runs"][::2], got[7]["runs"][1::2], strict=True)) == 6
-    assert decontaminate.clean_rows(docs, bench).count() == 4 and decontaminate.clean_rows(docs, bench).columns == docs.columns
+    odd = docs.withColumnsRenamed({"lang": "source_in", "row": "__text", "items": "a.b`c"})
+    assert decontaminate.clean_rows(odd, bench).count() == 4 and decontaminate.clean_rows(odd, bench).columns == odd.columns
     assert decontaminate.benchmark_hits(docs, bench.limit(0)).filter("size(items) > 0").count() == 0
     assert decontaminate.benchmark_hits(docs.limit(0), bench).count() == 0
 
 
 def test_decontaminate_blocks(spark, monkeypatch):
-    docs = _docs(spark, [" ".join(f"w{i}" for i in range(30)), "none"])
-    bench = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, i + 12))) for i in range(0, 18, 3)], "item_id long, text string")
-    one = {r["doc_id"]: (list(r["runs"]), list(r["items"])) for r in decontaminate.benchmark_hits(docs, bench).collect()}
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 50)
-    many = {r["doc_id"]: (list(r["runs"]), list(r["items"])) for r in decontaminate.benchmark_hits(docs, bench).collect()}
-    assert one == many and many[0][0] == [0, 27]
+    """Any size of the blocks gives the same rows, also for rows that repeat."""
+    texts = [" ".join(f"w{i}" for i in range(30)), "none", None, "w3 w4"] * 3
+    docs = _docs(spark, texts).withColumn("doc_id", F.col("doc_id") % 4)
+    bench = spark.createDataFrame([*((i, " ".join(f"w{j}" for j in range(i, i + 12))) for i in range(0, 18, 3)), (99, "w3 w4"), (100, " ".join(f"w{j}" for j in range(30)))], "item_id long, text string")
+    rows = lambda: sorted((r["doc_id"], r["n_words"], list(r["runs"]), list(r["spans"]), list(r["items"])) for r in decontaminate.benchmark_hits(docs, bench).collect())
+    one, clean = rows(), decontaminate.clean_rows(docs, bench).count()
+    assert len(one) == 12 and one[0][2] == [0, 30] and clean == 6
+    for block, kept, held in ((5, 10**6, 10), (5, 0, 10), (30, 0, 10**6)):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+        monkeypatch.setattr(decontaminate, "KEPT_WORDS", kept)
+        monkeypatch.setattr(decontaminate, "HELD_BYTES", held)
+        assert rows() == one and decontaminate.clean_rows(docs, bench).count() == clean
+
+
+def _plain_hits(words, items, window):
+    hit, found = set(), set()
+    for item, own in items:
+        n = min(window, len(own))
+        for i in range(len(own) - n + 1):
+            for p in range(len(words) - n + 1):
+                if n and words[p : p + n] == own[i : i + n]:
+                    hit |= set(range(p, p + n))
+                    found.add(item)
+    return hit, found
+
+
+@pytest.mark.parametrize("window", [10, 4, 3])
+def test_decontaminate_brute_force(window):
+    rng = random.Random(window)
+    for _ in range(60):
+        alphabet = [f"w{i}".encode() for i in range(rng.choice([2, 4, 30]))]
+        word = lambda: rng.choice(alphabet)
+        items = [(i, [word() for _ in range(rng.randrange(0, 30))]) for i in range(6)]
+        text = [word() for _ in range(40)] + items[0][1] + items[1][1][3:] + [word(), b"other"] + items[2][1][:11]
+        hits, found = decontaminate.Finder(items, window).find(text)
+        assert ({p for a, b in hits for p in range(a, b)}, found) == _plain_hits(text, items, window)
 
 
 # --- substring dedup -------------------------------------------------------------------------
