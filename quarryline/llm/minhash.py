@@ -53,7 +53,7 @@ MISS = 1e-6
 #: Members beside the least one that are compared with all of a group before its cells are.
 ROUNDS = 1
 #: Members and shingles that a cell takes from either side, about (a longer text stands alone).
-CELL, CELL_SHINGLES = 512, 1 << 20
+CELL, CELL_SHINGLES = 128, 1 << 19
 #: Shingles that are sampled together.
 BLOCK_SHINGLES = 1 << 16
 #: Characters of a chunk of documents and of the shingles of a bucket, about; there are at least PARTS of both.
