@@ -58,6 +58,11 @@ def q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def ddl(df: DataFrame, *more: str) -> str:
+    """Schema of ``df`` and further fields, as DDL."""
+    return ", ".join([*(f"{q(f.name)} {f.dataType.simpleString()}" for f in df.schema.fields), *more])
+
+
 def beside(df: DataFrame, source: str, cast: str = "string") -> tuple[DataFrame, str]:
     """Columns c0, c1, ... of ``df`` and behind them ``source``; and the DDL of the former.
 
@@ -92,6 +97,8 @@ class Scratch:
     """Tables that an operator needs on its way: a folder of the shared one, removed when the block ends.
 
     What the operator returns must not read them any more, so it is a ``shared_table`` of its own.
+    What a driver iterates over (``toLocalIterator``) is such a table too: the shuffle files that a plan would
+    still need may go as soon as its action has begun to return rows.
     """
 
     def __init__(self, spark: SparkSession) -> None:
@@ -104,21 +111,26 @@ class Scratch:
         return self
 
     def __exit__(self, *_: object) -> None:
+        self.drop()
+
+    def drop(self) -> None:
         drop_folder(self.spark, self.path)
 
 
-def spread_join(rows: DataFrame, small: DataFrame, key: str, how: str = "inner", by: str | None = None) -> DataFrame:
+def spread_join(rows: DataFrame, small: DataFrame, key: str, how: str = "inner", by: str | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """``rows`` joined to ``small``, which has a key once; the rows of a frequent key are dealt to many tasks.
 
-    ``rows`` is a written table, as it is read twice.  A key is frequent if it has more than one ``FREQUENT``-th of the
-    rows; keys are counted by aggregation, which combines before the shuffle, and the list of frequent ones is broadcast: it has
-    fewer than ``FREQUENT`` entries whatever the size of ``rows``.  Their rows get a salt (by the hash of ``by``, or of
-    all columns), and their row of ``small`` is repeated for each salt.
+    A key is frequent if it has more than one ``FREQUENT``-th of the rows; keys are counted by aggregation, which
+    combines before the shuffle, and the list of frequent ones is broadcast: it has fewer than ``FREQUENT`` entries
+    whatever the size of ``rows``.  Their rows get a salt (by the hash of ``by``, or of
+    all columns), and their row of ``small`` is repeated for each salt.  ``rows`` is a written table, as it is counted first,
+    unless ``sizes`` (key, n), a written table, has the counts.
     """
-    each = max(64, rows.count() // FREQUENT)
+    total = rows.count() if sizes is None else sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    each = max(64, total // FREQUENT)
     salt, ways = (own_name(rows, own_name(small, x)) for x in ("salt", "ways"))
-    sizes = rows.groupBy(key).agg(F.count("*").alias(ways)).filter(F.col(ways) > each)
-    hot = F.broadcast(sizes.select(key, F.least(F.ceil(F.col(ways) / each), F.lit(FREQUENT)).cast("int").alias(ways)))
+    counted = rows.groupBy(key).agg(F.count("*").alias(ways)) if sizes is None else sizes.select(key, F.col("n").alias(ways))
+    hot = F.broadcast(counted.filter(F.col(ways) > each).select(key, F.least(F.ceil(F.col(ways) / each), F.lit(FREQUENT)).cast("int").alias(ways)))
     spread = F.pmod(F.xxhash64(*([by] if by else [F.col(q(c)) for c in rows.columns])), F.coalesce(F.col(ways), F.lit(1))).cast("int")
     left = rows.join(hot, key, "left").withColumn(salt, spread).drop(ways)
     right = small.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(ways), F.lit(1)) - 1))).drop(ways)

@@ -2,8 +2,8 @@
 
 Multinomial naive Bayes over hashed character n-grams.  Spark sums the
 n-gram counts of a bounded sample of rows for each language; the matrix of
-log probabilities (``BUCKETS`` x languages) is broadcast and batches are scored
-by sparse look-ups in numpy.
+log probabilities (``BUCKETS`` x languages) is broadcast in blocks of ``BLOCK``
+languages, and a text's sparse counts are multiplied with them in numpy.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import map_arrow, table
+from quarryline.llm.common import Scratch, map_arrow, q, table
 from quarryline.llm.textcore import mix
 
 ORDERS = (1, 2, 3)
@@ -24,15 +24,18 @@ BUCKETS = 1 << 15
 SMOOTHING = 0.5
 #: Bound of the rows that are learned from, for each language; the rows of least hash are taken.
 MAX_ROWS_PER_LANG = 5_000
-#: Languages in all; the most frequent are kept.
-MAX_LANGS = 512
-CHUNK = 1 << 18
+#: Languages of a block of the matrix: bounds what is broadcast at a time, not the number of languages.
+BLOCK = 256
+#: Code points that are hashed together, and numbers of the matrix that are gathered together.
+SLICE, GATHERED = 1 << 18, 1 << 21
 
 
 @dataclass
 class Model:
+    """Languages in order of name, log priors, and blocks of columns of the log probabilities (arrays, or broadcasts of them)."""
+
     langs: list[str]
-    logp: np.ndarray
+    blocks: list
     prior: np.ndarray
 
 
@@ -40,70 +43,77 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, code points, row of each code point relative to it) of runs of lower-cased texts."""
-    first, held, size = 0, [], 0
-    for i, t in enumerate(texts):
-        held.append(np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
-        size += len(held[-1])
-        if size >= CHUNK or i == len(texts) - 1:
-            yield first, np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held])
-            first, held, size = i + 1, [], 0
-
-
-def _grams(cps: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, row) of every n-gram of each order."""
-    h = np.zeros(len(cps), np.uint64)
-    for n in range(1, max(ORDERS) + 1):
-        m = len(cps) - n + 1
-        if m <= 0:
-            return
-        h = h[:m] * np.uint64(0x9E3779B97F4A7C15) + cps[n - 1 :].astype(np.uint64) + np.uint64(n)
-        if n in ORDERS:
-            inside = row[:m] == row[n - 1 :]
-            yield (mix(h[inside]) >> np.uint64(49)).astype(np.int32), row[:m][inside]
-
-
-def _count(index: dict[str, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(index), BUCKETS))
-        for b in batches:
-            lang = np.array([index[x] for x in b.column("lang").to_pylist()])
-            for first, cps, row in _chunks(b.column("text").to_pylist()):
-                for bucket, at in _grams(cps, row):
-                    total += np.bincount(lang[first + at] * BUCKETS + bucket, minlength=total.size).reshape(total.shape)
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["counts"])
-
-    return run
+def counts(text: str) -> np.ndarray:
+    """How often each bucket occurs among the n-grams of a lower-cased text."""
+    cps = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    total = np.zeros(BUCKETS, np.int64)
+    for lo in range(0, len(cps), SLICE):
+        part = cps[lo : lo + SLICE + max(ORDERS) - 1]
+        h = np.zeros(len(part), np.uint64)
+        for n in range(1, max(ORDERS) + 1):
+            m = len(part) - n + 1
+            if m <= 0:
+                break
+            h = h[:m] * np.uint64(0x9E3779B97F4A7C15) + part[n - 1 :] + np.uint64(n)
+            if n in ORDERS:
+                total += np.bincount((mix(h[:SLICE]) >> np.uint64(49)).astype(np.int32), minlength=BUCKETS)
+    return total
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, counts) of a partition, which holds all rows of its languages; a language at a time."""
+    lang, total = None, np.zeros(BUCKETS)
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["lang", "counts"])
+
+    for b in batches:
+        for x, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+            if x != lang and lang is not None:
+                yield row()
+                total = np.zeros(BUCKETS)
+            lang = x
+            total += counts(t)
+    if lang is not None:
+        yield row()
 
 
 def fit(train: DataFrame, max_rows_per_lang: int = MAX_ROWS_PER_LANG) -> Model:
-    """``train``: doc_id, text, lang; null texts and languages teach nothing."""
-    train = train.filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not sizes:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    langs = sorted(r["lang"] for r in sizes)
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], int(1_000_003 * min(1.0, max_rows_per_lang / r["count"])))))
-    picked = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share[F.col("lang")]).select("lang", "text").repartition(4)
-    parts = map_arrow(picked, _count({x: i for i, x in enumerate(langs)}), "counts binary").collect()  # 4 rows of langs x BUCKETS numbers
-    counts = sum(np.frombuffer(r[0], np.float32).astype(float).reshape(len(langs), BUCKETS) for r in parts)
-    p = counts + SMOOTHING
-    n = {r["lang"]: r["count"] for r in sizes}
-    prior = np.log(np.array([n[x] for x in langs]) / sum(n.values()))
-    return Model(langs, np.log(p / p.sum(1, keepdims=True)).T.astype(np.float32).copy(), prior)
+    """``train``: doc_id, text, lang; null texts and languages teach nothing.  A language has ``max_rows_per_lang`` rows at most, about."""
+    train = train.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    with Scratch(train.sparkSession) as scratch:
+        sizes = scratch.table(train.groupBy("lang").agg(F.count("*").alias("n")))  # written first, so that Spark knows its size before it plans the join
+        share = F.least(F.lit(1.0), max_rows_per_lang / F.col("n")) * 1_000_003
+        n_langs = sizes.count()
+        picked = train.join(sizes, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.floor(share)).select("lang", "text")
+        parts = scratch.table(map_arrow(picked.repartition(max(4, n_langs // 4), "lang").sortWithinPartitions("lang"), _count, "lang string, counts binary"))
+        sc = train.sparkSession.sparkContext
+        number = {r["lang"]: r["n"] for r in sizes.toLocalIterator()}
+        logs: dict[str, np.ndarray] = {}
+        for r in parts.toLocalIterator():
+            p = np.frombuffer(r["counts"], np.float32).astype(float) + SMOOTHING
+            logs[r["lang"]] = np.log(p / p.sum()).astype(np.float32)
+    langs = sorted(logs)
+    model = Model(langs, [sc.broadcast(np.column_stack([logs[x] for x in langs[i : i + BLOCK]])) for i in range(0, len(langs), BLOCK)], np.zeros(0))
+    n = np.array([number[x] for x in langs], float)
+    model.prior = np.log(n / n.sum()) if len(n) else n
+    return model
 
 
 def scores(texts: list[str], model: Model) -> np.ndarray:
     """Posterior of each language, one row for each text."""
     total = np.tile(model.prior, (len(texts), 1))
-    k = len(model.langs)
-    for first, cps, row in _chunks(texts):
-        n = int(row[-1]) + 1 if len(row) else 0
-        for bucket, at in _grams(cps, row):
-            part = model.logp[bucket]
-            for j in range(k):
-                total[first : first + n, j] += np.bincount(at, weights=part[:, j], minlength=n)
+    blocks = [b if isinstance(b, np.ndarray) else b.value for b in model.blocks]
+    step = max(1, GATHERED // max((b.shape[1] for b in blocks), default=1))
+    for i, t in enumerate(texts):
+        c = counts(t)
+        held = np.flatnonzero(c)
+        own = c[held].astype(np.float64)
+        at = 0
+        for b in blocks:
+            for lo in range(0, len(held), step):
+                total[i, at : at + b.shape[1]] += own[lo : lo + step] @ b[held[lo : lo + step]]
+            at += b.shape[1]
     e = np.exp(total - total.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
 
@@ -115,11 +125,9 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
     text if ``train`` is empty.  Ties go to the language first in order of
     name.  Texts are scored whole; an id may repeat.
     """
-    model = fit(train, max_rows_per_lang)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    m = fit(train, max_rows_per_lang)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in batches:
             texts = b.column("text").to_pylist()
             known = [bool(m.langs) and has_letter(t) for t in texts]
@@ -132,11 +140,12 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
                 score[at] = p.max(1)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(q(id_col)).cast("long").alias("doc_id"), F.col(q(text_col)).cast("string").alias("text"))
     return map_arrow(base, run, "doc_id long, lang_pred string, score double")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row; nulls, texts without a letter, repeated rows and an empty table as in ``identify``."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     held_out = F.coalesce(F.expr("pmod(crc32(cast(doc_id AS string)), 3) = 1"), F.lit(False))
     out = identify(docs, docs.filter(~held_out))
