@@ -1,6 +1,6 @@
 """Operator 5: toxicity.
 
-A weighted lexicon of word beginnings is matched by Aho-Corasick over folded
+A weighted lexicon of word beginnings and short words is matched by Aho-Corasick over folded
 text (homoglyphs and digit substitutions undone).  Hits inside exception
 phrases do not count; the weights of the others are normalised by length and
 a logistic curve turns them into a probability.  Lexicon, exceptions and
@@ -22,16 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import map_arrow, shared_table, table
+from quarryline.llm.common import Scratch, map_arrow, q, table
 from quarryline.llm.quality_classifier import marked_rows
 
 #: Bound of the labelled rows that are learned from; the rows of least hash are taken.
 MAX_TRAIN_ROWS = 20_000
-MIN_PREFIX, MAX_PREFIX = 4, 12
+#: Letters of a term: words of fewer than MIN_PREFIX are terms as a whole, longer terms are beginnings of words.
+MIN_PREFIX, MAX_PREFIX = 4, 32
 #: Toxic documents that must hold a term, and by how much (log odds) it must point to them.
 MIN_DOCS = 5
 MIN_LOG_ODDS = 2.5
-MAX_TERMS = 4_000
 #: Characters that look like Latin letters.
 HOMOGLYPHS = str.maketrans("аеорсухіјѕԁһӏвкмнтгαεορυνικτ", "aeopcyxijsdhlbkmhtraeopuvikt")
 _LOOKALIKE = re.compile("[Ͱ-ϿЀ-ԯ！-～]")
@@ -117,7 +117,8 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
 
 
 def _prefixes(body: bytes) -> set[str]:
-    return {w[:n] for w in set(body.decode().split()) for n in range(MIN_PREFIX, min(MAX_PREFIX, len(w)) + 1)}
+    words = set(body.decode().split())
+    return {w[:n] for w in words for n in range(MIN_PREFIX, min(MAX_PREFIX, len(w)) + 1)} | {w + " " for w in words if len(w) < MIN_PREFIX}
 
 
 def _prefix_counts(only: frozenset[str] | None):
@@ -137,7 +138,7 @@ def log_odds(a: int, in_a: int, b: int, in_b: int) -> float:
 
 
 def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Shortest word beginnings that point to toxic texts, each lengthened while it loses few of them."""
+    """Shortest word beginnings that point to toxic texts, each lengthened while it loses few of them, and short words (with a space behind)."""
     score = {t: log_odds(n, n_toxic, clean.get(t, 0), n_clean) for t, n in toxic.items()}
     longer: dict[str, list[str]] = {}
     for t in toxic:
@@ -149,7 +150,7 @@ def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_c
         while more := [x for x in longer.get(t, ()) if toxic[x] >= 0.9 * toxic[t] and score[x] >= score[t] - 0.2]:
             t = max(more, key=lambda x: (toxic[x], x))
         out[t] = min(score[t], 8.0)
-    return dict(sorted(out.items(), key=lambda kv: (-kv[1], kv[0]))[:MAX_TERMS])
+    return out
 
 
 def _contexts(model: Model):
@@ -184,20 +185,32 @@ def _measure(model: Model, keep: list[str]):
 
 
 def fit(train: DataFrame) -> Model:
-    """``train``: text, label int (bounded by the caller)."""
-    train = shared_table(train.repartition(12))
+    """``train``: text, label int.  The caller bounds its rows, and with them lexicon, exceptions and what the driver gathers.
+
+    Null texts are empty; with labels of one kind only every score is that kind's, with none a constant below the threshold.
+    """
+    with Scratch(train.sparkSession) as scratch:
+        return _fit(scratch.table(train.repartition(12)), scratch)
+
+
+def _fit(train: DataFrame, scratch: Scratch) -> Model:
     sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return Model(curve=(-30.0 if not n_toxic else 30.0, 0.0, 0.0)) if n_toxic or n_clean else Model()
-    counted = lambda label, only: {r["term"]: r["n"] for r in map_arrow(train.filter(F.col("label") == label).select("text"), _prefix_counts(only), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= (MIN_DOCS if only is None else 1)).toLocalIterator()}
+
+    def counted(label: int, only: frozenset[str] | None) -> dict[str, int]:
+        parts = map_arrow(train.filter(F.col("label") == label).select("text"), _prefix_counts(only), "term string, n long")
+        held = scratch.table(parts.groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= (MIN_DOCS if only is None else 1)))
+        return {r["term"]: r["n"] for r in held.toLocalIterator()}
+
     toxic = counted(1, None)
     model = Model(choose_terms(toxic, counted(0, frozenset(toxic)), n_toxic, n_clean))
     if not model.terms:
         return Model(curve=(float(np.log(n_toxic / n_clean)), 0.0, 0.0))
     seen = map_arrow(train, _contexts(model), "phrase string, label int, n long").groupBy("phrase").pivot("label", [0, 1]).agg(F.sum("n"))
     seen = seen.select("phrase", F.coalesce("0", F.lit(0)).alias("clean"), F.coalesce("1", F.lit(0)).alias("toxic")).filter(f"clean >= 3 AND (clean + 0.5) / {n_clean} > (toxic + 0.5) / {n_toxic}")
-    model.exceptions = [r["phrase"] for r in seen.orderBy(F.desc("clean"), "phrase").limit(MAX_TERMS).collect()]
+    model.exceptions = sorted(r["phrase"] for r in scratch.table(seen.select("phrase")).toLocalIterator())
     m = map_arrow(train, _measure(model, ["label"]), "label int, total double, rate double").toArrow()
     model.curve = fit_curve(curve_features(m.column("total").to_numpy(), m.column("rate").to_numpy()), m.column("label").to_numpy().astype(float))
     return model
@@ -209,7 +222,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     Null and empty texts have no hits and get the curve's value there.  Texts
     are matched whole; an id may repeat.  Other columns are ignored.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(q(id_col)).cast("long").alias("doc_id"), F.col(q(text_col)).cast("string").alias("text"))
     out = map_arrow(base, _measure(model, ["doc_id"]), "doc_id long, total double, rate double")
     w = model.curve
     return out.withColumn("score", 1 / (1 + F.exp(-(F.lit(w[0]) + w[1] * F.log1p("total") + w[2] * F.log1p("rate")))))
@@ -222,6 +235,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out: str, bound: int)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row; nulls, empty texts, repeated rows and an empty table as in ``toxicity``."""
     docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels")
     held_out = "pmod(crc32(cast(doc_id AS string)), 4) = 2"
     model = fit(training_rows(docs, labels, held_out, MAX_TRAIN_ROWS))
