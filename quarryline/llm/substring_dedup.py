@@ -15,7 +15,8 @@ Plan:
    starts earlier in the first copy.
 3. ``_windows`` hashes (96 bits) only the windows whose least gram repeats.
    Spark counts them and finds the least document of each, after a map-side
-   aggregation, so that no frequent passage gathers in one task.
+   aggregation, and the documents get that back by ``spread_join``, which
+   deals the rows of a frequent gram, window or text to many tasks.
 4. ``_remove`` merges the windows a document does not own, and its own later
    occurrences, into removal intervals.
 """
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import map_arrow, shared_table, table
+from quarryline.llm.common import Scratch, map_arrow, q, shared_table, spread_join, table
 from quarryline.llm.textcore import WORD_BASE_2, ngram_hashes, sliding_min, text_chunks, word_bounds, word_hashes
 
 WINDOW = 20
@@ -157,36 +158,42 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows with one id and one text give equal rows.  An empty table
     gives an empty table.  Other columns are ignored.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(q(id_col)).cast("long").alias("doc_id"), F.col(q(text_col)).cast("string").alias("text"))
     base = base.withColumn("text_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    sketch = shared_table(map_arrow(base, _sketch(window), "doc_id long, text_key string, n_words long, all_sha256 string, grams array<long>, twice array<long>"))
-
-    first = shared_table(sketch.groupBy("text_key").agg(F.min("doc_id").alias("doc_id")))
-    heads = sketch.filter(f"n_words >= {window}").dropDuplicates(["doc_id", "text_key"]).join(first, ["doc_id", "text_key"], "left_semi")
-    rows = heads.select("doc_id", "text_key", F.explode("grams").alias("gram"), F.lit(1).alias("n")).unionAll(heads.select("doc_id", "text_key", F.explode("twice").alias("gram"), F.lit(2).alias("n")))
-    again = shared_table(rows.groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").select("gram"))
-    wanted = shared_table(rows.select("doc_id", "text_key", "gram").join(again, "gram").groupBy("doc_id", "text_key").agg(F.collect_list("gram").alias("grams")))
-    held = shared_table(base.join(wanted, ["doc_id", "text_key"]))
-
-    found = map_arrow(held.select("doc_id", "text", "grams"), _windows(window), "doc_id long, h1 array<long>, h2 array<int>")
-    found = found.select("doc_id", F.inline(F.arrays_zip("h1", "h2")))
-    owner = shared_table(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").drop("last"))
-    foreign = shared_table(found.join(owner, ["h1", "h2"]).filter("doc_id > owner").groupBy("doc_id").agg(F.collect_list("h1").alias("foreign")))
-    cut = map_arrow(held.select("doc_id", "text_key", "text").join(foreign, "doc_id", "left"), _remove(window), "doc_id long, text_key string, n_removed long, kept_sha256 string, removed array<int>")
-    cut = shared_table(cut.dropDuplicates(["doc_id", "text_key"]))
-
-    copies = sketch.select("doc_id", "text_key", "n_words", "all_sha256").join(first.select("text_key", F.col("doc_id").alias("head")), "text_key")
-    done = copies.join(cut, ["doc_id", "text_key"], "left")
-    is_copy = (F.col("doc_id") > F.col("head")) & (F.col("n_words") >= window)
-    return done.select(
-        "doc_id", "n_words",
-        F.when(is_copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(is_copy, F.lit(EMPTY_SHA)).otherwise(F.coalesce("kept_sha256", "all_sha256")).alias("kept_sha256"),
-        F.when(is_copy, F.array(F.lit(0), F.col("n_words").cast("int"))).otherwise(F.coalesce("removed", F.array().cast("array<int>"))).alias("removed"),
-    )
+    with Scratch(docs.sparkSession) as scratch:
+        sketch = scratch.table(map_arrow(base, _sketch(window), "doc_id long, text_key string, n_words long, all_sha256 string, grams array<long>, twice array<long>"))
+        first = scratch.table(sketch.groupBy("text_key").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")))
+        heads = sketch.filter(f"n_words >= {window}").dropDuplicates(["doc_id", "text_key"]).join(first.select("text_key", F.col("head").alias("doc_id")), ["doc_id", "text_key"], "left_semi")
+        heads = scratch.table(heads.select("doc_id", "text_key", "grams", "twice"))
+        rows = heads.select("doc_id", "text_key", F.explode("grams").alias("gram"), F.lit(1).alias("times")).unionAll(heads.select("doc_id", "text_key", F.explode("twice").alias("gram"), F.lit(2).alias("times")))
+        again = scratch.table(rows.groupBy("gram").agg(F.sum("times").alias("times"), F.count("*").alias("n")).filter("times > 1").select("gram", "n"))
+        wanted = spread_join(rows.select("doc_id", "text_key", "gram"), again.select("gram"), "gram", by="doc_id", sizes=again)
+        wanted = scratch.table(wanted.groupBy("doc_id", "text_key").agg(F.collect_list("gram").alias("grams")))
+        held = scratch.table(base.join(wanted, ["doc_id", "text_key"]))
+
+        found = map_arrow(held.select("doc_id", "text", "grams"), _windows(window), "doc_id long, h1 array<long>, h2 array<int>")
+        found = scratch.table(found.select("doc_id", F.inline(F.arrays_zip("h1", "h2"))).select("doc_id", F.struct("h1", "h2").alias("h")))
+        owner = scratch.table(found.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("owner < last").select("h", "owner", "n"))
+        foreign = spread_join(found, owner.select("h", "owner"), "h", by="doc_id", sizes=owner).filter("doc_id > owner")
+        foreign = scratch.table(foreign.groupBy("doc_id").agg(F.collect_list("h.h1").alias("foreign")))
+        cut = map_arrow(held.select("doc_id", "text_key", "text").join(foreign, "doc_id", "left"), _remove(window), "doc_id long, text_key string, n_removed long, kept_sha256 string, removed array<int>")
+        cut = scratch.table(cut.dropDuplicates(["doc_id", "text_key"]))
+
+        copies = spread_join(sketch.select("doc_id", "text_key", "n_words", "all_sha256"), first.select("text_key", "head"), "text_key", by="doc_id", sizes=first.select("text_key", "n"))
+        done = copies.join(cut, ["doc_id", "text_key"], "left")
+        is_copy = (F.col("doc_id") > F.col("head")) & (F.col("n_words") >= window)
+        return shared_table(
+            done.select(
+                "doc_id", "n_words",
+                F.when(is_copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+                F.when(is_copy, F.lit(EMPTY_SHA)).otherwise(F.coalesce("kept_sha256", "all_sha256")).alias("kept_sha256"),
+                F.when(is_copy, F.array(F.lit(0), F.col("n_words").cast("int"))).otherwise(F.coalesce("removed", F.array().cast("array<int>"))).alias("removed"),
+            )
+        )
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every row; nulls, short texts, repeated rows and an empty table as in ``substring_dedup``."""
     return substring_dedup(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
