@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import map_arrow
+from quarryline.llm.common import ddl, map_arrow, q
 from quarryline.llm.textcore import ngram_hashes, text_chunks, word_bounds, word_hashes
 
 #: Words of the windows in which repetition is counted.
@@ -86,20 +86,17 @@ def stats_of(column: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
-def document_stats(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
-    """doc_id, the columns ``keep`` and COUNTS of every row."""
-    kept = [F.col(c).alias(c) for c in keep]
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), *kept, F.col(text_col).cast("string").alias("__text"))
-    fields = [f for f in base.schema.fields if f.name != "__text"]
+def document_stats(docs: DataFrame, id_col: str, text_col: str, **keep: Column) -> DataFrame:
+    """doc_id, the columns ``keep`` under their names here and COUNTS of every row; null counts as empty."""
+    base = docs.select(F.col(q(id_col)).cast("long").alias("doc_id"), *(c.alias(n) for n, c in keep.items()), F.col(q(text_col)).cast("string").alias("text_in"))
+    names = ["doc_id", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = stats_of(b.column("__text"))
+            s = stats_of(b.column("text_in"))
             yield pa.RecordBatch.from_arrays([b.column(f) for f in names] + [pa.array(s[k]) for k in COUNTS], names=[*names, *COUNTS])
 
-    names = [f.name for f in fields]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"{k} long" for k in COUNTS)])
-    return map_arrow(base, run, schema)
+    return map_arrow(base, run, ddl(base.drop("text_in"), *(f"{k} long" for k in COUNTS)))
 
 
 def ratios(c: dict[str, np.ndarray]) -> np.ndarray:

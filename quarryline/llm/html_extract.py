@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import add_column, map_arrow, q, table
+from quarryline.llm.common import Scratch, add_column, map_arrow, q, table
 
 #: Bound of the pages that are counted; the pages of least hash are taken.
 MAX_LABELLED_PAGES = 4_000
@@ -338,7 +338,9 @@ def learn(pages: DataFrame, html_col: str = "html", max_pages: int = MAX_LABELLE
 
     some = pages.filter(F.pmod(F.xxhash64(*keys), F.lit(1_000_003)) < cut).select(F.col(q(html_col)).cast("string").alias("html"))
     counted = map_arrow(some, run, "token string, inside boolean, n long, pages long").groupBy("token", "inside").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages"))
-    return weights_of({(r["token"], r["inside"]): r["n"] for r in counted.filter((F.col("pages") >= MIN_PAGES) | ~F.col("token").startswith(".")).select("token", "inside", "n").toLocalIterator()})
+    with Scratch(pages.sparkSession) as scratch:
+        held = scratch.table(counted.filter((F.col("pages") >= MIN_PAGES) | ~F.col("token").startswith(".")).select("token", "inside", "n"))
+        return weights_of({(r["token"], r["inside"]): r["n"] for r in held.toLocalIterator()})
 
 
 def main_text(pages: DataFrame, html_col: str = "html", text_col: str = "text", weights: dict[str, float] | None = None) -> DataFrame:

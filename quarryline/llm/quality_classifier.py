@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import map_arrow, shared_table, table
+from quarryline.llm.common import Scratch, add_column, map_arrow, q, table
 from quarryline.llm.docstats import COUNTS, document_stats, ratios, stats_of
 
 FEATURES = 256
@@ -126,23 +126,19 @@ def marked_rows(labels: DataFrame, label_col: str, held_out: str, bound: int) ->
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: str = HELD_OUT, max_train_rows: int = MAX_TRAIN_ROWS) -> Model:
     """The model of ``labels.quality``; the labelled rows it learns from are bounded, and so is what is broadcast to find them."""
     marked = marked_rows(labels, "quality", held_out, max_train_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "doc_id")
-    stats = document_stats(rows, "doc_id", "text", "label").withColumn("calibrate", F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(CALIBRATE_PART)) == 0)
-    return fit(shared_table(stats.select(*COUNTS, "label", "calibrate")))
+    rows = docs.select(F.col(q(id_col)).cast("long").alias("doc_id"), F.col(q(text_col)).alias("text")).join(F.broadcast(marked), "doc_id")
+    stats = document_stats(rows, "doc_id", "text", label=F.col("label")).withColumn("calibrate", F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(CALIBRATE_PART)) == 0)
+    with Scratch(docs.sparkSession) as scratch:
+        return fit(scratch.table(stats.select(*COUNTS, "label", "calibrate")))
 
 
 def score_column(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with the score of ``text_col``; a column named ``score_col`` is replaced, others stay."""
-    rest = docs.drop(score_col)
-    names = rest.columns
+    """``docs`` with the score of ``text_col`` as the last column.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = stats_of(b.column("__text"))
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(model.score(ratios(s)), pa.float64())], names=[*names, score_col])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields), f"`{score_col}` double"])
-    return map_arrow(rest.withColumn("__text", F.col(text_col).cast("string")), run, schema)
+    A column named ``score_col`` is replaced, others stay whatever their names.  Null and empty texts get the score of a
+    text without words; rows are independent, so repeated ones get equal scores; an empty table gives an empty one.
+    """
+    return add_column(docs, score_col, "double", text_col, lambda texts: pa.array(model.score(ratios(stats_of(texts))), pa.float64()))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: str = HELD_OUT, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
@@ -154,9 +150,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     labels takes the largest.
     """
     model = learn(docs, labels, id_col, text_col, held_out, max_train_rows)
-    scored = score_column(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__t")), model, "__t")
+    scored = score_column(docs.select(F.col(q(id_col)).cast("long").alias("doc_id"), F.col(q(text_col)).alias("text")), model)
     return scored.select("doc_id", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row; nulls, missing labels, repeated rows and an empty table as in ``quality_scores``."""
     return quality_scores(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels"))

@@ -18,10 +18,11 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import shared_table, table
+from quarryline.llm.common import Scratch, q, shared_table, spread_join, table
 from quarryline.llm.docstats import document_stats
 
 #: Statistic of each rule, as SQL over the columns of ``document_stats``; all rise with junk.
@@ -41,49 +42,71 @@ DELTA = 0.05
 CATCH = 0.98
 
 
+def beta_cdf(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - beta_cdf(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d = 1.0, 1.0 / max(1 - (a + b) * x / (a + 1), 1e-300)
+    f = d
+    for m in range(1, 200_000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 / ((1 + step * d) or 1e-300)
+            c = (1 + step / c) or 1e-300
+            f *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return front * f
+
+
 def binomial_upper(k: int, n: int, delta: float) -> float:
     """Clopper-Pearson: the largest rate under which at most ``k`` of ``n`` has probability ``delta``."""
     if k >= n:
         return 1.0
-
-    def below(p: float) -> float:
-        q = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-        top = max(q)
-        return top + math.log(sum(math.exp(x - top) for x in q))
-
     lo, hi = k / n, 1.0
-    for _ in range(60):
+    while hi - lo > 1e-10:
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if below(mid) > math.log(delta) else (lo, mid)
-        if hi - lo < 1e-9:
-            break
+        lo, hi = (mid, hi) if beta_cdf(1 - mid, n - k, k + 1) > delta else (lo, mid)
     return hi
 
 
-def choose_cutoffs(counts: list[tuple[str, str, int, int, int]], alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], float]:
-    """Cutoff for each (stratum, rule) that has one; ``counts``: stratum, rule, bin, good and bad documents in that bin.
+def choose_cutoffs(bins: dict[str, dict[int, tuple[int, int]]], tests: int, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, float]:
+    """Cutoff of each rule that has one in a stratum; ``bins``: by rule and bin, the good and bad documents there.
 
-    Bin ``b`` holds the documents whose statistic exceeds exactly the grid's first ``b`` points.
+    Bin ``b`` holds the documents whose statistic exceeds exactly the grid's first ``b`` points; ``tests``
+    counts the pairs of stratum and rule that are tested in all.
     """
-    by: dict[tuple[str, str], dict[int, tuple[int, int]]] = {}
-    for stratum, rule, b, good, bad in counts:
-        by.setdefault((stratum, rule), {})[b] = (good, bad)
-    tests, out = max(1, len({s for s, _ in by}) * len(RULES)), {}
-    for key, bins in by.items():
-        total = sum(g for g, _ in bins.values())
+    out = {}
+    for rule, own in bins.items():
+        total = sum(g for g, _ in own.values())
         lost = caught = 0
         held: list[tuple[float, int]] = []
         for g in reversed(range(len(GRID))):
-            good, bad = bins.get(g + 1, (0, 0))
+            good, bad = own.get(g + 1, (0, 0))
             lost, caught = lost + good, caught + bad
-            if lost > alpha * total or binomial_upper(lost, total, delta / tests) > alpha / len(RULES):
-                break
+            if lost > alpha / len(RULES) * total or binomial_upper(lost, total, delta / tests) > alpha / len(RULES):
+                break  # the bound is above the rate itself
             held.append((GRID[g], caught))
         if held and held[-1][1]:
-            out[key] = next(c for c, n in held if n >= CATCH * held[-1][1])
+            out[rule] = next(c for c, n in held if n >= CATCH * held[-1][1])
     return out
 
 
+def _cutoffs(tests: int, alpha: float, delta: float):
+    """A row for the stratum: its cutoff for each rule, null where there is none."""
+
+    def run(t: pa.Table) -> pa.Table:
+        bins: dict[str, dict[int, tuple[int, int]]] = {}
+        for r in t.to_pylist():
+            bins.setdefault(r["rule"], {})[r["bin"]] = (r["good"], r["bad"])
+        cut = choose_cutoffs(bins, tests, alpha, delta)
+        return pa.table([t.column("stratum").slice(0, 1), *(pa.array([cut.get(r)], pa.float64()) for r in RULES)], names=["stratum", *(f"cut_{r}" for r in RULES)])
+
+    return run
+
+
 def _bin(stat: Column) -> Column:
     """How many grid points a statistic exceeds (the grid is evenly spaced from 0)."""
     return F.greatest(F.lit(0), F.least(F.lit(len(GRID)), F.ceil(stat * 40))).cast("int")
@@ -101,26 +124,23 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     certify nothing; with no labels at all only the base decides.  An id that
     is labelled more than once counts as good if any label says so.
     """
-    stats = document_stats(docs.withColumn("__s", F.coalesce(F.col(stratum_col).cast("string"), F.lit("\x00none"))), id_col, text_col, "__s")
-    stats = shared_table(stats.withColumnRenamed("__s", "stratum"))
-    label = labels.filter("quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("__good"))
-    held = stats.filter(~base_failed()).join(label, "doc_id")
-    stacked = held.select("stratum", "__good", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), _bin(F.expr(e)).alias("bin")) for r, e in RULES.items()))).alias("x"))
-    tally = stacked.groupBy("stratum", "x.rule", "x.bin").agg(F.count_if(F.col("__good") == 1).alias("good"), F.count_if(F.col("__good") == 0).alias("bad"))
-    cut = choose_cutoffs([tuple(r) for r in tally.collect()], alpha, delta)  # strata x rules x grid rows at most
-    failing = []
-    for rule, expr in RULES.items():
-        mine = {s: c for (s, r), c in cut.items() if r == rule}
-        if mine:
-            limit = F.create_map(*(F.lit(x) for kv in sorted(mine.items()) for x in kv))[F.col("stratum")]
-            failing.append(F.when(_bin(F.expr(expr)) > F.round(limit * 40).cast("int"), F.lit(rule)))
-    failed = F.array_compact(F.array(*failing)) if failing else F.array().cast("array<string>")
-    return stats.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed().alias("base_failed"), failed.alias("failed_rules"),
-    ).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    stats = document_stats(docs, id_col, text_col, stratum=F.coalesce(F.col(q(stratum_col)).cast("string"), F.lit("\x00none")))
+    with Scratch(docs.sparkSession) as scratch:
+        stats = scratch.table(stats)
+        label = labels.filter("quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("is_good"))
+        held = stats.filter(~base_failed()).join(label, "doc_id")
+        stacked = held.select("stratum", "is_good", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), _bin(F.expr(e)).alias("bin")) for r, e in RULES.items()))).alias("x"))
+        tally = scratch.table(stacked.groupBy("stratum", "x.rule", "x.bin").agg(F.count_if(F.col("is_good") == 1).alias("good"), F.count_if(F.col("is_good") == 0).alias("bad")))
+        tests = max(1, tally.select("stratum").distinct().count() * len(RULES))
+        # A group is one stratum: a row for each rule and bin at most.
+        cut = scratch.table(tally.groupBy("stratum").applyInArrow(_cutoffs(tests, alpha, delta), "stratum string, " + ", ".join(f"cut_{r} double" for r in RULES)))
+        judged = spread_join(stats, cut, "stratum", how="left", by="doc_id")
+        failed = F.array_compact(F.array(*(F.when(_bin(F.expr(e)) > F.round(F.col(f"cut_{r}") * 40).cast("int"), F.lit(r)) for r, e in RULES.items())))
+        out = judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), failed.alias("failed_rules"))
+        return shared_table(out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the base counts, base_failed, failed_rules, kept of every row; nulls, missing labels and an empty table as in ``quality_rules``."""
     docs, labels = table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels")
     return quality_rules(docs, labels).withColumn("failed_rules", F.array_join("failed_rules", ","))

@@ -314,18 +314,67 @@ def test_binomial_bound():
 
 
 def test_cutoffs_hold():
-    rows = [("s", r, b, n, m) for r in quality_rules.RULES for b, n, m in ((0, 20_000, 5), (20, 3, 0), (30, 0, 50), (40, 0, 50))]
-    cut = quality_rules.choose_cutoffs(rows)
-    assert set(cut) == {("s", r) for r in quality_rules.RULES} and set(cut.values()) == {29 / 40}
-    few = [(s, r, b, n // 200, m) for s, r, b, n, m in rows]
-    assert quality_rules.choose_cutoffs(few) == {}
-    assert quality_rules.choose_cutoffs([(s, r, b, n, 0) for s, r, b, n, m in rows]) == {}
+    bins = lambda few=1: {r: {0: (20_000 // few, 5), 20: (3 // few, 0), 30: (0, 50), 40: (0, 50)} for r in quality_rules.RULES}
+    cut = quality_rules.choose_cutoffs(bins(), 8)
+    assert set(cut) == set(quality_rules.RULES) and set(cut.values()) == {29 / 40}
+    assert quality_rules.choose_cutoffs(bins(200), 8) == {}
+    assert quality_rules.choose_cutoffs({r: {b: (g, 0) for b, (g, _) in x.items()} for r, x in bins().items()}, 8) == {}
     rng = random.Random(6)
     for _ in range(20):
-        some = [("s", "pipes", b, rng.randrange(400), rng.randrange(9)) for b in range(41)]
-        for (_, _), c in quality_rules.choose_cutoffs(some).items():
-            lost, total = sum(x[3] for x in some if x[2] > c * 40), sum(x[3] for x in some)
+        some = {b: (rng.randrange(400), rng.randrange(9)) for b in range(41)}
+        for c in quality_rules.choose_cutoffs({"pipes": some}, 8).values():
+            lost, total = sum(g for b, (g, _) in some.items() if b > c * 40), sum(g for g, _ in some.values())
             assert quality_rules.binomial_upper(lost, total, quality_rules.DELTA / 8) <= quality_rules.ALPHA / 8
+    assert quality_rules.binomial_upper(40, 10**9, 0.001) < 1e-7
+
+
+def _plain_ratios(text):
+    """The statistic of each rule of a text, from their definitions."""
+    w, (n_words, _, symbols, dup, repeat) = SPLIT.findall(text or ""), _plain_stats(text)
+    t = text or ""
+    letters = sum(c.isascii() and c.isalpha() or ord(c) >= 0x80 for c in t)
+    lines = [x for x in t.split("\n") if SPLIT.search(x)]
+    many = max(n_words, 1)
+    return {
+        "symbols": symbols / many, "pipes": t.count("|") / many, "bangs": (t.count("!") + t.count("?")) / many, "capitals": sum("A" <= c <= "Z" for c in t) / max(letters, 1),
+        "stutter": sum(a == b for a, b in zip(w, w[1:], strict=False)) / many, "repeats": repeat / many, "lines": dup / max(len(lines), 1), "digits": sum("0" <= c <= "9" for c in t) / max(len(t), 1),
+    }
+
+
+def test_kept_is_brute_force(spark):
+    """The verdict over two strata against cutoffs found by exact binomial sums over the labelled rows."""
+    from math import ceil, comb
+
+    rng = random.Random(11)
+    words = lambda n: " ".join(rng.choice("abcdefghij") + str(rng.randrange(99)) * rng.randrange(2) for _ in range(n))
+    junk = [lambda t: t.replace(" ", " | "), str.upper, lambda t: t + " a" * 30, lambda t: "\n".join([t] * 4), lambda t: t.replace(" ", "! ")]
+    docs = []
+    for i in range(4000):
+        bad = i % 5 == 0
+        t = words(rng.randrange(12, 25))
+        docs.append((i, rng.choice(junk)(t) if bad else t, ["x", None][i % 3 == 0], 0 if bad else 1))
+    df = spark.createDataFrame([(i, t, g) for i, t, g, _ in docs], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, _, _, y in docs], "doc_id long, quality int")
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality_rules.quality_rules(df, labels).collect()}
+    stats = {i: _plain_ratios(t) for i, t, _, _ in docs}
+    base = {i: _plain_stats(t)[0] < 10 or 100 * _plain_stats(t)[4] > 20 * _plain_stats(t)[0] for i, t, _, _ in docs}
+    bin_of = lambda x: max(0, min(40, ceil(x * 40)))
+    cut = {}
+    for g in ("x", None):
+        own = [(i, y) for i, _, h, y in docs if h == g and not base[i]]
+        good = [i for i, y in own if y]
+        for rule in quality_rules.RULES:
+            held = []
+            for b in range(39, -1, -1):
+                lost = sum(bin_of(stats[i][rule]) > b for i in good)
+                p = quality_rules.ALPHA / 8
+                if lost / len(good) > p or sum(comb(len(good), k) * p**k * (1 - p) ** (len(good) - k) for k in range(lost + 1)) > quality_rules.DELTA / 16:
+                    break
+                held.append((b, sum(bin_of(stats[i][rule]) > b for i, y in own if not y)))
+            if held and held[-1][1]:
+                cut[g, rule] = next(b for b, n in held if n >= quality_rules.CATCH * held[-1][1])
+    want = {i: (base[i], not base[i] and not any(bin_of(stats[i][r]) > cut[g, r] for r in quality_rules.RULES if (g, r) in cut)) for i, _, g, _ in docs}
+    assert got == want and cut and {k for _, k in got.values()} == {True, False}
 
 
 def test_quality_rules(spark):

@@ -261,13 +261,14 @@ def test_pipeline(spark):
     good = {r["doc_id"] for r in quality_classifier.score_column(docs, model).filter("score >= 0.5").collect()}
     classes = _classes([(i, rows[i]) for i in sorted(good)])
     first = {i for i in good if classes[i] == i}
-    a = decontaminate.build([(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
-    clean = sorted(i for i in first if not decontaminate.find(a, decontaminate.normalise(rows[i]))[1])
+    a = decontaminate.Finder([(r["item_id"], decontaminate.normalise(r["text"])) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
+    clean = sorted(i for i in first if not a.find(decontaminate.normalise(rows[i]))[1])
     want = {}
     lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    known = secret_scan.dictionary(spark.createDataFrame([(rows[i],) for i in clean], "text string"))
     for i in clean:
-        t, at, out = rows[i], 0, ""
-        for s, e, kind, _ in secret_scan.scan(t):
+        t, at, out = rows[i] or "", 0, ""
+        for s, e, kind, _ in secret_scan.scan(t, known=known):
             if s >= at:
                 out, at = out + t[at:s] + f"[{kind}]", e
             else:
@@ -279,3 +280,24 @@ def test_pipeline(spark):
     for _, f in p.STAGES[:-1]:
         stage = f(spark, stage, SF)
         assert stage.columns == docs.columns
+
+
+def test_pipeline_edges(spark):
+    """Nulls, empty and repeated rows, an id with two texts, an empty table and clashing columns pass every stage."""
+    import corpus_pipeline as p
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, source_in string, text_md5 int, `a.b` string"
+    good = "The first of the sentences runs on, and the next one follows it. " * 3
+    other = "Nothing of this stands in any other of the texts here, as it should be."
+    rows = [(1, good, "en", "s", 0, 1.0, "x", 1, "y"), (1, good, "en", "s", 0, 1.0, "x", 1, "y"), (1, "Another text, of the same id, that says other things.", None, None, None, None, None, None, None), (2, None, None, None, None, None, None, None, None), (None, "", "en", "s", 0, 1.0, "x", 1, "y"), (3, "password = abcdefghijkl1234 " + other, "en", "s", 9, 1.0, "x", 1, "y")]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        n = out.count()
+        assert n == 5 if name == "near-duplicates" else n <= 6
+        if name == "secret scans":
+            assert {r["text"] for r in out.filter("doc_id = 3").collect()} == {"[assign] " + other} and out.filter("doc_id = 3").first()["n_chars"] == len(other) + 9
+    last = p.STAGES[-1][1](spark, docs, SF)
+    assert last.count() == 6 and last.filter("size(token_ids) = 0").count() == 2 and p.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0

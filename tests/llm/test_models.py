@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ def _labels(spark):
 def test_language_accuracy(spark):
     lang = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     out = language_id.op4_language_id(spark, SF).join(lang, "doc_id").filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.min("score"), F.max("score")).first()
-    assert out[0] > 0.97 and 0 <= out[1] and out[2] <= 1
+    assert out[0] > 0.97 and 0 <= out[1] and out[2] <= 1, out
 
 
 def test_language_edges(spark):
@@ -31,20 +32,75 @@ def test_language_edges(spark):
     assert language_id.identify(docs.limit(0), train).count() == 0
 
 
-def test_language_scores_are_naive_bayes():
+def _plain_buckets(text):
+    """Buckets of all n-grams of a text, from the definition with whole numbers."""
+    m = (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & m
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & m
+        return x ^ x >> 31
+
+    low = text.lower()
+    for n in language_id.ORDERS:
+        for i in range(len(low) - n + 1):
+            h = 0
+            for j, c in enumerate(low[i : i + n], 1):
+                h = (h * 0x9E3779B97F4A7C15 + ord(c) + j) & m
+            yield mix(h) >> 49
+
+
+def test_language_scores_are_naive_bayes(monkeypatch):
+    monkeypatch.setattr(language_id, "SLICE", 7)
+    monkeypatch.setattr(language_id, "GATHERED", 5)
     rng = np.random.default_rng(0)
-    m = language_id.Model(["a", "b"], np.log(rng.uniform(size=(language_id.BUCKETS, 2))).astype(np.float32), np.log([0.5, 0.5]))
-    texts = ["Abc d", "xyz"]
+    logp = np.log(rng.uniform(size=(language_id.BUCKETS, 3))).astype(np.float32)
+    m = language_id.Model(["a", "b", "c"], [logp[:, :2], logp[:, 2:]], np.log([0.5, 0.2, 0.3]))
+    texts = ["Abc d", "xyz", "Ein längerer Satz, über mehrere Stücke.", "é"]
     want = []
     for t in texts:
-        s = m.prior.copy()
-        for _, cps, row in language_id._chunks([t]):
-            for bucket, _at in language_id._grams(cps, row):
-                s = s + m.logp[bucket].sum(0)
+        buckets = list(_plain_buckets(t))
+        assert language_id.counts(t).sum() == len(buckets) and set(np.flatnonzero(language_id.counts(t))) == set(buckets)
+        s = m.prior + logp[buckets].astype(float).sum(0)
         want.append(np.exp(s - s.max()) / np.exp(s - s.max()).sum())
     assert np.allclose(language_id.scores(texts, m), want, atol=1e-5)
-    n = sum(len(b) for _, c, r in language_id._chunks(["abcd"]) for b, _ in language_id._grams(c, r))
-    assert n == 4 + 3 + 2
+
+
+def test_many_languages(spark):
+    """No bound on the languages: each of 600 is predicted, over several blocks of the matrix."""
+    word = lambda i: "".join(chr(0x4E00 + 7 * i + j) for j in range(5))
+    train = spark.createDataFrame([(i, f"{word(i // 3)} {word(i // 3)}", f"l{i // 3:03d}", 1) for i in range(1800)], "doc_id long, text string, lang string, n int")
+    out = language_id.identify(train, train).join(train.select("doc_id", "lang"), "doc_id")
+    assert out.filter("lang = lang_pred").count() == 1800
+
+
+def test_language_query_is_brute_force(spark):
+    """The whole query against naive Bayes by dictionaries, from the table alone."""
+    import zlib
+    from collections import Counter, defaultdict
+
+    sf = "/root/testdata/sf0.001"
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i, _, _ in docs}
+    grams, n = defaultdict(Counter), Counter()
+    for i, t, g in docs:
+        if not held[i] and t is not None and g is not None:
+            grams[g].update(_plain_buckets(t))
+            n[g] += 1
+    size = {g: sum(c.values()) + language_id.SMOOTHING * language_id.BUCKETS for g, c in grams.items()}
+    got = {r["doc_id"]: r for r in language_id.op4_language_id(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for i, t, _ in docs:
+        assert got[i]["held_out"] == held[i]
+        if not t or not any(map(str.isalpha, t)):
+            assert got[i]["lang_pred"] == "und"
+            continue
+        c = Counter(_plain_buckets(t))
+        s = {g: np.log(n[g] / sum(n.values())) + sum(k * np.log((grams[g][b] + language_id.SMOOTHING) / size[g]) for b, k in c.items()) for g in n}
+        top = max(s.values())
+        assert s[got[i]["lang_pred"]] >= top - 1e-2 and abs(got[i]["score"] - 1 / sum(np.exp(x - top) for x in s.values())) < 1e-2
 
 
 def test_folding():
@@ -61,6 +117,41 @@ def test_exceptions_and_length():
     assert short > long > 0
 
 
+def test_short_and_long_words_are_terms(spark):
+    """Words of any length can be toxic: a short one as a whole, a long one beyond the others that begin like it."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}x" for i in range(50)] + ["zo", "zogg", "unwahrscheinlichkeiten"]
+    text = lambda *more: " ".join([*rng.choice(words, 30), *more])
+    rows = [(text("zog", "unwahrscheinlichkeitsfluch") if i % 4 == 0 else text(), int(i % 4 == 0)) for i in range(400)]
+    m = toxicity.fit(spark.createDataFrame(rows, "text string, label int"))
+    assert "zog " in m.terms and any(t.startswith("unwahrscheinlichkeits") for t in m.terms)
+    a = m.automaton()
+    total = lambda t: toxicity.measures(a, toxicity.fold(t))[0]
+    assert total("a ZOG here") > 0 and total("z0g") > 0 and total("zogg zo unwahrscheinlichkeiten") == 0 and total("unwahrscheinlichkeitsfluchs") > 0
+
+
+def test_toxicity_query_is_brute_force(spark):
+    """Scores of the query from the fitted model by plain search for each term, word by word."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), _labels(spark)
+    m = toxicity.fit(toxicity.training_rows(docs, labels, "pmod(crc32(cast(doc_id AS string)), 4) = 2", toxicity.MAX_TRAIN_ROWS))
+    got = {r["doc_id"]: r["score"] for r in toxicity.op5_toxicity(spark, sf).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        body = toxicity.fold(r["text"]).decode()
+        out = [(p, p + len(e) + 1) for e in m.exceptions for p in range(len(body)) if body.startswith(f" {e} ", p)] if any(f" {e} " in body for e in m.exceptions) else []
+        best = {}
+        for t, w in m.terms.items():
+            p = body.find(" " + t)
+            while p >= 0:
+                if p not in best or len(t) > best[p][0]:
+                    best[p] = (len(t), w)
+                p = body.find(" " + t, p + 1)
+        total = sum(w for p, (_, w) in best.items() if not any(x <= p < y for x, y in out))
+        rate = 100 * total / max(len(body.split()), 20)
+        z = m.curve[0] + m.curve[1] * np.log1p(total) + m.curve[2] * np.log1p(rate)
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_toxicity_held_out(spark):
     got = toxicity.op5_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").filter("held_out").groupBy("toxic", "predicted").count().collect()
     n = {(r["toxic"], r["predicted"]): r["count"] for r in got}
@@ -92,6 +183,33 @@ def test_quality_edges(spark):
     assert quality_classifier.quality_scores(docs.limit(0), labels).count() == 0
 
 
+def test_quality_query_is_brute_force(spark):
+    """The query against ridge regression on all training rows at once and isotonic levels by their min-max formula."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), _labels(spark)
+    got = {r["doc_id"]: r for r in quality_classifier.op7_quality_classifier(spark, sf).collect()}
+    model = quality_classifier.learn(docs, labels)
+    pick = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(quality_classifier.CALIBRATE_PART)) == 0
+    rows = docs.select("doc_id", "text").join(labels.select("doc_id", "quality"), "doc_id", "left").select("doc_id", "text", "quality", F.expr(quality_classifier.HELD_OUT).alias("out"), pick.alias("cal")).collect()
+    x = quality_classifier.ratios(quality_classifier.stats_of(pa.array([r["text"] for r in rows], pa.string())))
+    y = np.array([-1 if r["quality"] is None else r["quality"] for r in rows], float)
+    out, cal = (np.array([r[c] for r in rows], bool) for c in ("out", "cal"))
+    use = ~out & (y >= 0)
+    mean, scale = x[use].mean(0), np.sqrt(np.maximum(x[use].var(0), 1e-8))
+    z = quality_classifier.fourier(x, mean, scale, model.omega, model.phase)
+    fit = use & ~cal
+    w = np.linalg.solve(z[fit].T @ z[fit] + quality_classifier.RIDGE * fit.sum() * np.eye(z.shape[1]), z[fit].T @ y[fit])
+    raw = z @ w
+    assert np.allclose(raw, model.raw(x), atol=1e-5)
+    order = np.argsort(raw[use & cal], kind="stable")
+    s, t = raw[use & cal][order], y[use & cal][order]
+    level = np.array([max(min(t[i : j + 1].mean() for j in range(k, len(t))) for i in range(k + 1)) for k in range(len(t))])
+    knots = [(s[level == v].mean(), (t[level == v].sum() + 0.5) / ((level == v).sum() + 1) if (level == v).sum() > 1 else v) for v in np.unique(level)]
+    want = np.clip(np.interp(raw, [k for k, _ in knots], [v for _, v in knots]), 0, 1)
+    assert max(abs(got[r["doc_id"]]["score"] - v) for r, v in zip(rows, want, strict=True)) < 1e-4
+    assert all(got[r["doc_id"]]["held_out"] == r["out"] and got[r["doc_id"]]["predicted"] == int(got[r["doc_id"]]["score"] >= 0.5) for r in rows)
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(1)
     x = rng.normal(size=300)
