@@ -6,36 +6,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import decontaminate, minhash, quality_classifier, secret_scan, sentencepiece_codec
-from quarryline.llm.common import shared_table, table
+from quarryline.llm.common import Scratch, own_name, q, table
+
+# Every stage: a null text counts as empty where it isn't said otherwise, rows are judged one by one (so repeated rows
+# share their fate) but for near-duplicates, an empty table gives an empty one, further columns pass through whatever their names.
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the quality classifier rejects (score below 0.5)."""
+    """Drop the documents that the quality classifier rejects (score below 0.5); without labels none goes."""
     model = quality_classifier.learn(docs, table(spark, sf_dir, "labels"))
-    return quality_classifier.score_column(docs, model, score_col="__score").filter("__score >= 0.5").drop("__score")
+    score = own_name(docs, "score")
+    return quality_classifier.score_column(docs, model, score_col=score).filter(F.col(score) >= 0.5).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least id in each class of near copies; rows of one id are one document."""
-    classes = minhash.near_duplicates(docs)
-    gone = classes.filter("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Keep the document of least id in each class of near copies; another text of one id is a document of its own."""
+    return minhash.first_of_class(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a window of a benchmark item."""
+    """Drop the documents that hold a window of a benchmark item; null texts stay."""
     return decontaminate.clean_rows(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put ``[kind]`` in place of every secret; ``n_chars`` follows."""
-    found = secret_scan.secret_spans(docs, spans_col="__spans_found")
-    text = secret_scan.redacted("text", "__spans_found")
-    return found.withColumn("text", text).drop("__spans_found").withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
+    """Put ``[kind]`` in place of every secret; ``n_chars`` follows, but for null texts."""
+    n = F.coalesce(F.length("text").cast("long"), F.col("n_chars")).alias("n_chars")
+    return secret_scan.redacted(docs).select(*(n if c == "n_chars" else F.col(q(c)) for c in docs.columns))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document."""
+    """Piece ids of every document; null and empty texts have none."""
     out = sentencepiece_codec.encode_column(docs, ids_col="token_ids")
     return out.select("doc_id", "lang", "source", "n_chars", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
 
@@ -53,7 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each but the last is a table of the shared folder until the next one is written."""
+    docs, held = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = shared_table(stage(spark, docs, sf_dir))
+        step = Scratch(spark)
+        docs = step.table(stage(spark, docs, sf_dir))
+        if held:
+            held.drop()
+        held = step
     return STAGES[-1][1](spark, docs, sf_dir)
