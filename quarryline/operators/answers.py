@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as X
+from quarryline.schemas import ACTION_CODES, PARAMS
 
 #: Patterns of the offline router; both Java and RE2 read them.
 DECLINE = {
@@ -37,7 +38,7 @@ UNSUPPORTED = {"compute": "Calculations on filing data are not built yet.", "res
 
 def route(query: Column | str) -> Column:
     """struct<code, reason> by the ordered rules: decline, meta, social, missing context, many companies or years, arithmetic, look-up."""
-    q = F.col(query) if isinstance(query, str) else query
+    q = F.coalesce(F.col(query) if isinstance(query, str) else query, F.lit(""))
     low = F.lower(q)
     words = F.array_distinct(F.regexp_extract_all(q, F.lit(WORD), F.lit(0)))
     n_company, n_year = F.size(F.filter(words, lambda w: w.rlike(COMPANY))), F.size(F.filter(words, lambda w: w.rlike(YEAR)))
@@ -49,6 +50,30 @@ def route(query: Column | str) -> Column:
     return F.struct(code.alias("code"), reason.alias("reason"))
 
 
+def parse_directive(raw: Column | str) -> Column:
+    """struct<action_code, params, reasoning> of a router's raw output: fences off, JSON, taxonomy.
+
+    What can't be parsed and what names an unknown code asks to clarify, and its reasoning says why; missing params are all null.
+    """
+    r = F.coalesce(F.col(raw) if isinstance(raw, str) else raw, F.lit(""))
+    body = X.strip_fences(r)
+    parsed = F.when(body.startswith("{"), F.try_parse_json(body))
+    code = F.coalesce(F.try_variant_get(parsed, "$.action_code", "string"), F.lit(""))
+    params = F.from_json(F.coalesce(F.get_json_object(body, "$.params"), F.lit("{}")), f"struct<{PARAMS}>")
+    fields = [x.strip().split(" ")[0] for x in PARAMS.split(", ")]
+    ask = F.struct(*(F.lit(REPHRASE_TEXT).alias(f) if f == "clarifying_question" else F.lit(None).cast(params_type(f)).alias(f) for f in fields))
+    unknown = F.concat(F.lit("router returned unknown code '"), code, F.lit("'"))
+    failed = F.concat(F.lit("router parse failure: "), F.left(r, F.lit(200)))
+    ok = parsed.isNotNull() & code.isin(*ACTION_CODES)
+    reason = F.coalesce(F.try_variant_get(parsed, "$.reasoning", "string"), F.lit(""))
+    return F.struct(F.when(ok, code).otherwise("clarify").alias("action_code"), F.when(ok, params).otherwise(ask).alias("params"), F.when(parsed.isNull(), failed).when(~ok, unknown).otherwise(reason).alias("reasoning"))
+
+
+def params_type(name: str) -> str:
+    """Type of a parameter of directives."""
+    return next(x.strip().split(" ", 1)[1] for x in PARAMS.split(", ") if x.strip().split(" ")[0] == name)
+
+
 def decline_text(reason: Column | str) -> Column:
     r = F.col(reason) if isinstance(reason, str) else reason
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in DECLINE_TEXTS.items() for x in kv)), r), F.lit(GENERIC_DECLINE))

@@ -31,20 +31,22 @@ def word_slices(text: str, size: int) -> list[str]:
 
 
 def split_long(unit: str, target: int, count: TokenCounter = word_count, slices: Callable[[str, int], list[str]] = word_slices) -> list[str]:
-    """Pieces of at most ``target`` tokens: whole sentences packed greedily, longer ones cut by tokens."""
+    """Pieces of at most ``target`` tokens: the longest runs of whole sentences that fit, longer sentences cut by tokens."""
+    parts = _SENTENCE.split(unit)
+    sizes = [count(s) for s in parts]
+    fits = (lambda a, b: sum(sizes[a:b]) <= target) if count is word_count else (lambda a, b: count(" ".join(parts[a:b])) <= target)
     out: list[str] = []
-    held = ""
-    for s in _SENTENCE.split(unit):
-        if count(s) > target:
-            out += [held] if held else []
-            out += slices(s, target)
-            held = ""
-        elif held and count(f"{held} {s}") > target:
-            out.append(held)
-            held = s
+    first = 0
+    while first < len(parts):
+        end = first + 1
+        if sizes[first] > target:
+            out += slices(parts[first], target)
         else:
-            held = f"{held} {s}" if held else s
-    return out + ([held] if held else [])
+            while end < len(parts) and sizes[end] <= target and fits(first, end + 1):
+                end += 1
+            out.append(" ".join(parts[first:end]))
+        first = end
+    return [p for p in out if p]
 
 
 def pack_bounds(sizes: list[int], target: int = TARGET, overlap: int = OVERLAP, joined: Callable[[int, int], int] | None = None) -> list[tuple[int, int]]:
@@ -114,6 +116,21 @@ def chunk_records(records: DataFrame, text_col: str = "text", type_col: str | No
     return records.mapInArrow(run, f"{fields}{', ' if fields else ''}`{text_col}` string, chunk_index int, n_tokens int, first_unit int, end_unit int")
 
 
+def slice_texts(docs: DataFrame, size: int, text_col: str = "text", slices: Callable[[str, int], list[str]] = word_slices) -> DataFrame:
+    """One row for each slice of ``size`` tokens of a text: the other columns, then the slice under ``text_col``, and piece; null and empty texts have none."""
+    names = [c for c in docs.columns if c != text_col]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cut = [slices(t, size) if t else [] for t in b.column(text_col).to_pylist()]
+            at = pa.array([i for i, own in enumerate(cut) for _ in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(n).take(at) for n in names), pa.array([p for own in cut for p in own], pa.string()), pa.array([j for own in cut for j in range(len(own))], pa.int32())], names=[*names, text_col, "piece"])
+
+    ship(docs.sparkSession)
+    return docs.mapInArrow(run, f"{fields}, `{text_col}` string, piece int")
+
+
 def size_stats(chunks: DataFrame, target: int = TARGET, *keys: str) -> DataFrame:
     return chunks.groupBy(*keys).agg(F.min("n_tokens").alias("min_tokens"), F.max("n_tokens").alias("max_tokens"), F.floor(F.avg("n_tokens")).cast("long").alias("mean_tokens"), F.count_if(F.col("n_tokens") > target).alias("n_over"), F.count("*").alias("n_chunks"))
 

@@ -10,15 +10,27 @@ from quarryline.functions import text as X
 SPLITS = ("train", "val", "test")
 
 
+def _free(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    held = {c.lower() for c in df.columns}
+    while stem in held:
+        stem += "_"
+    return stem
+
+
 def keep_first(df: DataFrame, by: list[str], text_col: str, order: str) -> DataFrame:
     """The first row of each (by, normalised text); the text itself stays as it was.
 
-    The least order of each key is found by aggregation, which combines before
-    the shuffle, so that one very frequent text is no hot partition.
+    Nulls in ``by`` are a group of their own and a null text is empty.  Of rows with equal
+    ``order`` the one of least row hash stays, of wholly equal rows one; a null order comes first.  A row
+    for each key is carried by an aggregation, which combines before the shuffle, so that one very frequent
+    text is no hot partition.
     """
-    keyed = df.withColumn("__key", F.md5(X.squeeze(F.coalesce(F.col(text_col), F.lit(""))).cast("binary")))
-    first = keyed.groupBy(*by, "__key").agg(F.min(order).alias(order))
-    return keyed.join(first, [*by, "__key", order], "left_semi").drop("__key")
+    key = _free(df, "text_key")
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    keyed = df.withColumn(key, F.md5(X.squeeze(F.coalesce(F.col(text_col), F.lit(""))).cast("binary")))
+    first = F.min_by(F.struct(*df.columns), F.struct(F.col(order).alias("a"), F.xxhash64(*plain).alias("b"))).alias("row")
+    return keyed.groupBy(*(F.col(c).alias(f"by_{i}") for i, c in enumerate(by)), key).agg(first).select("row.*")
 
 
 def stable_order(key: Column | str, seed: int = 42) -> Column:
@@ -58,10 +70,17 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int =
 
 
 def apply_overrides(labels: DataFrame, overrides: DataFrame, text_col: str = "query", code_col: str = "predicted_code", new_col: str = "new_code") -> DataFrame:
-    """Rewrite the code where the normalised text has an override (norm, new_code) and differs from it."""
-    joined = labels.withColumn("norm", X.squeeze(text_col)).join(overrides.select("norm", new_col), "norm", "left")
-    changed = F.col(new_col).isNotNull() & ~F.col(new_col).eqNullSafe(F.col(code_col))
-    return joined.select(*(F.coalesce(F.when(changed, F.col(new_col)), F.col(c)).alias(c) if c == code_col else F.col(c) for c in labels.columns), changed.alias("override_applied"))
+    """Rewrite the code where the normalised text has an override (norm, new_code) and differs from it.
+
+    Of several overrides of one text the least code holds, so that no label is repeated.  Overrides are written by hand;
+    Spark broadcasts them as long as they are small, and splits frequent texts otherwise.
+    """
+    norm = _free(labels, "norm")
+    one = overrides.groupBy(F.col("norm").alias(norm)).agg(F.min(new_col).alias(_free(labels, new_col)))
+    new = F.col(_free(labels, new_col))
+    joined = labels.withColumn(norm, X.squeeze(text_col)).join(one, norm, "left")
+    changed = new.isNotNull() & ~new.eqNullSafe(F.col(code_col))
+    return joined.select(*(F.coalesce(F.when(changed, new), F.col(c)).alias(c) if c == code_col else F.col(c) for c in labels.columns), changed.alias("override_applied"))
 
 
 def unmatched_overrides(labels: DataFrame, overrides: DataFrame, text_col: str = "query") -> DataFrame:
@@ -95,10 +114,10 @@ def write_if_clean(rows: DataFrame, gates: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("split").json(path)
 
 
-def instruction_record(df: DataFrame, instruction: str, text_col: str = "query") -> DataFrame:
-    """instruction, input, output (JSON string) and _meta of labelled rows."""
+def instruction_record(df: DataFrame, instruction: str, text_col: str = "query", *more: str) -> DataFrame:
+    """instruction, input, output (JSON string) and _meta of labelled rows, and the columns ``more``."""
     out = F.to_json(F.struct(F.col("predicted_code").alias("action_code"), F.try_parse_json("params").alias("params"), "reasoning"))
-    return df.select(F.lit(instruction).alias("instruction"), F.col(text_col).alias("input"), out.alias("output"), F.struct("intended_code", "predicted_code", "agrees").alias("_meta"))
+    return df.select(F.lit(instruction).alias("instruction"), F.col(text_col).alias("input"), out.alias("output"), F.struct("intended_code", "predicted_code", "agrees").alias("_meta"), *more)
 
 
 def sft_messages(df: DataFrame) -> DataFrame:
@@ -108,13 +127,12 @@ def sft_messages(df: DataFrame) -> DataFrame:
 
 
 def duplicate_rates(df: DataFrame, by: str, text_col: str) -> DataFrame:
-    """Rows, distinct normalised texts and duplicate rate for each group and in all (group null)."""
-    per = df.select(by, F.md5(X.squeeze(F.coalesce(F.col(text_col), F.lit(""))).cast("binary")).alias("k")).groupBy(by, "k").count()
+    """Rows, distinct normalised texts and duplicate rate for each group (level ``group``) and in all (level ``total``, group null)."""
+    per = df.select(by, F.md5(X.squeeze(F.coalesce(F.col(text_col), F.lit(""))).cast("binary")).alias("k")).groupBy(by, "k").agg(F.count("*").alias("c"))
     rate = F.round(1 - F.col("n_unique") / F.col("n_rows"), 6).alias("dup_rate")
-    sums = lambda d: d.agg(F.sum("count").alias("n_rows"), F.count("*").alias("n_unique"))
-    groups = sums(per.groupBy(by)).select(by, "n_rows", "n_unique", rate)
+    groups = per.groupBy(by).agg(F.sum("c").alias("n_rows"), F.count("*").alias("n_unique")).select(by, F.lit("group").alias("level"), "n_rows", "n_unique", rate)
     total = groups.agg(F.sum("n_rows").alias("n_rows"), F.sum("n_unique").alias("n_unique"))
-    return groups.unionByName(total.select(F.lit(None).cast(df.schema[by].dataType).alias(by), "n_rows", "n_unique", rate))
+    return groups.unionByName(total.select(F.lit(None).cast(df.schema[by].dataType).alias(by), F.lit("total").alias("level"), "n_rows", "n_unique", rate))
 
 
 def quarantine(df: DataFrame, codes: tuple[str, ...], code_col: str = "predicted_code") -> tuple[DataFrame, DataFrame]:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as X
 
 
+def truth_of(record, key: str = "predicted_code", below: str = "_meta"):
+    """The true code of a JSON record: its own field if it is there (a null stays one), else the field below ``below``."""
+    r = F.col(record) if isinstance(record, str) else record
+    own = F.array_contains(F.json_object_keys(r), key)
+    return F.when(own, F.get_json_object(r, f"$.{key}")).otherwise(F.get_json_object(r, f"$.{below}.{key}"))
+
+
 def score_outputs(df: DataFrame, codes: tuple[str, ...], raw_col: str = "raw_output", truth_col: str = "truth") -> DataFrame:
     """``df`` with predicted, status and correct; unparseable outputs are wrong and keep their status."""
     p = X.parse_action(raw_col, codes)
@@ -36,8 +43,9 @@ def top_confusions(df: DataFrame, truth: str, predicted: str, n: int = 10) -> Da
 
 
 def correctness(df: DataFrame, by: str, correct: str = "correct") -> DataFrame:
-    """Share of correct rows for each value of ``by`` and in all (value null)."""
-    return df.groupingSets([[by], []], by).agg(F.count("*").alias("n"), F.round(F.coalesce(F.avg(F.col(correct).cast("int")), F.lit(0.0)), 6).alias("accuracy"))
+    """Share of correct rows for each value of ``by`` (level ``group``) and in all (level ``total``, value null)."""
+    level = F.when(F.grouping(by) == 1, "total").otherwise("group").alias("level")
+    return df.groupingSets([[by], []], by).agg(level, F.count("*").alias("n"), F.round(F.coalesce(F.avg(F.col(correct).cast("int")), F.lit(0.0)), 6).alias("accuracy"))
 
 
 def token_f1(a: str, b: str):
@@ -56,7 +64,3 @@ def coverage(df: DataFrame, key: str, value: str, expected: int) -> DataFrame:
 def crosstab(df: DataFrame, row: str, col: str, cols: list[str], pos: str) -> DataFrame:
     """Counts by row and column, rows in order of first appearance (``first_pos``)."""
     return df.groupBy(row).agg(F.min(pos).alias("first_pos"), *(F.count_if(F.col(col) == c).alias(c) for c in cols))
-
-
-def running_total(df: DataFrame, key: str, order: str, value: str):
-    return df.withColumn("running", F.sum(value).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))

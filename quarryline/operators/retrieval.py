@@ -56,3 +56,24 @@ def research(corpus: DataFrame, plan: DataFrame, vectors: DataFrame, k: int = 3,
     asked = parts.join(vectors, "query_id").select(F.col("part_id").alias("query_id"), "query_vec", F.col("part").alias("__part"))
     hits = batched_search(corpus.withColumn("__part", whole), asked, k, "__part", id_col)
     return hits.withColumnRenamed("query_id", "part_id").join(parts, "part_id").select("query_id", key, "fiscal_year", id_col, "score", "rank")
+
+
+def previews(hits: DataFrame, words: list[str], text_col: str = "text", chars: int = 200) -> DataFrame:
+    """``hits`` with ``has_it``, whether the text holds any of ``words`` in any case, and ``preview``, its first characters on one line."""
+    low = F.lower(text_col)
+    has = [F.contains(low, F.lit(w.lower())) for w in words]
+    found = F.coalesce(F.array_max(F.array(*has)), F.lit(False)) if has else F.lit(False)
+    return hits.withColumn("has_it", found).withColumn("preview", F.translate(F.left(text_col, F.lit(chars)), "\n", " "))
+
+
+def embedded_rows(corpus: DataFrame, vec_col: str = "embedding") -> DataFrame:
+    """One row: n_rows, and n_embedded with a vector."""
+    return corpus.agg(F.count("*").alias("n_rows"), F.count(vec_col).alias("n_embedded"))
+
+
+def health(corpus: DataFrame) -> dict[str, object]:
+    """Whether the corpus can be read: status ``ok`` or ``error`` with the reason, and whether it has any rows."""
+    try:
+        return {"status": "ok", "empty": corpus.isEmpty()}
+    except Exception as e:  # noqa: BLE001  any failure to read is what this reports
+        return {"status": "error", "reason": str(e).splitlines()[0]}

@@ -14,20 +14,38 @@ TARGET, OVERLAP = 48, 8
 _UNITS = r"""u AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p)::INT AS i, unit, len(regexp_extract_all(unit, '[^ \t\n\r\f\x0B]+'))::INT AS t FROM (
   SELECT doc_id, p, regexp_replace(part, '^[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x0B]+|[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x0B]+$', '', 'g') AS unit
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents)) WHERE unit <> '')"""
-_PACK = f"""WITH RECURSIVE {_UNITS},
-a AS (SELECT doc_id, list(t ORDER BY i) AS ts, list(unit ORDER BY i) AS us, count(*)::INT AS n FROM u GROUP BY doc_id),
-f AS (SELECT doc_id, 0 AS i, 0 AS s, NULL::INT AS c0, NULL::INT AS c1, NULL::INT AS d0, NULL::INT AS d1 FROM a
+
+
+def pack_sql(units: str, key: str, target: int = TARGET, overlap: int = OVERLAP, delimiter: str = "chr(10)") -> str:
+    """CTEs that split the long units of ``u`` (key, i, unit, t) into ``v`` and pack them to chunks ``z`` (key, chunk_index, a, b, chunk, n_tokens)."""
+    words = r"regexp_extract_all({}, '[^ \t\n\r\f\x0B]+')"
+    budget = target - overlap
+    full = f"(ts[f.i + 1] > {budget} OR list_sum(ts[f.s + 1:f.i + 1]) > {budget})"
+    return f"""WITH RECURSIVE {units},
+st AS (SELECT {key}, i, j, s, len({words.format("s")})::INT AS n FROM (SELECT {key}, i, unnest(ss) AS s, generate_subscripts(ss, 1) AS j FROM (SELECT {key}, i, string_split(regexp_replace(unit, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM u WHERE t > {target}))),
+sg AS (SELECT {key}, i, j, 1 AS g, CASE WHEN n > {target} THEN -1 ELSE n END AS held FROM st WHERE j = 1
+  UNION ALL SELECT st.{key}, st.i, st.j, sg.g + CASE WHEN sg.held < 0 OR st.n > {target} OR sg.held + st.n > {target} THEN 1 ELSE 0 END,
+    CASE WHEN st.n > {target} THEN -1 WHEN sg.held < 0 OR sg.held + st.n > {target} THEN st.n ELSE sg.held + st.n END FROM sg JOIN st ON st.{key} = sg.{key} AND st.i = sg.i AND st.j = sg.j + 1),
+gp AS (SELECT st.{key}, st.i, g, min(held) < 0 AS long, string_agg(s, ' ' ORDER BY st.j) AS unit FROM st JOIN sg ON st.{key} = sg.{key} AND st.i = sg.i AND st.j = sg.j GROUP BY st.{key}, st.i, g),
+v AS (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY i, g, p)::INT AS i, unit, len({words.format("unit")})::INT AS t FROM (
+  SELECT {key}, i, 0 AS g, 0 AS p, unit FROM u WHERE t <= {target} UNION ALL SELECT {key}, i, g, 0, unit FROM gp WHERE NOT long
+  UNION ALL SELECT {key}, i, g, p, array_to_string(ws[p + 1:p + {target}], ' ') FROM (SELECT {key}, i, g, ws, unnest(range(0, len(ws), {target})) AS p FROM (SELECT {key}, i, g, {words.format("unit")} AS ws FROM gp WHERE long)))),
+a AS (SELECT {key}, list(t ORDER BY i) AS ts, list(unit ORDER BY i) AS us, count(*)::INT AS n FROM v GROUP BY {key}),
+f AS (SELECT {key}, 0 AS i, 0 AS s, NULL::INT AS c0, NULL::INT AS c1, NULL::INT AS d0, NULL::INT AS d1 FROM a
   UNION ALL
-  SELECT f.doc_id, f.i + 1,
-    CASE WHEN ts[f.i + 1] > {TARGET - OVERLAP} THEN f.i + 1
-         WHEN f.s < f.i AND list_sum(ts[f.s + 1:f.i + 1]) > {TARGET - OVERLAP} THEN coalesce(list_min(list_filter(range(f.s, f.i), lambda j: list_sum(ts[j + 1:f.i]) <= {OVERLAP})), f.i)
+  SELECT f.{key}, f.i + 1,
+    CASE WHEN ts[f.i + 1] > {budget} THEN f.i + 1
+         WHEN f.s < f.i AND list_sum(ts[f.s + 1:f.i + 1]) > {budget} THEN coalesce(list_min(list_filter(range(f.s, f.i), lambda j: list_sum(ts[j + 1:f.i]) <= {overlap})), f.i)
          ELSE f.s END::INT,
-    CASE WHEN f.s < f.i AND (ts[f.i + 1] > {TARGET - OVERLAP} OR list_sum(ts[f.s + 1:f.i + 1]) > {TARGET - OVERLAP}) THEN f.s END,
-    CASE WHEN f.s < f.i AND (ts[f.i + 1] > {TARGET - OVERLAP} OR list_sum(ts[f.s + 1:f.i + 1]) > {TARGET - OVERLAP}) THEN f.i END,
-    CASE WHEN ts[f.i + 1] > {TARGET - OVERLAP} THEN f.i END, CASE WHEN ts[f.i + 1] > {TARGET - OVERLAP} THEN f.i + 1 END
-  FROM f JOIN a ON f.doc_id = a.doc_id WHERE f.i < a.n),
-c AS (SELECT doc_id, c0 AS a, c1 AS b FROM f WHERE c0 IS NOT NULL UNION ALL SELECT doc_id, d0, d1 FROM f WHERE d0 IS NOT NULL
-  UNION ALL SELECT f.doc_id, f.s, f.i FROM f JOIN a ON f.doc_id = a.doc_id WHERE f.i = a.n AND f.s < f.i)"""
+    CASE WHEN f.s < f.i AND {full} THEN f.s END, CASE WHEN f.s < f.i AND {full} THEN f.i END,
+    CASE WHEN ts[f.i + 1] > {budget} THEN f.i END, CASE WHEN ts[f.i + 1] > {budget} THEN f.i + 1 END
+  FROM f JOIN a ON f.{key} = a.{key} WHERE f.i < a.n),
+c AS (SELECT {key}, c0 AS a, c1 AS b FROM f WHERE c0 IS NOT NULL UNION ALL SELECT {key}, d0, d1 FROM f WHERE d0 IS NOT NULL
+  UNION ALL SELECT f.{key}, f.s, f.i FROM f JOIN a ON f.{key} = a.{key} WHERE f.i = a.n AND f.s < f.i),
+z AS (SELECT c.{key}, (row_number() OVER (PARTITION BY c.{key} ORDER BY b, c.a) - 1)::INT AS chunk_index, c.a::INT AS a, b::INT AS b, array_to_string(us[c.a + 1:b], {delimiter}) AS chunk, list_sum(ts[c.a + 1:b])::INT AS n_tokens FROM c JOIN a ON c.{key} = a.{key})"""
+
+
+_PACK = pack_sql(_UNITS, "doc_id")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,52 +72,32 @@ def chunk_sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-def _unsplit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunk bounds over the units' sizes alone (a line over the target stays whole)."""
-    import pyarrow as pa
-
-    units = _docs(spark, sf_dir).select("doc_id", X.paragraphs("text", "\n").alias("units")).withColumn("sizes", F.transform("units", X.count_tokens))
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts packed by lines; a line over the target goes by sentences, a sentence over it by words."""
+    return chunking.chunk_records(_docs(spark, sf_dir), type_col=None, delimiter="\n", target=TARGET, overlap=OVERLAP)
 
-    def run(batches):
-        for b in batches:
-            at, cells = [], []
-            for i, (u, s) in enumerate(zip(b.column("units").to_pylist(), b.column("sizes").to_pylist(), strict=True)):
-                for j, (x, y) in enumerate(chunking.pack_bounds(s or [], TARGET, OVERLAP)):
-                    at.append(i)
-                    cells.append((j, x, y, "\n".join(u[x:y]), sum(s[x:y])))
-            new = [pa.array([c[k] for c in cells], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), *new], names=["doc_id", "chunk_index", "first_unit", "end_unit", "chunk", "n_tokens"])
 
-    from quarryline.session import ship
-
-    ship(spark)
-    return units.mapInArrow(run, "doc_id long, chunk_index int, first_unit int, end_unit int, chunk string, n_tokens int")
-
-
-@query(_PACK + " SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY b, a) - 1)::INT AS chunk_index, a::INT AS first_unit, b::INT AS end_unit FROM c")
+@query(_PACK + " SELECT doc_id, chunk_index, a AS first_unit, b AS end_unit FROM z")
 def chunk_pack_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _unsplit(spark, sf_dir).select("doc_id", "chunk_index", "first_unit", "end_unit")
+    return _chunks(spark, sf_dir).select("doc_id", "chunk_index", "first_unit", "end_unit")
 
 
-@query(_PACK + " SELECT c.doc_id, (row_number() OVER (PARTITION BY c.doc_id ORDER BY b, a) - 1)::INT AS chunk_index, array_to_string(us[a + 1:b], chr(10)) AS chunk, list_sum(ts[a + 1:b])::INT AS n_tokens FROM c JOIN a ON c.doc_id = a.doc_id")
+@query(_PACK + " SELECT doc_id, chunk_index, chunk, n_tokens FROM z")
 def chunk_pack_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _unsplit(spark, sf_dir).select("doc_id", "chunk_index", "chunk", "n_tokens")
+    return _chunks(spark, sf_dir).select("doc_id", "chunk_index", F.col("text").alias("chunk"), "n_tokens")
 
 
 @query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\f\x0B]+') AS ws FROM documents)
 SELECT doc_id, (s / 480)::INT AS piece, len(ws[s + 1:s + 480])::INT AS n_tokens, md5(array_to_string(ws[s + 1:s + 480], ' ')) AS piece_md5 FROM (SELECT doc_id, ws, unnest(range(0, len(ws), 480)) AS s FROM w)""")
 def chunk_hard_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token windows of 480, the last one shorter."""
-    words = F.regexp_extract_all("text", F.lit(r"([^ \t\n\r\f\x0B]+)"), F.lit(1))
-    docs = _docs(spark, sf_dir).select("doc_id", words.alias("ws")).filter(F.size("ws") > 0)
-    parts = F.transform(F.sequence(F.lit(0), F.size("ws") - 1, F.lit(480)), lambda s: F.slice("ws", s + 1, F.lit(480)))
-    out = docs.select("doc_id", F.posexplode(parts).alias("piece", "p"))
-    return out.select("doc_id", "piece", F.size("p").alias("n_tokens"), F.md5(F.array_join("p", " ").cast("binary")).alias("piece_md5"))
+    parts = chunking.slice_texts(_docs(spark, sf_dir), 480)
+    return parts.select("doc_id", "piece", X.count_tokens("text").alias("n_tokens"), F.md5(F.col("text").cast("binary")).alias("piece_md5"))
 
 
-@query(_PACK + f", z AS (SELECT list_sum(ts[a + 1:b]) AS n FROM c JOIN a ON c.doc_id = a.doc_id) SELECT min(n)::INT AS min_tokens, max(n)::INT AS max_tokens, floor(avg(n))::BIGINT AS mean_tokens, count(*) FILTER (n > {TARGET}) AS n_over, count(*) AS n_chunks FROM z")
+@query(_PACK + f" SELECT min(n_tokens)::INT AS min_tokens, max(n_tokens)::INT AS max_tokens, floor(avg(n_tokens))::BIGINT AS mean_tokens, count(*) FILTER (n_tokens > {TARGET}) AS n_over, count(*) AS n_chunks FROM z")
 def chunk_size_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.size_stats(_unsplit(spark, sf_dir), TARGET)
+    return chunking.size_stats(_chunks(spark, sf_dir), TARGET)
 
 
 @query(f"WITH {_UNITS} SELECT doc_id, count(*) AS n_units, string_agg(t::VARCHAR, ',' ORDER BY t) AS sizes FROM u WHERE t > {TARGET - OVERLAP} AND t <= {TARGET} GROUP BY doc_id")
@@ -135,15 +133,22 @@ def html_heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.groupBy("page_id", "run").agg(F.count_if(F.col("tag") != "<h1>").alias("n_items"), F.min("pos").alias("first_pos"))
 
 
-@query()
+@query(r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>|<script.*?</script>|<style.*?</style>|<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g'), '</?(?:h1|p|li|div|article|br)>|<div [^>]*>', chr(1), 'g'), '<[^>]*>', '', 'g') AS t FROM pages),
+e AS (SELECT page_id, unnest(string_split(t, chr(1))) AS e, generate_subscripts(string_split(t, chr(1)), 1) AS p FROM b),
+d AS (SELECT page_id, p, trim(regexp_replace(replace(replace(replace(replace(replace(replace(e, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS e FROM e)
+SELECT page_id, count(*) AS n_elements, md5(string_agg(e, chr(10) ORDER BY p)) AS text_md5 FROM d WHERE e <> '' GROUP BY page_id""")
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered elements of every page, joined."""
     e = explode_elements(table(spark, sf_dir, "pages").select("page_id", "html"))
     return e.groupBy("page_id").agg(F.count("*").alias("n_elements"), F.md5(F.expr("listagg(element_text, '\n') WITHIN GROUP (ORDER BY pos)").cast("binary")).alias("text_md5"))
 
 
-@query(r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS rest, url FROM pages)
-SELECT page_id, split_part(rest, '/', 1) AS host, string_split(rest, '/')[-1] AS last_segment, CASE WHEN len(string_split(rest, '/')) > 1 THEN string_split(rest, '/')[-2] END AS parent FROM p""")
+_PARTS = """WITH p AS (SELECT doc_id, '/data/sec-edgar-filings/' || upper(lang) || CASE doc_id % 3 WHEN 0 THEN '' ELSE '-B' END || '/10-K/' || CASE WHEN doc_id % 4 = 0 THEN 'bad' ELSE printf('%010d', doc_id) || '-24-' || printf('%06d', doc_id) END || '/full-submission.txt' AS path FROM documents)"""
+
+
+@query(_PARTS + """ SELECT doc_id, split_part(path, '/', 4) AS ticker, split_part(path, '/', 6) AS accession, regexp_full_match(split_part(path, '/', 6), '\\d{10}-\\d{2}-\\d{6}') AS valid FROM p""")
 def path_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rest = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), r"[?#].*$", "")
-    return table(spark, sf_dir, "pages").select("page_id", F.split(rest, "/").alias("s")).select("page_id", F.get("s", F.lit(0)).alias("host"), F.element_at("s", -1).alias("last_segment"), F.try_element_at("s", F.lit(-2)).alias("parent"))
+    accession = F.when(F.col("doc_id") % 4 == 0, "bad").otherwise(F.format_string("%010d-24-%06d", "doc_id", "doc_id"))
+    path = F.concat(F.lit("/data/sec-edgar-filings/"), F.upper("lang"), F.when(F.col("doc_id") % 3 == 0, "").otherwise("-B"), F.lit("/10-K/"), accession, F.lit("/full-submission.txt"))
+    p = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"))
+    return p.select("doc_id", X.ticker_from_path("path").alias("ticker"), X.accession_from_path("path").alias("accession"), X.valid_accession(X.accession_from_path("path")).alias("valid"))

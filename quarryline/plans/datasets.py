@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarryline.functions import text as X
 from quarryline.operators import answers, dataset, evaluation
 from quarryline.plans.registry import query, table
+from quarryline.sources import files
 from quarryline.streaming import streams
 
 #: White space as Python and Java (?U) know it, for RE2.
@@ -15,6 +16,10 @@ _WS = r"[\s\x0B\x1C-\x1F\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029
 _NORM = f"trim(regexp_replace(lower(text), '{_WS}+', ' ', 'g'))"
 
 
+def _quoted(p: str) -> str:
+    return p.replace("'", "''")
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
@@ -70,20 +75,26 @@ def json_parse_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", X.parse_action(F.expr(_RAW)).alias("p")).select("event_id", "p.code", "p.status")
 
 
-@query("SELECT item_id, 'Q' || item_id::VARCHAR AS id, length(text)::BIGINT AS src_fiscal_year, 'S' || (item_id % 4)::VARCHAR AS src_section FROM benchmark")
+@query("SELECT 'Q' || item_id::VARCHAR AS id, 'T' || (item_id % 3)::VARCHAR AS company, (2000 + item_id % 20)::INT AS year, 'S' || (item_id % 4)::VARCHAR AS section, 'T' || (item_id % 3)::VARCHAR AS src_ticker FROM benchmark WHERE item_id % 5 > 0")
 def struct_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nested = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("Q"), F.col("item_id").cast("string")).alias("id"), F.struct(F.length("text").cast("long").alias("fiscal_year"), F.concat(F.lit("S"), (F.col("item_id") % 4).cast("string")).alias("section")).alias("source"))
-    flat = nested.select("item_id", "id", F.col("source.fiscal_year").alias("src_fiscal_year"), F.col("source.section").alias("src_section"))
-    again = flat.select("item_id", "id", F.struct(F.col("src_fiscal_year").alias("fiscal_year"), F.col("src_section").alias("section")).alias("source"))
-    return again.select("item_id", "id", F.col("source.fiscal_year").alias("src_fiscal_year"), F.col("source.section").alias("src_section"))
+    """Evaluation cases flattened for review and nested again; rows that a reviewer struck out go."""
+    n, none = F.col("item_id"), F.lit(None).cast("string")
+    source = F.struct(F.concat(F.lit("T"), (n % 3).cast("string")).alias("ticker"), (2000 + n % 20).cast("int").alias("fiscal_year"), F.concat(F.lit("S"), (n % 4).cast("string")).alias("section"), none.alias("chunk_id"))
+    params = F.struct(source["ticker"].alias("company"), source["fiscal_year"].alias("year"))
+    cases = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("Q"), n.cast("string")).alias("id"), F.col("text").alias("question"), none.alias("expected_answer"), F.lit("text").alias("answer_type"), source.alias("source"), params.alias("directive_params"), none.alias("question_type"))
+    flat = files.review_rows(cases).withColumn("keep", F.when(F.substring("id", 2, 20).cast("long") % 5 == 0, "no").otherwise(" Yes"))
+    again = files.reviewed_cases(flat.select(*(F.col(c).cast("string").alias(c) for c in flat.columns)))
+    return again.select("id", "directive_params.company", "directive_params.year", "source.section", F.col("source.ticker").alias("src_ticker"))
 
 
-@query(f"SELECT doc_id, lang, text FROM (SELECT *, row_number() OVER (PARTITION BY lang, {_NORM} ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
+@query(f"WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN lang END AS lang, text FROM documents) SELECT doc_id, lang, text FROM (SELECT *, row_number() OVER (PARTITION BY lang, {_NORM} ORDER BY doc_id) AS rn FROM d) WHERE rn = 1")
 def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dataset.keep_first(_docs(spark, sf_dir).select("doc_id", "lang", "text"), ["lang"], "text", "doc_id").select("doc_id", "lang", "text")
+    """First copies within each language; documents without one are a group."""
+    docs = _docs(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("lang")).alias("lang"), "text")
+    return dataset.keep_first(docs, ["lang"], "text", "doc_id")
 
 
-@query(f"WITH g AS (SELECT lang, count(*) AS n_rows, count(DISTINCT {_NORM}) AS n_unique FROM documents GROUP BY lang) SELECT lang, n_rows::BIGINT AS n_rows, n_unique::BIGINT AS n_unique, round(1 - n_unique::DOUBLE / n_rows, 6) AS dup_rate FROM (SELECT lang, n_rows, n_unique FROM g UNION ALL SELECT NULL, sum(n_rows), sum(n_unique) FROM g)")
+@query(f"WITH g AS (SELECT lang, count(*) AS n_rows, count(DISTINCT {_NORM}) AS n_unique FROM documents GROUP BY lang) SELECT lang, level, n_rows::BIGINT AS n_rows, n_unique::BIGINT AS n_unique, round(1 - n_unique::DOUBLE / n_rows, 6) AS dup_rate FROM (SELECT lang, 'group' AS level, n_rows, n_unique FROM g UNION ALL SELECT NULL, 'total', sum(n_rows), sum(n_unique) FROM g)")
 def dedup_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.duplicate_rates(_docs(spark, sf_dir), "lang", "text")
 
@@ -210,7 +221,7 @@ def accuracy_with_parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.join(F.broadcast(total)).select("status", "n", "n_correct", "accuracy_all")
 
 
-@query(f"SELECT truth AS event_type, count(*) AS n, round(coalesce(avg(CASE WHEN predicted = truth THEN 1 ELSE 0 END), 0), 6) AS accuracy FROM {_PAIR} GROUP BY GROUPING SETS ((truth), ())")
+@query(f"SELECT truth AS event_type, CASE WHEN grouping(truth) = 1 THEN 'total' ELSE 'group' END AS level, count(*) AS n, round(coalesce(avg(CASE WHEN predicted = truth THEN 1 ELSE 0 END), 0), 6) AS accuracy FROM {_PAIR} GROUP BY GROUPING SETS ((truth), ())")
 def correctness_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _pairs(spark, sf_dir).select(F.col("truth").alias("event_type"), F.coalesce(F.col("predicted") == F.col("truth"), F.lit(False)).alias("correct"))
     return evaluation.correctness(x, "event_type")
@@ -231,10 +242,6 @@ def section_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.crosstab(_docs(spark, sf_dir), "source", "lang", ["en", "de", "fr", "es"], "doc_id")
 
 
-def _quoted(p: str) -> str:
-    return p.replace("'", "''")
-
-
 _TURNS = "(SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN 'What was ' || upper(substring(role, 1, 4)) || ' revenue in 2023?' WHEN 2 THEN 'Should I buy this? ' || text ELSE 'Thanks, ' || text END AS q FROM conversations)"
 _REASON = "CASE " + " ".join(f"WHEN regexp_matches(lower(q), '{_quoted(p)}') THEN '{r}'" for r, p in answers.DECLINE.items()) + " END"
 _ROUTE = f"""(SELECT conv_id, turn, reason, CASE WHEN reason IS NOT NULL THEN 'decline' WHEN regexp_matches(lower(q), '{answers.META}') THEN 'meta' WHEN regexp_matches(lower(q), '{answers.SOCIAL}') AND NOT contains(q, '?') THEN 'smalltalk'
@@ -255,7 +262,8 @@ def route_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT conv_id, turn, code AS action_code, CASE WHEN code IN ('smalltalk', 'meta') THEN 'ok' WHEN code = 'decline' OR code = 'lookup' AND conv_id % 2 = 1 THEN 'declined' WHEN code IN ('compute', 'research') THEN 'unsupported' WHEN code = 'lookup' THEN 'ok' ELSE 'clarify' END AS status,
- CASE WHEN code = 'lookup' AND conv_id % 2 = 0 THEN 1 ELSE 0 END::INT AS n_sources FROM {_ROUTE}""")
+ CASE WHEN code = 'lookup' AND conv_id % 2 = 0 THEN 1 ELSE 0 END::INT AS n_sources, CASE code WHEN 'smalltalk' THEN '{_quoted(answers.SMALLTALK_TEXT)}' WHEN 'meta' THEN '{_quoted(answers.META_TEXT)}' WHEN 'clarify' THEN '{_quoted(answers.CLARIFY_TEXT)}' WHEN 'compute' THEN '{_quoted(answers.UNSUPPORTED["compute"])}' WHEN 'research' THEN '{_quoted(answers.UNSUPPORTED["research"])}'
+ WHEN 'decline' THEN CASE reason {" ".join(f"WHEN '{r}' THEN '{_quoted(t)}'" for r, t in answers.DECLINE_TEXTS.items())} END ELSE CASE WHEN conv_id % 2 = 0 THEN 'found [1]' ELSE 'No filings of ACME are in the corpus.' END END AS text FROM {_ROUTE}""")
 def answer_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directives to answers; the corpus covers conversations of even id."""
     key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
@@ -264,7 +272,7 @@ def answer_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = d.filter("conv_id % 2 = 0").select("query_id", F.lit("found [1]").alias("answer_text"), source.alias("sources"))
     a = answers.answer(d, found)
     ids = F.split("query_id", ":")
-    return a.select(F.get(ids, F.lit(0)).cast("long").alias("conv_id"), F.get(ids, F.lit(1)).cast("long").alias("turn"), "action_code", "status", F.size("sources").alias("n_sources"))
+    return a.select(F.get(ids, F.lit(0)).cast("long").alias("conv_id"), F.get(ids, F.lit(1)).cast("long").alias("turn"), "action_code", "status", F.size("sources").alias("n_sources"), "text")
 
 
 @query("SELECT user_id, count(*) AS n_misses FROM events WHERE event_type = 'error' GROUP BY user_id ORDER BY n_misses DESC, user_id LIMIT 10")

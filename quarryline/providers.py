@@ -6,6 +6,7 @@ models implement the same interfaces and run inside Arrow batches.
 
 from __future__ import annotations
 
+import json
 import time
 import zlib
 from abc import ABC, abstractmethod
@@ -43,6 +44,16 @@ class Judge(ABC):
     def judge(self, question: str, expected: str, actual: str) -> bool: ...
 
 
+class JsonLabeler(Labeler):
+    """The first word of a query as its code; the word ``fail`` raises, as a provider that is down does."""
+
+    def label(self, query: str) -> str:
+        code = (query.split() or [""])[0]
+        if code == "fail":
+            raise RuntimeError("no answer")
+        return json.dumps({"action_code": code})
+
+
 class HashedEmbedder(Embedder):
     """Signed hashes of character trigrams and words; the same text always gives the same vector."""
 

@@ -73,8 +73,3 @@ def create_chunk_table(spark: SparkSession, name: str) -> None:
     spark.sql(f"""CREATE TABLE IF NOT EXISTS {name} (id BIGINT, filing_type STRING NOT NULL, period_of_report STRING, accession_number STRING NOT NULL, section STRING,
       content_type STRING NOT NULL, chunk_index INT NOT NULL, n_tokens INT NOT NULL, text STRING NOT NULL, embedding ARRAY<FLOAT>, ticker STRING NOT NULL, fiscal_year INT NOT NULL)
       USING parquet PARTITIONED BY (ticker, fiscal_year)""")
-
-
-def report_markdown(title: str, metrics: dict[str, object]) -> str:
-    """A small table of metrics."""
-    return "\n".join([f"# {title}", "", "| metric | value |", "| --- | --- |", *(f"| {k} | {v} |" for k, v in metrics.items()), ""])

@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarryline.session import shared_folder
 
-def _folder(spark: SparkSession) -> str:
-    from tempfile import mkdtemp
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or mkdtemp(prefix="quarryline-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+#: Folders of the target that keys are dealt to by hash.
+KEY_FOLDERS = 256
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -26,16 +29,18 @@ def delta_ingest(source: DataFrame, target: str, checkpoint: str, key: str) -> N
     """Append the rows of new files whose key is not in ``target``; run again after more files came.
 
     The checkpoint remembers files, the anti join makes a repeated batch and
-    a key that comes in a second file harmless.
+    a key that comes in a second file harmless.  The target is partitioned by the hash of the key (column ``key_folder``),
+    and a batch reads the keys of its own folders only.  Of rows that repeat a key in one batch one stays.
     """
     spark = source.sparkSession
     from quarryline.sources.files import exists
 
     def add(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates([key])
+        fresh = batch.dropDuplicates([key]).withColumn("key_folder", F.pmod(F.xxhash64(key), F.lit(KEY_FOLDERS)).cast("int"))
         if exists(spark, target):
-            fresh = fresh.join(spark.read.parquet(target).select(key), key, "left_anti")
-        fresh.write.mode("append").parquet(target)
+            own = [r[0] for r in fresh.select("key_folder").distinct().collect()]  # KEY_FOLDERS numbers at most
+            fresh = fresh.join(spark.read.parquet(target).filter(F.col("key_folder").isin(own)).select(key), key, "left_anti")
+        fresh.repartition("key_folder").write.mode("append").partitionBy("key_folder").parquet(target)
 
     source.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
@@ -59,4 +64,4 @@ def ingest_twice(spark: SparkSession, path: str, key: str) -> DataFrame:
     folder = _folder(spark)
     for _ in range(2):
         delta_ingest(file_stream(spark, path), f"{folder}/out", f"{folder}/state", key)
-    return spark.read.parquet(f"{folder}/out")
+    return spark.read.parquet(f"{folder}/out").drop("key_folder")

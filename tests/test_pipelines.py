@@ -21,6 +21,28 @@ def test_keep_first_and_overrides(spark):
     assert [r["norm"] for r in dataset.unmatched_overrides(df, over).collect()] == ["absent"]
 
 
+def test_keep_first_nulls_and_ties(spark):
+    """A null group is a group; of equal orders one row stays; other columns may have any name or type."""
+    rows = [(1, None, "x", {"a": 1}), (2, None, "X ", {"a": 2}), (3, None, None, None), (4, None, "", None), (5, "g", "t", None), (5, "g", "T", None), (5, "g", "t", None), (None, "h", "z", None), (9, "h", "z", None)]
+    df = spark.createDataFrame(rows, "pos int, text_key string, query string, m map<string,int>")
+    got = sorted((str(r["pos"]), str(r["text_key"])) for r in dataset.keep_first(df, ["text_key"], "query", "pos").collect())
+    assert got == [("1", "None"), ("3", "None"), ("5", "g"), ("None", "h")]
+    assert dataset.keep_first(df, ["text_key"], "query", "pos").columns == df.columns
+    assert dataset.keep_first(df.limit(0), ["text_key"], "query", "pos").count() == 0
+
+
+def test_overrides_of_one_text(spark):
+    df = spark.createDataFrame([(1, "a", "hi", "n")], "pos int, code string, query string, norm string")
+    over = spark.createDataFrame([("hi", "c"), ("hi", "b"), (None, "d")], "norm string, new_code string")
+    assert [tuple(r) for r in dataset.apply_overrides(df, over, "query", "code").collect()] == [(1, "b", "hi", "n", True)]
+
+
+def test_totals_are_told_from_null_groups(spark):
+    df = spark.createDataFrame([(None, "a", True), (None, "a", False), ("g", "b", True)], "code string, query string, correct boolean")
+    assert sorted((str(r["code"]), r["level"], r["n_rows"], r["n_unique"]) for r in dataset.duplicate_rates(df, "code", "query").collect()) == [("None", "group", 2, 1), ("None", "total", 3, 2), ("g", "group", 1, 1)]
+    assert sorted((str(r["code"]), r["level"], r["n"]) for r in evaluation.correctness(df, "code").collect()) == [("None", "group", 2), ("None", "total", 3), ("g", "group", 1)]
+
+
 def test_split_sizes(spark):
     df = spark.range(34).select(F.col("id"), F.when(F.col("id") < 3, "small").otherwise("big").alias("code"), F.col("id").cast("string").alias("input"))
     s = dataset.stratified_split(df, "code", "id")
@@ -64,6 +86,56 @@ def test_vectors(spark):
     assert tuple(retrieval.search_terms(terms).first()) == (1, "q", "c", "BRK-B", 2023)
 
 
+def test_cells_find_neighbours(spark):
+    """On vectors in clusters a few cells hold nearly all neighbours; a large cell is dealt to several tasks."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    x = centres[rng.integers(0, 40, 4000)] + 0.3 * rng.normal(size=(4000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    queries = df.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    exact = {tuple(r) for r in vector.batched_search(df, queries, 10).select("query_id", "vec_id").collect()}
+    fitted = vector.fit_cells(df, 32)
+    for rows in (4096, 50):
+        vector.CELL_ROWS = rows
+        near = {tuple(r) for r in vector.cell_search(vector.index_cells(df, fitted), queries, fitted, 10, probes=4).select("query_id", "vec_id").collect()}
+        assert len(near & exact) / len(exact) > 0.9
+    vector.CELL_ROWS = 4096
+    assert vector.cell_search(vector.index_cells(df.limit(0), fitted), queries, fitted, 10).count() == 0
+
+
+def test_tables(spark, tmp_path):
+    """CSV with quotes, line breaks and empty cells; the DDL of the chunk table; appends skip what is stored."""
+    p = tmp_path / "a.csv"
+    p.write_text('id,question\n1,"a ""quoted"" and\nbroken line"\n2, \n')
+    assert [tuple(r) for r in files.read_csv(spark, str(p)).collect()] == [("1", 'a "quoted" and\nbroken line'), ("2", None)]
+    files.create_chunk_table(spark, "chunks_test")
+    files.create_chunk_table(spark, "chunks_test")
+    fields = {f.name: f for f in spark.table("chunks_test").schema.fields}
+    assert list(fields)[-2:] == ["ticker", "fiscal_year"] and fields["embedding"].dataType.simpleString() == "array<float>"
+    spark.sql("DROP TABLE chunks_test")
+    rows = spark.createDataFrame([("A", 2023, "a1", [1.0])], "ticker string, fiscal_year int, accession_number string, embedding array<float>")
+    for n in (1, 1):
+        files.append_vectors(rows, str(tmp_path / "v"))
+        assert spark.read.parquet(str(tmp_path / "v")).count() == n
+
+
+def test_store(spark, tmp_path):
+    """Batched inserts and reads through the connector, against an embedded database if a driver for one is there."""
+    from quarryline.sources import jdbc
+
+    try:
+        spark.sparkContext._jvm.java.lang.Class.forName("org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    except Exception:
+        pytest.skip("no embedded database")
+    store = jdbc.Store(f"jdbc:derby:{tmp_path}/db;create=true", "u", "p")
+    df = spark.range(7).select("id", F.concat(F.lit("t"), "id").alias("name"))
+    jdbc.append(df, store, "chunks", batch=2)
+    jdbc.append(df.filter("id < 2"), store, "chunks", batch=2)
+    assert jdbc.read(spark, store, "chunks").count() == 9
+
+
 def test_files(spark, tmp_path):
     p = tmp_path / "a.jsonl"
     p.write_text('{"code": "x", "query": "q"}\n\n  \n{"code": "y"}\n')
