@@ -24,4 +24,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.SQL_OP2,
     "op6_substring_dedup": substring_dedup.SQL_OP6,
+    "op9_quality_rules": quality_rules.SQL_OP9,
+    "op10_minhash": minhash.SQL_OP10,
 }

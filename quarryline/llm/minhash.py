@@ -525,3 +525,20 @@ def first_of_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text_id, class_id of every document; nulls, empty texts, repeated rows and an empty table as in ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+#: All pairs that share a shingle, by definition; classes by reachability.
+SQL_OP10 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), x AS (SELECT t, min(doc_id) AS text_id, count(*) AS n FROM d GROUP BY t),
+w AS (SELECT text_id, n, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM x),
+s AS (SELECT text_id, k, count(*) AS tf, any_value(n) AS n FROM (SELECT text_id, n, array_to_string(ws[i:i + least(len(ws), {SHINGLE}) - 1], ' ') AS k FROM (SELECT text_id, n, ws, unnest(range(1, greatest(len(ws) - {SHINGLE - 1}, 1) + 1)) AS i FROM w WHERE len(ws) > 0)) GROUP BY text_id, k),
+f AS (SELECT k, sum(n) AS df FROM s GROUP BY k),
+v AS (SELECT text_id, s.k, tf * (1 + log10((SELECT count(*) FROM d)::DOUBLE / df)) AS w, df FROM s JOIN f ON s.k = f.k),
+o AS (SELECT text_id, sum(w) AS w FROM v GROUP BY text_id),
+p AS (SELECT a.text_id AS a, b.text_id AS b, sum(least(a.w, b.w)) AS least_w FROM v a JOIN v b ON a.k = b.k AND a.text_id < b.text_id WHERE a.df > 1 GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN o oa ON a = oa.text_id JOIN o ob ON b = ob.text_id WHERE least_w >= {SIMILARITY} * (oa.w + ob.w - least_w)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT text_id AS id, text_id AS root FROM x UNION SELECT r.id, u.b FROM r JOIN u ON r.root = u.a),
+c AS (SELECT id, min(root) AS class_id FROM r GROUP BY id)
+SELECT doc_id, text_id, class_id FROM d JOIN x ON d.t = x.t JOIN c ON x.text_id = c.id
+"""

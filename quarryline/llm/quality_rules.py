@@ -144,3 +144,36 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the base counts, base_failed, failed_rules, kept of every row; nulls, missing labels and an empty table as in ``quality_rules``."""
     docs, labels = table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels")
     return quality_rules(docs, labels).withColumn("failed_rules", F.array_join("failed_rules", ","))
+
+
+def _sql() -> str:
+    """The query in SQL: statistics from their definitions, cutoffs by exact binomial sums."""
+    stats = {
+        "symbols": "n_symbols / greatest(n_words, 1)", "pipes": "n_pipe / greatest(n_words, 1)", "bangs": "n_bang / greatest(n_words, 1)", "capitals": "n_upper / greatest(n_letters, 1)",
+        "stutter": "n_stutter / greatest(n_words, 1)", "repeats": "n_repeat_words / greatest(n_words, 1)", "lines": "n_dup_lines / greatest(n_lines, 1)", "digits": "n_digits / greatest(n_chars, 1)",
+    }
+    space, level = r"[\x20\x09-\x0D]", f"{ALPHA} / {len(RULES)}"
+    chars = lambda keep: f"length(regexp_replace(text, '{keep}', '', 'g'))"
+    bins = " UNION ALL ".join(f"SELECT doc_id, stratum, base_failed, {i} AS pos, '{r}' AS rule, greatest(0, least({len(GRID)}, ceil(({e})::DOUBLE * 40)))::INT AS bin FROM m" for i, (r, e) in enumerate(stats.items()))
+    return rf"""
+WITH t AS (SELECT doc_id, coalesce(lang, chr(0) || 'none') AS stratum, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '{space}+'), lambda w: w <> '') AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM (SELECT doc_id, i, md5(array_to_string(ws[i:i + 4], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM t WHERE len(ws) > 4))),
+h AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM g, (SELECT unnest(range(0, 5)) AS j) WHERE n > 1 GROUP BY doc_id),
+n AS (SELECT t.doc_id, stratum, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars, {chars("[^#*$%&|<>]")}::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(h.n, 0)::BIGINT AS n_repeat_words,
+  length(text) AS n_chars, len(ls) AS n_lines, {chars("[^|]")} AS n_pipe, {chars("[^!?]")} AS n_bang, {chars("[^A-Z]")} AS n_upper, {chars("[^0-9]")} AS n_digits, {chars("[^A-Za-z]")} + {chars(r"[\x00-\x7F]")} AS n_letters,
+  CASE WHEN len(ws) > 1 THEN len(list_filter(list_zip(ws[1:len(ws) - 1], ws[2:len(ws)]), lambda z: z[1] = z[2])) ELSE 0 END AS n_stutter FROM t LEFT JOIN h ON t.doc_id = h.doc_id),
+m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM n),
+b AS ({bins}),
+l AS (SELECT doc_id, max(quality) AS good FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
+y AS (SELECT stratum, rule, bin, good FROM b JOIN l ON b.doc_id = l.doc_id WHERE NOT base_failed),
+k AS (SELECT (count(DISTINCT stratum) * {len(RULES)})::DOUBLE AS tests FROM y),
+z AS (SELECT stratum, rule, c, count(*) FILTER (good = 1) AS total, count(*) FILTER (good = 1 AND bin > c) AS lost, count(*) FILTER (good = 0 AND bin > c) AS caught FROM y, (SELECT unnest(range(0, {len(GRID)})) AS c) GROUP BY ALL),
+q AS (SELECT z.*, lost < total AND lost <= {level}::DOUBLE * total AND list_sum(list_transform(range(0, lost + 1), lambda i: exp(lgamma(total + 1) - lgamma(i + 1) - lgamma(total - i + 1) + i * ln({level}::DOUBLE) + (total - i) * ln(1 - {level}::DOUBLE)))) <= {DELTA}::DOUBLE / tests AS holds FROM z, k),
+o AS (SELECT stratum, rule, c, caught, max(caught) OVER (PARTITION BY stratum, rule) AS most FROM q WHERE holds),
+x AS (SELECT stratum, rule, max(c) AS cut FROM o WHERE most > 0 AND caught >= {CATCH}::DOUBLE * most GROUP BY stratum, rule),
+v AS (SELECT b.doc_id, string_agg(b.rule, ',' ORDER BY pos) AS failed_rules FROM b JOIN x ON b.stratum = x.stratum AND b.rule = x.rule AND bin > cut GROUP BY b.doc_id)
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(failed_rules, '') AS failed_rules, NOT base_failed AND failed_rules IS NULL AS kept FROM m LEFT JOIN v ON m.doc_id = v.doc_id
+"""
+
+
+SQL_OP9 = _sql()

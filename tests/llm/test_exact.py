@@ -388,3 +388,7 @@ def test_quality_rules(spark):
     assert all(got[i + len(STATS)]["kept"] for i in range(3000)) and got[0]["base_failed"] and not got[4]["kept"]
     none = quality_rules.quality_rules(docs, labels.limit(0)).filter("kept = base_failed").count()
     assert none == 0 and quality_rules.quality_rules(docs.limit(0), labels).count() == 0
+
+
+def test_quality_rules_sql(spark):
+    _same(quality_rules.op9_quality_rules(spark, SF), quality_rules.SQL_OP9)

@@ -141,6 +141,15 @@ def test_rare_shingles_weigh_by_their_own_frequency(spark):
     assert got[1] == 1 and got[7] == 6
 
 
+def test_near_duplicates_sql(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = sorted(c.sql(minhash.SQL_OP10).fetchall())
+    assert sorted(map(tuple, minhash.op10_minhash(spark, SF).select("doc_id", "text_id", "class_id").collect())) == want
+
+
 def test_large_group_is_one_class(spark):
     rng = random.Random(9)
     words = [f"v{i}" for i in range(150)]
