@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import sentencepiece_codec
-from quarryline.llm.common import add_column, map_arrow, q, table
+from quarryline.llm.common import Scratch, add_column, map_arrow, q, table
 
 KINDS = ("assign", "access", "hex", "guess")
 #: log10 of the guesses from which a value counts as a secret; more for values of one kind of character, which may be words or numbers.
@@ -279,13 +279,28 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def corpus_words(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY_WORDS) -> list[str]:
-    """The words of three letters and more that occur twice or more in the texts, the most frequent first (then by name), ``most`` of them.
+    """The words of three letters and more that occur twice or more in the texts, the most frequent first (then by name).
 
-    All texts are counted; the bound is on the dictionary alone.
+    All texts are counted; the dictionary is bounded: of words that occur equally often all come or
+    none, so that there are ``most`` at most.  What the driver gathers besides is a histogram of their numbers.
     """
-    counted = map_arrow(docs.select(F.col(q(text_col)).cast("string").alias("text")), _counts, "word string, n long")
-    best = counted.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word").limit(most)
-    return [r["word"] for r in best.collect()]
+    with Scratch(docs.sparkSession) as scratch:
+        counted = map_arrow(docs.select(F.col(q(text_col)).cast("string").alias("text")), _counts, "word string, n long")
+        counted = scratch.table(counted.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").withColumn("size", F.floor(8 * F.log2("n")).cast("int")))
+        least, held = 2, 0
+        for size, n in sorted(map(tuple, counted.groupBy("size").count().collect()), reverse=True):  # 500 rows at most
+            if held + n <= most:
+                held += n
+                continue
+            least = 1 << 62
+            for exact, m in sorted(map(tuple, counted.filter(F.col("size") == size).groupBy("n").count().collect()), reverse=True):  # a twelfth of the greatest of them at most
+                if held + m > most:
+                    break
+                held, least = held + m, exact
+            if least == 1 << 62:
+                least = int(counted.filter(F.col("size") > size).agg(F.coalesce(F.min("n"), F.lit(1 << 62))).first()[0])
+            break
+        return [w for _, w in sorted((-r["n"], r["word"]) for r in counted.filter(F.col("n") >= least).select("word", "n").toLocalIterator())]
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", model: str = sentencepiece_codec.MODEL) -> dict[str, int]:

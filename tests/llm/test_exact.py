@@ -143,6 +143,8 @@ def test_corpus_words(spark):
     texts = ["zorbl zorbl vaxen", "Zorbl vaxen pwd: qqkzvvxxwwyy", "pwd: qqkzvvxxwwyy", None, "", "once ab ab"]
     assert secret_scan.corpus_words(_docs(spark, texts)) == ["zorbl", "pwd", "vaxen"]
     assert secret_scan.corpus_words(_docs(spark, texts), most=1) == ["zorbl"] and secret_scan.corpus_words(_docs(spark, texts).limit(0)) == []
+    many = [" ".join(["abc"] * 9 + ["abd"] * 8 + ["abe"] * 8 + ["abf"] * 100 + ["abg"] * 2)]
+    assert [len(secret_scan.corpus_words(_docs(spark, many), most=n)) for n in (0, 1, 2, 3, 4, 5)] == [0, 1, 2, 2, 4, 5]
     spans = secret_scan.secret_spans(_docs(spark, ["password: zorbl4vaxen!", *["zorbl vaxen"] * 9]))
     assert spans.filter("size(spans) > 0").count() == 0
 
