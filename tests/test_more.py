@@ -123,6 +123,29 @@ def test_answers_end_to_end(spark):
     assert [(r["query_id"], r["filters"]) for r in missed.collect()] == [(2, {"ticker": "ZZ"})]
 
 
+def test_server(spark):
+    import json
+    import threading
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    from quarryline.providers import ExtractiveGenerator, HashedEmbedder
+    from quarryline.serve import server
+
+    corpus = spark.createDataFrame([(2, "AA", 2023, "mdna", "revenue of 7 million")], "vec_id long, ticker string, fiscal_year int, section string, text string")
+    s = server(corpus, HashedEmbedder(64), ExtractiveGenerator(), port=0)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{s.server_port}"
+    post = lambda body: json.loads(urlopen(Request(f"{at}/query", data=body)).read())
+    assert json.loads(urlopen(f"{at}/health").read()) == {"status": "ok", "empty": False}
+    assert post(b'{"query": "What was AA revenue in 2023?"}') == {"text": "revenue of 7 million [1]", "action_code": "lookup", "status": "ok", "sources": [{"ticker": "AA", "fiscal_year": 2023, "section": "mdna"}]}
+    for body, status in ((b"{", 400), (b'{"query": 1}', 400), (b"{}", 400)):
+        with pytest.raises(HTTPError) as e:
+            post(body)
+        assert e.value.code == status
+    s.shutdown()
+
+
 def test_bpe_counter(spark):
     """Counts and slices by tokens of a public vocabulary; the chunker measures joined text with it."""
     import os

@@ -35,15 +35,10 @@ def test_same_as_sql(spark, duck, name):
     assert _rows(got.collect(), got.columns) == _rows(want.fetchall(), want.columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
-def test_runs(spark, name):
-    assert catalogue.QUERIES[name](spark, SF).count() > 0
-
-
 def test_flagship(spark):
     r = catalogue.flagship(spark, SF).collect()
     assert len(r) == 1 and r[0]["status"] == "ok" and r[0]["n_sources"] == len(r[0]["sources"])
 
 
-def test_recall(spark):
-    assert catalogue.QUERIES["ivf_topk_recall"](spark, SF).first()["recall"] >= 0.9
+def test_every_query_has_sql():
+    assert set(catalogue.QUERIES) == set(catalogue.SQL)
