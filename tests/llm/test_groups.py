@@ -65,6 +65,39 @@ def test_columns(spark):
     assert out.filter("NOT round_trip").count() == 0 and out.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
+def test_other_models_are_an_error():
+    """Models that the codec would encode otherwise than the library are refused, not encoded wrongly."""
+    from quarryline.llm.sentencepiece_codec import check_model
+
+    with open(MODEL, "rb") as f:
+        check_model(f.read())
+    bpe, kept = b"\x12\x02\x18\x02", b"\x20\x00"  # trainer: kind BPE; normaliser: spaces stay as they are
+    check_model(bpe + b"\x1a\x02" + kept)
+    for data, why in ((b"\x12\x02\x18\x01\x1a\x02" + kept, "BPE"), (b"\x1a\x02" + kept, "BPE"), (bpe + b"\x1a\x05\x12\x01x" + kept, "changes characters"), (bpe, "spaces"), (bpe + b"\x1a\x04\x18\x00" + kept, "spaces")):
+        with pytest.raises(ValueError, match=why):
+            check_model(data)
+
+
+def test_odd_ids_and_names(spark, codec):
+    assert codec.decode([10**9, None, -1]) == "\ufffd\ufffd\ufffd" and codec.decode([1, 2]) == "" and codec.decode([]) == ""
+    df = spark.createDataFrame([("x", 1, "Hello  world"), ("y", 2, None)], "`a.b` string, source int, __text string")
+    enc = sentencepiece_codec.encode_column(df, "__text", "made")
+    assert enc.columns == [*df.columns, "made"]
+    back = sentencepiece_codec.decode_column(enc, "made", "source")
+    assert back.columns == ["a.b", "__text", "made", "source"] and sorted(r["source"] for r in back.collect()) == ["", "Hello  world"]
+
+
+def test_memory_is_bounded(codec):
+    """What a worker keeps is bounded by characters and units, whatever it has met, and blocks give the same ids."""
+    rng = random.Random(8)
+    small = Codec(codec.v)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(4000)) for _ in range(40)]
+    for i in range(0, 40, 4):
+        got = small.encode(texts[i : i + 4])
+        assert small.chars <= sentencepiece_codec.CACHE_CHARS + sentencepiece_codec.TEXT_CHARS + 10 * 4000 * 4
+    assert all((a == b).all() for a, b in zip(got, codec.encode(texts[36:]), strict=True))
+
+
 # --- near-duplicates -------------------------------------------------------------------------
 
 
