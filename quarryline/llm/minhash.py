@@ -3,8 +3,9 @@
 Improved consistent weighted sampling (ICWS) over TF-IDF weighted shingles of
 five words, banded, verified by weighted Jaccard similarity.
 
-* A shingle's weight is its count in the text times ``1 + log10(N / df)`` (a shingle in
-  every document still counts once), where df is the number of the N documents that hold it.  Documents are dealt to
+* A shingle's weight is its count in the text times ``sqrt(1 + log10(N / df))``, where
+  df is the number of the N documents that hold it: an IDF damped so that copies in a large group, whose
+  shared shingles are frequent for that very reason, stay near each other.  Documents are dealt to
   chunks by a hash; a chunk sends each of its shingles once, with a count, to
   the bucket of the shingle's upper bits, and the bucket sends the df of those in
   two or more documents back to the chunks that hold them.  Any other shingle
@@ -197,7 +198,7 @@ def _odd() -> np.ndarray:
 
 
 def tf_idf(tf: np.ndarray | None, df: np.ndarray, n: int) -> np.ndarray:
-    w = 1 + np.log10(n / df)
+    w = np.sqrt(1 + np.log10(n / df))
     return w if tf is None else w * tf
 
 
@@ -533,7 +534,7 @@ WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), x A
 w AS (SELECT text_id, n, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM x),
 s AS (SELECT text_id, k, count(*) AS tf, any_value(n) AS n FROM (SELECT text_id, n, array_to_string(ws[i:i + least(len(ws), {SHINGLE}) - 1], ' ') AS k FROM (SELECT text_id, n, ws, unnest(range(1, greatest(len(ws) - {SHINGLE - 1}, 1) + 1)) AS i FROM w WHERE len(ws) > 0)) GROUP BY text_id, k),
 f AS (SELECT k, sum(n) AS df FROM s GROUP BY k),
-v AS (SELECT text_id, s.k, tf * (1 + log10((SELECT count(*) FROM d)::DOUBLE / df)) AS w, df FROM s JOIN f ON s.k = f.k),
+v AS (SELECT text_id, s.k, tf * sqrt(1 + log10((SELECT count(*) FROM d)::DOUBLE / df)) AS w, df FROM s JOIN f ON s.k = f.k),
 o AS (SELECT text_id, sum(w) AS w FROM v GROUP BY text_id),
 p AS (SELECT a.text_id AS a, b.text_id AS b, sum(least(a.w, b.w)) AS least_w FROM v a JOIN v b ON a.k = b.k AND a.text_id < b.text_id WHERE a.df > 1 GROUP BY ALL),
 e AS (SELECT a, b FROM p JOIN o oa ON a = oa.text_id JOIN o ob ON b = ob.text_id WHERE least_w >= {SIMILARITY} * (oa.w + ob.w - least_w)),

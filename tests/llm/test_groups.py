@@ -110,7 +110,7 @@ def _classes(docs, similarity=0.8):
         bags[i] = Counter(tuple(w[j : j + n]) for j in range(len(w) - n + 1)) if w else Counter()
     df = Counter(k for b in bags.values() for k in b)
     n = len(docs)
-    w = {i: {k: v * (1 + np.log10(n / df[k])) for k, v in b.items()} for i, b in bags.items()}
+    w = {i: {k: v * np.sqrt(1 + np.log10(n / df[k])) for k, v in b.items()} for i, b in bags.items()}
     up = {i: i for i, _ in docs}
 
     def top(x):
@@ -164,13 +164,13 @@ def test_near_duplicates_edges(spark):
 def test_rare_shingles_weigh_by_their_own_frequency(spark):
     """A passage in 6 of 100 documents weighs less than one in 2: below a tenth of the documents too, IDF differs."""
     words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
-    docs = [(0, words("p", 60) + " " + words("x", 9)), (1, words("p", 60) + " " + words("y", 9))]
+    docs = [(0, words("p", 60) + " " + words("x", 11)), (1, words("p", 60) + " " + words("y", 11))]
     docs += [(i, words("p", 60) + " " + words(f"z{i}v", 400)) for i in range(2, 6)]
-    docs += [(6, words("q", 60) + " " + words("s", 9)), (7, words("q", 60) + " " + words("t", 9))]
+    docs += [(6, words("q", 60) + " " + words("s", 11)), (7, words("q", 60) + " " + words("t", 11))]
     docs += [(i, words(f"u{i}v", 20)) for i in range(8, 100)]
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), similarity=0.7).collect()}
     assert got == _classes(docs, 0.7)
-    # 56 shared shingles beside 9 of either side's own: 0.73 by the frequency of the pair, 0.70 by that of six.
+    # 56 shared shingles beside 11 of either side's own: 0.71 by the frequency of the pair, 0.68 by that of six.
     assert got[1] == 1 and got[7] == 6
 
 
