@@ -32,9 +32,9 @@ from quarryline.llm.textcore import mix
 MODEL = os.environ.get("QUARRYLINE_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
 #: Units and their characters whose pieces a worker remembers, at most.
-CACHE_UNITS, CACHE_CHARS = 200_000, 1 << 22
+CACHE_UNITS, CACHE_CHARS = 500_000, 1 << 23
 #: Characters of new units that are indexed together, and of texts that are encoded together (a longer one stands alone).
-BLOCK_CHARS, TEXT_CHARS = 1 << 17, 1 << 20
+BLOCK_CHARS, TEXT_CHARS = 1 << 18, 1 << 20
 START, NONE = -2, -1
 
 
@@ -182,8 +182,8 @@ class Codec:
     def __init__(self, vocabulary: Vocabulary, cache_units: int = CACHE_UNITS) -> None:
         self.v, self.cache_units = vocabulary, cache_units
         self.forget()
-        self.known = np.full(1 << 18, -1, np.int64)
-        self.answer = np.zeros(1 << 18, bool)
+        self.known = np.full(1 << 20, -1, np.int64)
+        self.answer = np.zeros(1 << 20, bool)
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
@@ -197,7 +197,7 @@ class Codec:
     def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """``apart`` behind a table of recent answers."""
         key = a * (self.v.size + 1) + b
-        slot = (mix(key.astype(np.uint64)) >> np.uint64(46)).astype(np.int64)
+        slot = (mix(key.astype(np.uint64)) >> np.uint64(44)).astype(np.int64)
         out = self.answer[slot]
         new = np.flatnonzero(self.known[slot] != key)
         if len(new):
