@@ -404,6 +404,9 @@ def _digest(shared, model: str):
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
-    """Every text encoded and decoded: doc_id, n_tokens, n_byte_tokens, ids_sha256 (of little-endian 32-bit ids), round_trip."""
+    """Every text encoded and decoded: doc_id, n_tokens, n_byte_tokens, ids_sha256 (of little-endian 32-bit ids), round_trip.
+
+    Null and empty texts have no ids and come back as empty; repeated rows give equal rows, an empty table an empty one.
+    """
     shared = spark.sparkContext.broadcast(_loaded(model))
     return map_arrow(table(spark, sf_dir, "documents", "doc_id", "text"), _digest(shared, model), "doc_id long, n_tokens long, n_byte_tokens long, ids_sha256 string, round_trip boolean")

@@ -98,6 +98,13 @@ def test_memory_is_bounded(codec):
     assert all((a == b).all() for a, b in zip(got, codec.encode(texts[36:]), strict=True))
 
 
+@pytest.fixture(autouse=True)
+def few_parts(monkeypatch, request):
+    """Small tables need few chunks and buckets; one test keeps those of the operator."""
+    if "sql" not in request.node.name:
+        monkeypatch.setattr(minhash, "PARTS", 8)
+
+
 # --- near-duplicates -------------------------------------------------------------------------
 
 
