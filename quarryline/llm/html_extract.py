@@ -61,7 +61,7 @@ KINDS = frozenset(
 BOXES = frozenset("box block wrapper wrap container area section list bar banner unit slot links link widget form buttons panel item items thread body text overlay dialog strip".split())
 #: ... and those that turn the meaning round, or stand for a part of the main text.
 NEGATIONS = frozenset("no not non without has have with is hide".split())
-CONTENT = frozenset("article entry post content main story section page".split())
+CONTENT = frozenset("article entry post story".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that end an open paragraph, and those that a paragraph outside stays open in.

@@ -255,7 +255,7 @@ def test_names_of_layouts(name):
 
 
 def test_names():
-    yes = "ad ads top-ad sidebar left-sidebar siteFooter main-nav ad-slot comment-list comments cookie-bar social-links newsletter related"
+    yes = "ad ads top-ad page-header main-header site_header sidebar left-sidebar siteFooter main-nav ad-slot comment-list comments cookie-bar social-links newsletter related"
     no = "no-sidebar has-header article-header entry-header ad-free comments-open search-result share-price layout page content shadow header-image download"
     assert [x for x in yes.split() if not html_extract.names_boilerplate(x)] == [] and [x for x in no.split() if html_extract.names_boilerplate(x)] == []
 
