@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 _SHIPPED: set[str] = set()
 _OWN: dict[str, str] = {}
@@ -56,6 +58,24 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def iterate(df: DataFrame) -> Iterator[Row]:
+    """Rows of ``df`` one by one, so that the driver never holds them all.
+
+    A plan with an exchange is written to the shared folder first: where Spark removes the shuffle files of a query when
+    its action ends, ``toLocalIterator`` counts as ended as soon as it begins to return rows, and what it still has to read is gone.
+    """
+    spark = df.sparkSession
+    if "Exchange" not in df._jdf.queryExecution().executedPlan().toString():
+        yield from df.toLocalIterator()
+        return
+    path = f"{shared_folder(spark)}/quarryline-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(path)
+        yield from spark.read.parquet(path).toLocalIterator()
+    finally:
+        drop_folder(spark, path)
+
+
 def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "quarryline") -> SparkSession:
     """A local session with the settings that tests and the bench share."""
     return (

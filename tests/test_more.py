@@ -31,6 +31,21 @@ def test_research(spark):
     assert sorted(map(tuple, got)) == [("AA", 2022, 0), ("AA", 2023, 2), ("B-B", 2023, 3)]
 
 
+def test_iterate(spark):
+    """All rows, also of a plan with a shuffle whose files go when the query ends."""
+    from quarryline.session import iterate
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        for _ in range(3):
+            assert sorted(r["id"] for r in iterate(spark.range(50).repartition(5).groupBy("id").count().orderBy("id"))) == list(range(50))
+    finally:
+        spark.conf.set(name, before)
+    assert [r["id"] for r in iterate(spark.range(3))] == [0, 1, 2] and list(iterate(spark.range(0))) == []
+
+
 def test_near_year(spark):
     df = spark.createDataFrame([("20221231",), ("20240131",), ("20250201",), (None,)], "period_of_report string")
     assert df.filter(retrieval.near_fiscal_year(2023)).count() == 2
