@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import beside, map_arrow, q, table
+from quarryline.session import iterate
 
 WINDOW = 10
 #: Words of a block, of the blocks whose automata a worker keeps, and bytes of text that meet the blocks in turn if there are more.
@@ -162,7 +163,7 @@ class Benchmark:
 
     def __init__(self, items: DataFrame, window: int = WINDOW) -> None:
         sc = items.sparkSession.sparkContext
-        rows = items.select("item_id", F.col("text").cast("string")).filter("text IS NOT NULL").toLocalIterator()
+        rows = iterate(items.select("item_id", F.col("text").cast("string")).filter("text IS NOT NULL"))
         self.key, self.window, self.words, self.blocks = uuid.uuid4().hex, window, 0, []
         for block in _blocks((tuple(r) for r in rows), window):
             self.words += sum(len(w) for _, w in block)
