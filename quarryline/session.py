@@ -58,6 +58,20 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read back; the table goes when the application's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/quarryline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    drop_at_exit(spark, path)
+    return spark.read.parquet(path)
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def iterate(df: DataFrame) -> Iterator[Row]:
     """Rows of ``df`` one by one, so that the driver never holds them all.
 
