@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import decontaminate, html_extract, language_id, minhash, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, toxicity
+from quarryline.llm import decontaminate, html_extract, language_id, merkle, minhash, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": html_extract.op8_html_extract,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_minhash": minhash.op10_minhash,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 
 SQL: dict[str, str] = {
@@ -26,4 +27,5 @@ SQL: dict[str, str] = {
     "op6_substring_dedup": substring_dedup.SQL_OP6,
     "op9_quality_rules": quality_rules.SQL_OP9,
     "op10_minhash": minhash.SQL_OP10,
+    "op11_merkle_manifest": merkle.SQL_OP11,
 }

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.session import drop_folder, shared_folder, ship
+from quarryline.session import drop_folder, saved, shared_folder, ship
 
 #: Rows and bytes of an Arrow batch: bound what a Python worker holds at once.
 BATCH_ROWS = 1000
@@ -86,9 +86,11 @@ def add_column(df: DataFrame, name: str, kind: str, source: str, fn: Callable[[p
 
 
 def shared_table(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back; a ``scratch`` removes it in the end."""
+    """Write ``df`` as a Parquet table in the shared folder and read it back; a ``scratch`` removes it in the end, else it goes with the session."""
+    if scratch is None:
+        return saved(df)
     spark = df.sparkSession
-    path = f"{scratch.path if scratch else shared_folder(spark)}/quarryline-{uuid.uuid4().hex}"
+    path = f"{scratch.path}/quarryline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 
