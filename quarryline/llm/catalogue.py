@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import decontaminate, html_extract, language_id, merkle, minhash, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, toxicity
+from quarryline.llm import decontaminate, html_extract, language_id, merkle, minhash, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, toxicity, turn_repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_minhash": minhash.op10_minhash,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_turn_repair": turn_repair.op12_turn_repair,
 }
 
 SQL: dict[str, str] = {
@@ -28,4 +29,5 @@ SQL: dict[str, str] = {
     "op9_quality_rules": quality_rules.SQL_OP9,
     "op10_minhash": minhash.SQL_OP10,
     "op11_merkle_manifest": merkle.SQL_OP11,
+    "op12_turn_repair": turn_repair.SQL_OP12,
 }
