@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import decontaminate, html_extract, language_id, merkle, minhash, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, toxicity, turn_repair
+from quarryline.llm import decontaminate, html_extract, language_id, merkle, minhash, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, token_files, toxicity, turn_repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash": minhash.op10_minhash,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_turn_repair": turn_repair.op12_turn_repair,
+    "op13_token_files": token_files.op13_token_files,
 }
 
 SQL: dict[str, str] = {
