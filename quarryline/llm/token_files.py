@@ -23,6 +23,7 @@ shard's ids begin where the ones before it end.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import map_arrow, q, table
-from quarryline.session import drop_at_exit, shared_folder
+from quarryline.session import drop_at_exit, saved, shared_folder
 
 U = np.uint64
 #: Values in a word and bits of each, by selector; the layout of the format.
@@ -52,7 +53,7 @@ PAGE_IDS = 1 << 17
 TOKENIZER = os.environ.get("QUARRYLINE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 END_ID = 0
 #: What a worker remembers of units: so many, and so many characters.
-CACHE_UNITS, CACHE_CHARS = 600_000, 12_000_000
+CACHE_UNITS, CACHE_CHARS = 1_000_000, 16_000_000
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -67,17 +68,22 @@ def pack(ids: np.ndarray) -> bytes:
     choice = np.zeros(n, dtype=np.int8)
     taken = np.ones(n, dtype=np.int32)
     widest = int(v.max()) if n else 0
+    widest, may = int(v.max()) if n else 0, place
     for s in range(len(COUNTS) - 1, 0, -1):
-        stop = np.minimum(place + np.int32(COUNTS[s]), end)
         if widest >> WIDTHS[s]:
+            small = v < U(1 << WIDTHS[s])
+            may = may[small[may]]  # what a narrower word can begin with, a wider one can
+            if not len(may):
+                break
             wide = np.zeros(n + 1, dtype=np.int32)  # how many of the values before a place are too wide
-            np.cumsum(v >= U(1 << WIDTHS[s]), out=wide[1:])
-            fits = np.flatnonzero(wide[stop] == wide[:-1])
-            choice[fits] = s
-            taken[fits] = stop[fits] - place[fits]
+            np.cumsum(~small, out=wide[1:])
+            stop = np.minimum(may + np.int32(COUNTS[s]), end[may])
+            fits = wide[stop] == wide[may]
+            choice[may[fits]] = s
+            taken[may[fits]] = (stop - may)[fits]
         else:
             choice[:] = s
-            taken = stop - place
+            taken = np.minimum(place + np.int32(COUNTS[s]), end) - place
     at = np.arange(blocks, dtype=np.int64) * BLOCK
     stops = np.minimum(at + BLOCK, n)
     firsts, owners = [], []
@@ -144,13 +150,27 @@ def unpack(payload: bytes, first: int = 0, end: int | None = None) -> np.ndarray
     return out[first - lo * size : end - lo * size]
 
 
+def _loose(part: str) -> bool:
+    """Whether a part between single spaces may not stand for itself: what is next to it is more white space."""
+    return not part or part[0].isspace() or part[-1].isspace() or "\u180e" in part
+
+
+#: Where the pattern of a byte-level tokenizer always splits: around a line feed between characters that are no white space, and behind
+#: a letter or digit that every version of Unicode knows, before a stop.
+_INNER = re.compile(r"(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)|(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,;:!?])")
+
+
+_STOPS = frozenset(".,;:!?")
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, which sees each distinct unit once.
 
     A byte-level tokenizer without a normaliser splits a text before any single space between two characters that are no
-    white space, whatever stands around them.  So the units between such spaces are encoded by the library
-    on their own and put together; units that begin or end with white space, or are empty, are joined
-    to their neighbours first.  Another kind of tokenizer gets whole texts.
+    white space, whatever stands around them.  So the parts between such spaces are encoded by the library
+    on their own (with the space before them, but for the first of a text) and put together; parts that begin or
+    end with white space, or are empty, are joined to their neighbours first.  A part is cut further at ``_INNER``, so that a word
+    and the same word before a stop are one unit.  Another kind of tokenizer gets whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -163,72 +183,104 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         pre = told.get("pre_tokenizer") or {}
-        plain = not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in told.get("added_tokens") or [])
+        plain = not any(re.search(r"[\s.,;:!?]", t["content"]) or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in told.get("added_tokens") or [])
         cut = told.get("truncation") or told.get("padding")
         self.by_unit = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not told.get("normalizer") and told["model"]["type"] == "BPE" and not told["model"].get("dropout") and plain and not cut
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.count, self.chars = np.zeros(0, np.uint32), np.zeros(0, np.int64), 0
+        self.parts: dict[str, int] = {}  # parts behind a space, by number
+        self.units: dict[str, int] = {}  # what the library sees, by number
+        self.flat, self.first, self.count, self.chars = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.new: list[str | list[int]] = []  # of the numbers not yet learned: a unit, or the units of a part
 
     def _library(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         rows = [e.ids for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
-        count = np.array([len(r) for r in rows], np.int64)
-        flat = np.fromiter((i for r in rows for i in r), np.uint32, int(count.sum()))
-        return flat, count
-
-    @staticmethod
-    def units(text: str) -> list[str]:
-        """Parts of a text whose ids, one after another, are the text's."""
-        parts = text.split(" ")
-        if len(parts) == 1:
-            return parts if text else []
-        loose = [i for i, p in enumerate(parts) if not p or p[0].isspace() or p[-1].isspace() or "᠎" in p]
-        if not loose:
-            return [parts[0], *(" " + p for p in parts[1:])]
-        out, run, joined = [], [parts[0]], set(loose)
-        for i in range(1, len(parts)):
-            if i in joined or i - 1 in joined:
-                run.append(parts[i])
+        return np.array([i for r in rows for i in r], np.uint32), np.array([len(r) for r in rows], np.int64)
+
+    def _number(self, text: str) -> int:
+        """Of a run of text that stands for itself."""
+        x = self.units.get(text)
+        if x is not None:
+            return x
+        if text[-1:] in _STOPS or "\n" in text:
+            pieces = _INNER.split(text)
+            if len(pieces) > 1:
+                return self._add(text, [self._unit(p) for p in pieces])
+        return self._add(text, text)
+
+    def _unit(self, text: str) -> int:
+        x = self.units.get(text)
+        return self._add(text, text) if x is None else x
+
+    def _add(self, text: str, made: str | list[int]) -> int:
+        x = self.units[text] = len(self.count) + len(self.new)
+        self.new.append(made)
+        self.chars += len(text)
+        return x
+
+    def _row(self, text: str) -> list[int]:
+        """Numbers of a text's runs."""
+        if not text:
+            return []
+        head, *rest = text.split(" ")
+        if not rest:
+            return [self._number(head)]
+        row = list(map(self.parts.get, rest))
+        if None not in row and not _loose(head):
+            return [self._number(head), *row]
+        fresh = [i for i, x in enumerate(row) if x is None]
+        if not _loose(head) and not any(_loose(rest[i]) for i in fresh):
+            for i in fresh:
+                x = self.parts.get(rest[i])
+                row[i] = self.parts.setdefault(rest[i], self._number(" " + rest[i])) if x is None else x
+            return [self._number(head), *row]
+        out, run, before = [], [head], head
+        for part in rest:
+            if _loose(before) or _loose(part):
+                run.append(part)
             else:
-                out.append(" ".join(run) if len(out) == 0 else " " + " ".join(run))
-                run = [parts[i]]
-        out.append(" ".join(run) if not out else " " + " ".join(run))
-        return out
+                out.append(" ".join(run))
+                run = [part]
+            before = part
+        out.append(" ".join(run))
+        return [self._number(" " + u if i else u) for i, u in enumerate(out) if i or u]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null and empty texts have none."""
         if not self.by_unit:
             flat, count = self._library([t or "" for t in texts])
             return np.split(flat, np.cumsum(count)[:-1])
-        if len(self.index) > CACHE_UNITS or self.chars > CACHE_CHARS:
+        if len(self.count) > CACHE_UNITS or self.chars > CACHE_CHARS:
             self.forget()
-        index, new, rows = self.index, [], []
-        for t in texts:
-            units = self.units(t or "")
-            row = list(map(index.get, units))
-            if None in row:
-                for i, x in enumerate(row):
-                    if x is None:
-                        u = units[i]
-                        x = index.get(u)
-                        if x is None:
-                            x = index[u] = len(index)
-                            new.append(u)
-                            self.chars += len(u)
-                        row[i] = x
-            rows.append(np.array(row, np.int64))
-        if new:
-            flat, count = self._library(new)
-            self.flat, self.count = np.concatenate([self.flat, flat]), np.concatenate([self.count, count])
-        first = np.cumsum(self.count) - self.count
-        out = []
-        for r in rows:
-            n = self.count[r]
-            total = int(n.sum())
-            out.append(self.flat[np.arange(total) + np.repeat(first[r] - (np.cumsum(n) - n), n)] if total else np.zeros(0, np.uint32))
-        return out
+        rows = [np.array(self._row(t or ""), np.int64) for t in texts]
+        self._learn()
+        return [self._joined(r) for r in rows]
+
+    def _joined(self, numbers: np.ndarray) -> np.ndarray:
+        n = self.count[numbers]
+        total = int(n.sum())
+        return self.flat[np.arange(total) + np.repeat(self.first[numbers] - (np.cumsum(n) - n), n)] if total else np.zeros(0, np.uint32)
+
+    def _learn(self) -> None:
+        if not self.new:
+            return
+        alone = np.array([isinstance(x, str) for x in self.new])
+        at = len(self.count) + np.flatnonzero(alone)
+        flat, count = self._library([x for x in self.new if isinstance(x, str)])
+        self.first = np.concatenate([self.first, np.zeros(len(alone), np.int64)])
+        self.count = np.concatenate([self.count, np.zeros(len(alone), np.int64)])
+        self.first[at], self.count[at] = len(self.flat) + np.cumsum(count) - count, count
+        self.flat = np.concatenate([self.flat, flat])
+        made = [x for x in self.new if not isinstance(x, str)]
+        if made:
+            at = len(self.count) - len(alone) + np.flatnonzero(~alone)
+            pieces, sizes = np.array([i for x in made for i in x], np.int64), np.array([len(x) for x in made])
+            count = np.add.reduceat(self.count[pieces], np.cumsum(sizes) - sizes)
+            flat = self._joined(pieces)
+            self.first[at], self.count[at] = len(self.flat) + np.cumsum(count) - count, count
+            self.flat = np.concatenate([self.flat, flat])
+        self.new = []
 
 
 @lru_cache(maxsize=1)
@@ -271,9 +323,9 @@ def _pages(tokenizer: str, end_id: int | None) -> Callable[[Iterator[pa.RecordBa
             return pa.RecordBatch.from_pylist([row], schema=_PAGE)
 
         for b in batches:
-            names, texts = b.column("doc_id").to_pylist(), b.column("text")
-            for lo, hi in _groups(texts.to_pylist()):
-                part = encoder.encode(texts[lo:hi].to_pylist())
+            names, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+            for lo, hi in _groups(texts):
+                part = encoder.encode(texts[lo:hi])
                 for name, x in zip(names[lo:hi], part, strict=True):
                     x = x if end_id is None else np.append(x, np.uint32(end_id))
                     docs.append(name)
@@ -311,7 +363,8 @@ def _placed(spark: SparkSession, path: str) -> DataFrame:
     pages = spark.read.parquet(path)
     totals = pages.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     totals = totals.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    return pages.join(totals, "shard").withColumn("start", F.col("offset") + F.col("before"))
+    # a table of known size: one row a shard, which Spark broadcasts while it is small, so that the pages stay where they are
+    return pages.join(saved(totals), "shard").withColumn("start", F.col("offset") + F.col("before"))
 
 
 def _decoded(each: Callable[[np.ndarray], object], kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
