@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from quarryline.session import drop_at_exit, shared_folder, ship
+from quarryline.session import drop_at_exit, shared_folder
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -68,7 +70,7 @@ class _Sessions(StatefulProcessor):
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        now = timerValues.getCurrentWatermarkInMs() * 1000  # further sessions may be over as well, so the watermark decides
         held = [tuple(x) for x in self.open.get()]
         done = [x for x in held if x[1] + self.gap < now]
         self._keep([x for x in held if x[1] + self.gap >= now])
@@ -88,7 +90,8 @@ def sessions(events: DataFrame, key: str, ts: str, value: str, gap_seconds: int,
 
     Null keys are a key of their own; null times are dropped; a null value counts as nothing in ``total``.
     """
-    ship(events.sparkSession)
+    # the worker that sets up state on the driver's side gets no shipped files, so this module travels inside the processor
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     kind = events.schema[key].dataType
     rows = events.filter(F.col(ts).isNotNull()).select(key, F.col(ts).cast("timestamp").alias(ts), value).withWatermark(ts, late)
     schema = T.StructType([T.StructField(key, kind), T.StructField("session_start", T.LongType()), T.StructField("session_end", T.LongType()), T.StructField("n", T.LongType()), T.StructField("total", T.DoubleType())])
