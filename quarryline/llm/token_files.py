@@ -32,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,11 +45,11 @@ U = np.uint64
 COUNTS = (1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 #: Ids that are packed from a word of their own.
-BLOCK = 512
+BLOCK = 256
 MAGIC, VERSION = b"QLTI", 1
 HEADER = struct.Struct("<4sIIQIIQ")
 #: A page ends with the document that brings it to so many ids.
-PAGE_IDS = 1 << 17
+PAGE_IDS = 1 << 19
 #: Path of the tokenizer, and the id that ends a document.
 TOKENIZER = os.environ.get("QUARRYLINE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 END_ID = 0
@@ -161,6 +162,7 @@ _INNER = re.compile(r"(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)|(?<=[0-9A-Za-zÀ-ÖØ-öø
 
 
 _STOPS = frozenset(".,;:!?")
+LOOSE = -1
 
 
 class Encoder:
@@ -189,54 +191,45 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.parts: dict[str, int] = {}  # parts behind a space, by number
-        self.units: dict[str, int] = {}  # what the library sees, by number
+        self.parts: dict[str, int] = {}  # parts behind a space, by number; LOOSE if they don't stand for themselves
+        self.units: dict[str, int] = {}  # other runs of text, by number
         self.flat, self.first, self.count, self.chars = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-        self.new: list[str | list[int]] = []  # of the numbers not yet learned: a unit, or the units of a part
+        self.new: list[str | list[int]] = []  # of the numbers not yet learned: a run for the library, or the numbers of its pieces
 
     def _library(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         rows = [e.ids for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
         return np.array([i for r in rows for i in r], np.uint32), np.array([len(r) for r in rows], np.int64)
 
-    def _number(self, text: str) -> int:
-        """Of a run of text that stands for itself."""
-        x = self.units.get(text)
-        if x is not None:
-            return x
+    def _add(self, text: str) -> int:
+        made: str | list[int] = text
         if text[-1:] in _STOPS or "\n" in text:
             pieces = _INNER.split(text)
             if len(pieces) > 1:
-                return self._add(text, [self._unit(p) for p in pieces])
-        return self._add(text, text)
-
-    def _unit(self, text: str) -> int:
-        x = self.units.get(text)
-        return self._add(text, text) if x is None else x
-
-    def _add(self, text: str, made: str | list[int]) -> int:
-        x = self.units[text] = len(self.count) + len(self.new)
+                made = [self._number(p) for p in pieces]
         self.new.append(made)
         self.chars += len(text)
+        return len(self.count) + len(self.new) - 1
+
+    def _part(self, part: str) -> int:
+        """Number of a part behind a space."""
+        x = self.parts.get(part)
+        if x is None:
+            x = self.parts[part] = LOOSE if _loose(part) else self._add(" " + part)
         return x
 
-    def _row(self, text: str) -> list[int]:
-        """Numbers of a text's runs."""
-        if not text:
-            return []
-        head, *rest = text.split(" ")
-        if not rest:
-            return [self._number(head)]
-        row = list(map(self.parts.get, rest))
-        if None not in row and not _loose(head):
-            return [self._number(head), *row]
-        fresh = [i for i, x in enumerate(row) if x is None]
-        if not _loose(head) and not any(_loose(rest[i]) for i in fresh):
-            for i in fresh:
-                x = self.parts.get(rest[i])
-                row[i] = self.parts.setdefault(rest[i], self._number(" " + rest[i])) if x is None else x
-            return [self._number(head), *row]
-        out, run, before = [], [head], head
-        for part in rest:
+    def _number(self, text: str) -> int:
+        """Number of any run of text that stands for itself."""
+        if text[:1] == " " and (x := self._part(text[1:])) != LOOSE:
+            return x
+        x = self.units.get(text)
+        if x is None:
+            x = self.units[text] = self._add(text)
+        return x
+
+    def _joined_parts(self, parts: list[str]) -> list[int]:
+        """Numbers of a text with loose parts, each joined to what is next to it."""
+        out, run, before = [], [parts[0]], parts[0]
+        for part in parts[1:]:
             if _loose(before) or _loose(part):
                 run.append(part)
             else:
@@ -246,16 +239,37 @@ class Encoder:
         out.append(" ".join(run))
         return [self._number(" " + u if i else u) for i, u in enumerate(out) if i or u]
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null and empty texts have none."""
         if not self.by_unit:
-            flat, count = self._library([t or "" for t in texts])
+            flat, count = self._library([t or "" for t in (texts if isinstance(texts, list) else texts.to_pylist())])
             return np.split(flat, np.cumsum(count)[:-1])
         if len(self.count) > CACHE_UNITS or self.chars > CACHE_CHARS:
             self.forget()
-        rows = [np.array(self._row(t or ""), np.int64) for t in texts]
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        split = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        bounds = split.offsets.to_numpy()
+        coded = split.values.dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        place = coded.indices.to_numpy()
+        number = np.fromiter((self._part(p) if x is None else x for p, x in zip(known, map(self.parts.get, known), strict=True)), np.int64, len(known))
+        numbers = number[place]
+        loose = np.add.reduceat(numbers == LOOSE, bounds[:-1]) > 0 if len(bounds) > 1 else np.zeros(0, bool)
+        rows = []
+        for lo, hi, odd in zip(bounds[:-1].tolist(), bounds[1:].tolist(), loose.tolist(), strict=True):
+            head = known[place[lo]]
+            if hi - lo == 1:
+                rows.append(np.array([self._number(head)] if head else [], np.int64))
+            elif odd:
+                rows.append(np.array(self._joined_parts([known[i] for i in place[lo:hi]]), np.int64))
+            else:
+                row = numbers[lo:hi]
+                row[0] = self._number(head)
+                rows.append(row)
         self._learn()
-        return [self._joined(r) for r in rows]
+        every = np.concatenate([np.zeros(0, np.int64), *rows])
+        ends = np.cumsum(np.append(0, self.count[every]))[np.cumsum([len(r) for r in rows])] if rows else []
+        return np.split(self._joined(every), ends[:-1]) if rows else []
 
     def _joined(self, numbers: np.ndarray) -> np.ndarray:
         n = self.count[numbers]
@@ -288,22 +302,19 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-#: Characters of texts that are encoded together; a longer text is on its own.
-GROUP_CHARS = 1 << 20
+#: Bytes of texts that are encoded together; a longer text is on its own.
+GROUP_BYTES = 4 << 20
 _PAGE = pa.schema([("shard", pa.int64()), ("page", pa.int64()), ("before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("payload", pa.binary())])
 _PAGE_DDL = "shard long, page long, before long, n_ids long, doc_ids array<long>, counts array<long>, payload binary"
 
 
-def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    lo = size = 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
-        if i > lo and size + n > GROUP_CHARS:
-            yield lo, i
-            lo, size = i, 0
-        size += n
-    if texts:
-        yield lo, len(texts)
+def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())])
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(size, size[lo] + GROUP_BYTES, side="right")) - 1)
+        yield lo, hi
+        lo = hi
 
 
 def _pages(tokenizer: str, end_id: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -323,7 +334,7 @@ def _pages(tokenizer: str, end_id: int | None) -> Callable[[Iterator[pa.RecordBa
             return pa.RecordBatch.from_pylist([row], schema=_PAGE)
 
         for b in batches:
-            names, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+            names, texts = b.column("doc_id").to_pylist(), b.column("text")
             for lo, hi in _groups(texts):
                 part = encoder.encode(texts[lo:hi])
                 for name, x in zip(names[lo:hi], part, strict=True):
