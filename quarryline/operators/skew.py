@@ -1,0 +1,43 @@
+"""Joins on keys that a large part of all rows may share."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: A key is frequent if it has more than one of so many rows; so there are fewer frequent keys than this.
+FREQUENT = 1000
+
+
+def own_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    held = {c.lower() for c in df.columns}
+    name = stem
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column name as Spark SQL reads it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def spread_join(rows: DataFrame, small: DataFrame, key: str, how: str = "inner", by: str | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined to ``small``, which has a key once; the rows of a frequent key are dealt to many tasks.
+
+    A key is frequent if it has more than one ``FREQUENT``-th of the rows; keys are counted by aggregation, which
+    combines before the shuffle, and the list of frequent ones is broadcast: it has fewer than ``FREQUENT`` entries
+    whatever the size of ``rows``.  Their rows get a salt (by the hash of ``by``, or of
+    all columns), and their row of ``small`` is repeated for each salt.  ``rows`` is a written table, as it is counted first,
+    unless ``sizes`` (key, n), a written table, has the counts.
+    """
+    total = rows.count() if sizes is None else sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    each = max(64, total // FREQUENT)
+    salt, ways = (own_name(rows, own_name(small, x)) for x in ("salt", "ways"))
+    counted = rows.groupBy(key).agg(F.count("*").alias(ways)) if sizes is None else sizes.select(key, F.col("n").alias(ways))
+    hot = F.broadcast(counted.filter(F.col(ways) > each).select(key, F.least(F.ceil(F.col(ways) / each), F.lit(FREQUENT)).cast("int").alias(ways)))
+    spread = F.pmod(F.xxhash64(*([by] if by else [F.col(quoted(c)) for c in rows.columns])), F.coalesce(F.col(ways), F.lit(1))).cast("int")
+    left = rows.join(hot, key, "left").withColumn(salt, spread).drop(ways)
+    right = small.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(ways), F.lit(1)) - 1))).drop(ways)
+    return left.join(right, [key, salt], how).drop(salt)

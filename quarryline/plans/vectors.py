@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as X
-from quarryline.operators import answers, retrieval, vector
+from quarryline.operators import answers, graph, retrieval, vector
 from quarryline.plans.registry import query, table
+from quarryline.session import saved
 
 _COS = "round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
 _BATCH = f"""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0),
@@ -120,9 +121,10 @@ def vec_dup_key_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strict.join(F.broadcast(loose)).select("n_loose", "n_strict", "n_rows")
 
 
-def _recall(near: DataFrame, exact: DataFrame) -> DataFrame:
+def _recall(near: DataFrame, exact: DataFrame, read_share: Column) -> DataFrame:
+    """How much of the exact result was found, and the share of the vectors' bytes that was read for a query."""
     both = exact.select("query_id", "vec_id").join(near.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
-    return both.agg(F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("n_exact"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("recall_holds"))
+    return both.agg(F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("n_exact"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall"), F.round(read_share, 4).alias("read_share"))
 
 
 def _every_20th(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -130,28 +132,40 @@ def _every_20th(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return emb, emb.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
 
 
-_HOLDS = "SELECT count(*) AS n_queries, count(*) * least(10, (SELECT count(*) FROM embeddings)) AS n_exact, true AS recall_holds FROM embeddings WHERE vec_id % 20 = 0"
+# No SQL for the three indexes: what an approximate search finds isn't said by a statement.  Tests hold recall and reads to bounds.
 
 
-@query(_HOLDS)
+@query()
 def ivf_topk_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the inverted file finds nine tenths of the exact top 10, every 20th row as query.
+    """What the inverted file finds of the exact top 10, every 20th row as query.
 
     These vectors are alike in all directions, so that two thirds of the cells are needed; where there are clusters a tenth
     of them is enough (tests/test_pipelines.py).
     """
     emb, queries = _every_20th(spark, sf_dir)
-    cells = max(1, min(1024, int(emb.count() ** 0.5)))
+    cells = max(1, int(emb.count() ** 0.5))
     centres = vector.fit_cells(emb, cells)
-    near = vector.cell_search(vector.index_cells(emb, centres), queries, centres, 10, probes=max(1, -(-cells * 2 // 3)))
-    return _recall(near, vector.batched_search(emb, queries, 10))
+    probes = max(1, -(-cells * 2 // 3))
+    near = vector.cell_search(vector.index_cells(emb, centres), queries, centres, 10, probes=probes)
+    return _recall(near, vector.batched_search(emb, queries, 10), F.lit(probes / cells))
 
 
-@query(_HOLDS)
+@query()
 def code_topk_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a scan of one byte a dimension, ranked by the vectors of its best, finds nine tenths of the exact top 10."""
+    """What a scan of one byte a dimension, ranked by the vectors of its best, finds of the exact top 10."""
     emb, queries = _every_20th(spark, sf_dir)
-    return _recall(vector.code_search(vector.index_codes(emb), emb, queries, 10), vector.batched_search(emb, queries, 10))
+    n = emb.count()
+    return _recall(vector.code_search(vector.index_codes(emb), emb, queries, 10), vector.batched_search(emb, queries, 10), F.lit(0.25 + min(40, n) / max(n, 1)))
+
+
+@query()
+def graph_topk_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a walk over the neighbour graph finds of the exact top 10, and how many of the vectors it reads."""
+    emb, queries = _every_20th(spark, sf_dir)
+    rows = saved(graph.unit_rows(emb))
+    hits, read = graph.graph_search(graph.build_graph(rows), rows, graph.unit_rows(queries, "query_id", "query_vec"), 10)
+    share = read.count() / max(queries.count() * rows.count(), 1)
+    return _recall(hits.withColumnRenamed("id", "vec_id"), vector.batched_search(emb, queries, 10), F.lit(share))
 
 
 @query(_BATCH.format(on="e.label = q.label") + """
