@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarryline.functions import text as X
 from quarryline.functions.elements import explode_elements
 from quarryline.operators.chunking import OVERLAP, TARGET, TokenCounter, chunk_records, word_count
+from quarryline.sources.files import exists
 
 META = ("ticker", "filing_type", "fiscal_year", "period_of_report", "accession_number")
 
@@ -41,11 +42,20 @@ def section_records(elements: DataFrame, keys: tuple[str, ...] = META, order_by:
     df = elements.withColumn("t", clean)
     opens = F.when(F.col("type").isin("TopSectionTitle", "Title"), X.item_section("t"))
     df = df.withColumn("opens", opens).withColumn("run", F.sum(F.when(F.col("opens").isNotNull(), 1).otherwise(0)).over(w)).withColumn("section", F.last("opens", ignorenulls=True).over(w)).filter("opens IS NULL")
-    tables = df.filter("type = 'Table'").select(*keys, F.col("run").alias("run"), F.col("pos").alias("at"), F.lit(0).alias("late"), "section", F.lit("table").alias("content_type"), F.col("element_text").alias("text"))
-    text = df.filter("type IN ('Text', 'Supplementary') AND t <> ''").groupBy(*keys, "run", "section").agg(F.expr("listagg(t, '\n\n') WITHIN GROUP (ORDER BY pos)").alias("text"), F.min("pos").alias("at"))
-    text = text.select(*keys, "run", "at", F.lit(1).alias("late"), "section", F.lit("narrative").alias("content_type"), "text")
-    place = Window.partitionBy(*order_by).orderBy("run", "late", "at")
-    return tables.unionByName(text).withColumn("record_pos", F.row_number().over(place) - 1).drop("run", "at", "late")
+    # one row for each record by one aggregation: a table is a group of its own, the texts of a run are one
+    table = F.col("type") == "Table"
+    kept = df.filter("type = 'Table' OR type IN ('Text', 'Supplementary') AND t <> ''")
+    kept = kept.withColumns({"slot": F.when(table, F.col("pos")), "piece": F.when(table, F.col("element_text")).otherwise(F.col("t"))})
+    records = kept.groupBy(*keys, "run", "section", "slot").agg(F.expr("listagg(piece, '\n\n') WITHIN GROUP (ORDER BY pos)").alias("text"), F.min("pos").alias("at"))
+    late = F.col("slot").isNull()
+    place = Window.partitionBy(*order_by).orderBy("run", late, "at")
+    return records.select(*keys, "section", F.when(late, "narrative").otherwise("table").alias("content_type"), "text", (F.row_number().over(place) - 1).alias("record_pos"))
+
+
+def parsed(unwrapped: DataFrame) -> DataFrame:
+    """Elements of the filings without an error, each parsed once."""
+    html = F.when(F.col("status") == "ok", F.col("html"))
+    return explode_elements(unwrapped.select(*META, html.alias("html")))
 
 
 def chunk_filings(submissions: DataFrame, done: DataFrame | None = None, target: int = TARGET, overlap: int = OVERLAP, count: TokenCounter = word_count, sizes_for: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -55,8 +65,7 @@ def chunk_filings(submissions: DataFrame, done: DataFrame | None = None, target:
         todo = todo.join(done.select("accession_number").distinct(), "accession_number", "left_anti")
     un = unwrap(todo)
     errors = un.filter("status <> 'ok'").select("ticker", "accession_number", "status")
-    elements = explode_elements(un.filter("status = 'ok'").drop("status"))
-    chunks = chunk_records(section_records(elements), target=target, overlap=overlap, count=count, sizes_for=sizes_for)
+    chunks = chunk_records(section_records(parsed(un)), target=target, overlap=overlap, count=count, sizes_for=sizes_for)
     return chunks.drop("first_unit", "end_unit"), errors
 
 
@@ -67,15 +76,12 @@ def chunk_corpus(spark: SparkSession, root: str, corpus: str, force: bool = Fals
     leaves no half of a filing behind.
     """
     subs = read_submissions(spark, root)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(corpus)
-    known = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    done = spark.read.parquet(corpus).select("accession_number").distinct() if known and not force else None
+    done = spark.read.parquet(corpus).select("accession_number").distinct() if exists(spark, corpus) and not force else None
     chunks, errors = chunk_filings(subs, done, **options)
     before = done.count() if done is not None else 0
     chunks.write.mode("overwrite" if force else "append").partitionBy("ticker", "fiscal_year").parquet(corpus)
     after = spark.read.parquet(corpus).select("accession_number").distinct().count()
-    failed, total = errors.count(), subs.count()
+    failed, total = errors.count(), subs.select("path").count()
     return {"processed": after - before, "skipped": total - failed - (after - before), "errors": failed}
 
 

@@ -67,10 +67,7 @@ def filing_accession_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_RUNS}, {_RECORDS} SELECT {_ACC} AS accession_number, section, content_type, md5(text) AS text_md5, length(text)::INT AS chars FROM r")
 def ingest_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filings to section records: parsed elements, sections carried forward, narratives gathered, tables alone."""
-    from quarryline.functions.elements import explode_elements
-
-    un = ingest.unwrap(_submissions(spark, sf_dir)).filter("status = 'ok'").drop("status")
-    records = ingest.section_records(explode_elements(un))
+    records = ingest.section_records(ingest.parsed(ingest.unwrap(_submissions(spark, sf_dir))))
     return records.select("accession_number", "section", "content_type", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").alias("chars"))
 
 
