@@ -22,6 +22,7 @@ shard's ids begin where the ones before it end.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -54,7 +55,7 @@ PAGE_IDS = 1 << 19
 TOKENIZER = os.environ.get("QUARRYLINE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 END_ID = 0
 #: What a worker remembers of units: so many, and so many characters.
-CACHE_UNITS, CACHE_CHARS = 1_000_000, 16_000_000
+CACHE_UNITS, CACHE_CHARS = 1_300_000, 20_000_000
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -70,9 +71,10 @@ def pack(ids: np.ndarray) -> bytes:
     taken = np.ones(n, dtype=np.int32)
     widest = int(v.max()) if n else 0
     widest, may = int(v.max()) if n else 0, place
+    narrow = v.astype(np.uint32) if widest < 1 << 32 else v
     for s in range(len(COUNTS) - 1, 0, -1):
         if widest >> WIDTHS[s]:
-            small = v < U(1 << WIDTHS[s])
+            small = narrow < narrow.dtype.type(1 << WIDTHS[s])
             may = may[small[may]]  # what a narrower word can begin with, a wider one can
             if not len(may):
                 break
@@ -246,7 +248,15 @@ class Encoder:
             return np.split(flat, np.cumsum(count)[:-1])
         if len(self.count) > CACHE_UNITS or self.chars > CACHE_CHARS:
             self.forget()
-        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        held = gc.isenabled()
+        gc.disable()  # very many small objects, none in a cycle
+        try:
+            return self._by_parts(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
+        finally:
+            if held:
+                gc.enable()
+
+    def _by_parts(self, texts: pa.Array) -> list[np.ndarray]:
         split = pc.split_pattern(pc.fill_null(texts, ""), " ")
         bounds = split.offsets.to_numpy()
         coded = split.values.dictionary_encode()
