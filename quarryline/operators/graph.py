@@ -1,7 +1,7 @@
 """Approximate vector search over a neighbour graph, built and walked by joins.
 
-The graph is a table of (id, links): at most ``DEGREE`` near rows and as many that name the row
-as one of theirs.  It is built by NN-descent: rows start with neighbours from blocks along
+The graph is a table of (id, links): at most ``DEGREE`` near rows, ``BACK`` that name the row as one of
+theirs, and ``FAR`` taken by hash, which lead from one cluster to others.  It is built by NN-descent: rows start with neighbours from blocks along
 random directions; then the neighbours of each row meet each other, as those of one
 row are likely near.  Every step is a join, a bounded group for each row, and a ranking.
 
@@ -25,7 +25,11 @@ from quarryline.operators.skew import spread_join
 from quarryline.operators.vector import ranked
 from quarryline.session import saved, ship
 
-DEGREE, BLOCK, STARTS, ENTRIES = 10, 128, 2, 12
+DEGREE, BACK, FAR = 10, 1, 2
+#: Near rows that are kept while the graph is built: more than in the end, or it wouldn't converge where vectors have no clusters.
+POOL = 30
+#: Rows of a starting block, starting directions, rows that every walk begins at.
+BLOCK, STARTS, ENTRIES = 128, 2, 8
 
 
 def unit_rows(corpus: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -38,16 +42,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _meet(ids: np.ndarray, m: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _meet(ids: np.ndarray, m: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, other, score) of the ``most`` nearest others of each row of a group."""
     s = m @ m.T
     s[ids[:, None] == ids[None]] = -np.inf
     most = min(most, len(ids) - 1)
-    if most > 0:
-        near = np.argpartition(-s, most - 1, axis=1)[:, :most]
-        score = np.take_along_axis(s, near, axis=1)
-        ok = np.isfinite(score)
-        yield np.repeat(ids, most)[ok.ravel()], ids[near][ok], score[ok]
+    near = np.argpartition(-s, most - 1, axis=1)[:, :most] if most > 0 else np.zeros((len(ids), 0), int)
+    score = np.take_along_axis(s, near, axis=1)
+    ok = np.isfinite(score)
+    return np.repeat(ids, near.shape[1])[ok.ravel()], ids[near][ok], score[ok].astype(np.float64)
 
 
 def _near_in_groups(groups: DataFrame, most: int) -> DataFrame:
@@ -56,10 +59,9 @@ def _near_in_groups(groups: DataFrame, most: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for members in b.column("members"):
-                inner = members.values
-                for row, other, score in _meet(inner.field("id").to_numpy(), _matrix(inner.field("vec")), most):
-                    yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(other), pa.array(score.astype(np.float64))], names=["id", "other", "score"])
+            found = [_meet(m.values.field("id").to_numpy(), _matrix(m.values.field("vec")), most) for m in b.column("members")]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["id", "other", "score"])
 
     return groups.select("members").mapInArrow(run, "id long, other long, score double")
 
@@ -77,21 +79,31 @@ def _start(rows: DataFrame, seed: int, keep: Callable[[DataFrame], DataFrame]) -
     along = F.aggregate(F.zip_with("vec", F.array(*(F.lit(float(x)) for x in line)), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     placed = number_rows(keep(rows.withColumn("along", along)), ["along"], keep=keep)
     groups = placed.groupBy(F.floor(F.col("pos") / BLOCK).alias("block")).agg(F.collect_list(F.struct("id", "vec")).alias("members"))
-    return _near_in_groups(groups, DEGREE)
+    return _near_in_groups(groups, POOL)
 
 
-def build_graph(rows: DataFrame, rounds: int = 4, keep: Callable[[DataFrame], DataFrame] = saved) -> DataFrame:
+def _named_by(near: DataFrame, k: int) -> DataFrame:
+    """(id, other, score): the k nearest of the rows that name a row."""
+    return ranked(near.select(F.col("other").alias("id"), F.col("id").alias("other"), "score"), k, "id", "other").drop("rank")
+
+
+def _far(rows: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, other): rows at places that the id's hash picks."""
+    placed = keep(number_rows(keep(rows.select("id")), ["id"], keep=keep))
+    at = F.explode(F.array(*(F.pmod(F.xxhash64("id", F.lit(j)), F.col("n")) for j in range(FAR))))
+    return placed.select("id", at.alias("pos")).join(placed.select("pos", F.col("id").alias("other")), "pos").filter("id <> other").select("id", "other")
+
+
+def build_graph(rows: DataFrame, rounds: int = 3, keep: Callable[[DataFrame], DataFrame] = saved) -> DataFrame:
     """(id, links) over ``unit_rows``; ids are unique.  Vectors of one direction are neighbours like others; one row alone has no links."""
-    near = keep(_best(reduce(DataFrame.unionAll, (_start(rows, s, keep) for s in range(STARTS))), DEGREE))
+    near = keep(_best(reduce(DataFrame.unionAll, (_start(rows, s, keep) for s in range(STARTS))), POOL))
     for _ in range(rounds):
-        both = near.select("id", "other", "score").unionAll(ranked(near.select(F.col("other").alias("id"), F.col("id").alias("other"), "score"), DEGREE, "id", "other").drop("rank"))
-        members = keep(both.select("id", "other").distinct())
-        placed = spread_join(members.select(F.col("id").alias("of"), F.col("other").alias("id")), rows, "id", by="of")
-        groups = placed.groupBy("of").agg(F.collect_list(F.struct("id", "vec")).alias("members"))  # 2 x DEGREE at most
-        near = keep(_best(near.unionByName(_near_in_groups(groups, DEGREE // 2)), DEGREE))
-    back = ranked(near.select(F.col("other").alias("id"), F.col("id").alias("other"), "score"), DEGREE, "id", "other").drop("rank")
-    links = near.unionByName(back).select("id", "other").distinct().groupBy("id").agg(F.collect_list("other").alias("links"))
-    return keep(links)
+        members = keep(near.unionAll(_named_by(near, POOL)).select(F.col("id").alias("of"), F.col("other").alias("id")).distinct())
+        groups = spread_join(members, rows, "id", by="of").groupBy("of").agg(F.collect_list(F.struct("id", "vec")).alias("members"))  # 2 x POOL at most
+        near = keep(_best(near.unionByName(_near_in_groups(groups, POOL)), POOL))
+    near = keep(ranked(near, DEGREE, "id", "other").drop("rank"))
+    links = near.unionByName(_named_by(near, BACK)).select("id", "other").unionAll(_far(rows, keep)).distinct()
+    return keep(links.groupBy("id").agg(F.collect_list("other").alias("links")))
 
 
 def _scored(pairs: DataFrame, rows: DataFrame, queries: DataFrame) -> DataFrame:
@@ -107,7 +119,7 @@ def _scored(pairs: DataFrame, rows: DataFrame, queries: DataFrame) -> DataFrame:
     return both.select("query_id", "id", "vec", "query").mapInArrow(run, "query_id long, id long, score double")
 
 
-def graph_search(graph: DataFrame, rows: DataFrame, queries: DataFrame, k: int = 10, beam: int = 20, width: int = 4, rounds: int = 30, keep: Callable[[DataFrame], DataFrame] = saved) -> tuple[DataFrame, DataFrame]:
+def graph_search(graph: DataFrame, rows: DataFrame, queries: DataFrame, k: int = 10, beam: int = 11, width: int = 3, rounds: int = 30, keep: Callable[[DataFrame], DataFrame] = saved) -> tuple[DataFrame, DataFrame]:
     """The k best found of each query (query_id, id, score, rank), and all (query_id, id, score) that were read for it.
 
     ``queries`` are ``unit_rows`` too.  ``beam`` trades reads for recall; ``rounds`` only ends a walk that

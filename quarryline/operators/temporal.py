@@ -27,7 +27,7 @@ def ticks(at: Column, kind: T.DataType) -> Column:
         if isinstance(kind, T.DateType):
             return day
         second = F.date_part(F.lit("SECOND"), at)
-        return day + F.hour(at) * F.lit(3_600_000_000) + F.minute(at) * F.lit(60_000_000) + (second * 1_000_000).cast("long")
+        return day + F.hour(at).cast("long") * 3_600_000_000 + F.minute(at).cast("long") * 60_000_000 + (second * 1_000_000).cast("long")
     if isinstance(kind, T.IntegralType):
         return at.cast("long")
     raise TypeError(f"intervals are of times, dates or integers, not {kind.simpleString()}")

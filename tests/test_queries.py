@@ -41,4 +41,5 @@ def test_flagship(spark):
 
 
 def test_every_query_has_sql():
-    assert set(catalogue.QUERIES) == set(catalogue.SQL)
+    """But for the approximate indexes, whose recall and reads test_scale.py holds to bounds."""
+    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"ivf_topk_recall", "code_topk_recall", "graph_topk_recall"} and set(catalogue.SQL) <= set(catalogue.QUERIES)
