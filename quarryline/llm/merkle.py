@@ -23,8 +23,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import Scratch, q, shared_table, table, tune
+from quarryline.llm.common import Scratch, q, table, tune
 from quarryline.operators.numbering import number_rows
+from quarryline.session import saved
 
 #: Nodes of a block, at most: bounds the rows of the persisted tables.
 STRIDE_NODES = 1024
@@ -144,7 +145,7 @@ def _push(tiers: list[DataFrame], above: DataFrame | None, fanout: int) -> DataF
     return above
 
 
-def build(docs: DataFrame, columns: Sequence[str], id_col: str = "doc_id", group_col: str = "lang", fanout: int = 2, carry: dict[str, Column] | None = None, keep: Callable[[DataFrame], DataFrame] = shared_table) -> Manifest:
+def build(docs: DataFrame, columns: Sequence[str], id_col: str = "doc_id", group_col: str = "lang", fanout: int = 2, carry: dict[str, Column] | None = None, keep: Callable[[DataFrame], DataFrame] = saved) -> Manifest:
     """The manifest of ``docs``: a leaf is the digest of ``columns``, in this order; a tree for each value of ``group_col``.
 
     ``carry`` names further values that come out beside a leaf's proof.  ``keep`` writes the manifest's tables and reads them back; by default
