@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.operators.numbering import number_rows
-from quarryline.operators.skew import spread_join
 from quarryline.operators.vector import ranked
 from quarryline.session import saved, ship
 
@@ -99,7 +98,7 @@ def build_graph(rows: DataFrame, rounds: int = 3, keep: Callable[[DataFrame], Da
     near = keep(_best(reduce(DataFrame.unionAll, (_start(rows, s, keep) for s in range(STARTS))), POOL))
     for _ in range(rounds):
         members = keep(near.unionAll(_named_by(near, POOL)).select(F.col("id").alias("of"), F.col("other").alias("id")).distinct())
-        groups = spread_join(members, rows, "id", by="of").groupBy("of").agg(F.collect_list(F.struct("id", "vec")).alias("members"))  # 2 x POOL at most
+        groups = members.join(rows, "id").groupBy("of").agg(F.collect_list(F.struct("id", "vec")).alias("members"))  # 2 x POOL at most
         near = keep(_best(near.unionByName(_near_in_groups(groups, POOL)), POOL))
     near = keep(ranked(near, DEGREE, "id", "other").drop("rank"))
     links = near.unionByName(_named_by(near, BACK)).select("id", "other").unionAll(_far(rows, keep)).distinct()
