@@ -25,7 +25,8 @@ def strip_space(text: Column | str) -> Column:
 
 
 def plain_spaces(text: Column | str) -> Column:
-    return F.regexp_replace(_c(text), " ", " ")
+    """No-break spaces become plain ones."""
+    return F.translate(_c(text), "\u00a0", " ")
 
 
 def slice_html(text: Column | str) -> Column:

@@ -62,8 +62,8 @@ def parse_directive(raw: Column | str) -> Column:
     params = F.from_json(F.coalesce(F.get_json_object(body, "$.params"), F.lit("{}")), f"struct<{PARAMS}>")
     fields = [x.strip().split(" ")[0] for x in PARAMS.split(", ")]
     ask = F.struct(*(F.lit(REPHRASE_TEXT).alias(f) if f == "clarifying_question" else F.lit(None).cast(params_type(f)).alias(f) for f in fields))
-    unknown = F.concat(F.lit("router returned unknown code '"), code, F.lit("'"))
-    failed = F.concat(F.lit("router parse failure: "), F.left(r, F.lit(200)))
+    unknown = F.concat(F.lit("no such action: "), code)
+    failed = F.concat(F.lit("no directive to be read in: "), r)
     ok = parsed.isNotNull() & code.isin(*ACTION_CODES)
     reason = F.coalesce(F.try_variant_get(parsed, "$.reasoning", "string"), F.lit(""))
     return F.struct(F.when(ok, code).otherwise("clarify").alias("action_code"), F.when(ok, params).otherwise(ask).alias("params"), F.when(parsed.isNull(), failed).when(~ok, unknown).otherwise(reason).alias("reasoning"))

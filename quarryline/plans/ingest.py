@@ -119,7 +119,7 @@ _ROUTER = """CASE event_id % 6 WHEN 0 THEN '```json' || chr(10) || '{"action_cod
 
 
 @query(f"""SELECT event_id, (['lookup', 'clarify', 'clarify', 'compute', 'clarify', 'clarify'])[event_id % 6 + 1] AS action_code, CASE WHEN event_id % 6 = 0 THEN 'ACME' END AS company, CASE WHEN event_id % 6 IN (0, 3) THEN NULL ELSE '{answers.REPHRASE_TEXT}' END AS clarifying_question,
-CASE event_id % 6 WHEN 0 THEN 'r' WHEN 1 THEN 'router parse failure: no json' WHEN 2 THEN 'router returned unknown code ''dance''' WHEN 3 THEN '' WHEN 4 THEN 'router returned unknown code ''''' ELSE 'router parse failure: ' END AS reasoning FROM events""")
+CASE event_id % 6 WHEN 0 THEN 'r' WHEN 1 THEN 'no directive to be read in: no json' WHEN 2 THEN 'no such action: dance' WHEN 3 THEN '' WHEN 4 THEN 'no such action: ' ELSE 'no directive to be read in: ' END AS reasoning FROM events""")
 def router_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A router's raw output to a directive; what can't be read asks to clarify."""
     d = table(spark, sf_dir, "events").select("event_id", answers.parse_directive(F.expr(_ROUTER)).alias("d"))
@@ -193,13 +193,13 @@ def decline_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ASKED = "(SELECT event_id AS query_id, CASE event_id % 5 WHEN 0 THEN 'Should I buy EN stock?' WHEN 1 THEN 'hello' WHEN 2 THEN 'What was the revenue?' WHEN 3 THEN 'What was ZZ revenue in 2005?' ELSE 'What was ' || (['DE', 'EN', 'FR', 'ES'])[event_id % 4 + 1] || ' revenue in ' || (2000 + event_id % 20)::VARCHAR || '?' END AS query, (['DE', 'EN', 'FR', 'ES'])[event_id % 4 + 1] AS ticker, 2000 + event_id % 20 AS fiscal_year FROM events)"
 
 
-@query(f"""WITH one AS (SELECT upper(lang) AS ticker, 2000 + doc_id % 20 AS fiscal_year, min(doc_id) AS doc_id FROM documents WHERE regexp_full_match(text, '(?s).*[^\\s].*') GROUP BY ALL), corpus AS (SELECT one.*, left(trim(replace(left(text, 250), chr(10), ' ')), 300) AS body FROM one JOIN documents d ON one.doc_id = d.doc_id),
+@query(f"""WITH one AS (SELECT upper(lang) AS ticker, 2000 + doc_id % 20 AS fiscal_year, min(doc_id) AS doc_id FROM documents WHERE regexp_full_match(text, '(?s).*[^\\s].*') GROUP BY ALL), corpus AS (SELECT one.*, left(trim(replace(text, chr(10), ' ')), 300) AS body FROM one JOIN documents d ON one.doc_id = d.doc_id),
 q AS (SELECT a.query_id, a.query_id % 5 AS kind, a.ticker, c.body FROM {_ASKED} a LEFT JOIN corpus c ON a.query_id % 5 = 4 AND a.ticker = c.ticker AND a.fiscal_year = c.fiscal_year)
 SELECT query_id, CASE kind WHEN 0 THEN '{_quoted(answers.DECLINE_TEXTS["investment_advice"])}' WHEN 1 THEN '{_quoted(answers.SMALLTALK_TEXT)}' WHEN 2 THEN '{_quoted(answers.CLARIFY_TEXT)}' WHEN 3 THEN 'No filings of ZZ are in the corpus.' ELSE CASE WHEN body IS NULL THEN 'No filings of ' || ticker || ' are in the corpus.' ELSE body || ' [1]' END END AS text,
  (['decline', 'smalltalk', 'clarify', 'lookup', 'lookup'])[kind + 1] AS action_code, CASE kind WHEN 0 THEN 'declined' WHEN 1 THEN 'ok' WHEN 2 THEN 'clarify' WHEN 3 THEN 'declined' ELSE CASE WHEN body IS NULL THEN 'declined' ELSE 'ok' END END AS status, CASE WHEN body IS NULL THEN 0 ELSE 1 END::INT AS n_sources FROM q""")
 def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Question to answer in one run: route, filter, embed, search, generate, dispatch; one chunk for each company and year."""
-    docs = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"(?s)\S")).select(F.upper("lang").alias("ticker"), (2000 + F.col("doc_id") % 20).cast("int").alias("fiscal_year"), "doc_id", F.trim(F.translate(F.left("text", F.lit(250)), "\n", " ")).alias("text"))
+    docs = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"(?s)\S")).select(F.upper("lang").alias("ticker"), (2000 + F.col("doc_id") % 20).cast("int").alias("fiscal_year"), "doc_id", F.trim(F.translate("text", "\n", " ")).alias("text"))
     first = docs.groupBy("ticker", "fiscal_year").agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("vec_id")).withColumn("section", F.lit("mdna"))
     n = F.col("event_id")
     company = F.get(F.array(*map(F.lit, ("DE", "EN", "FR", "ES"))), (n % 4).cast("int"))

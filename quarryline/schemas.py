@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-# The seven action codes, the decline reasons and the item numbers of annual reports.
+# The action codes, the decline reasons, the item numbers of annual reports, the sections of dense text, and below the
+# names and types of the records that are exchanged.
 ACTION_CODES = ("smalltalk", "meta", "lookup", "compute", "research", "clarify", "decline")
 DECLINE_REASONS = ("investment_advice", "prediction", "out_of_scope", "personal_financial_advice")
 ITEM_SECTIONS = {
