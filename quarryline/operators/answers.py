@@ -79,14 +79,18 @@ def decline_text(reason: Column | str) -> Column:
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in DECLINE_TEXTS.items() for x in kv)), r), F.lit(GENERIC_DECLINE))
 
 
-def answer(directives: DataFrame, lookups: DataFrame | None = None) -> DataFrame:
+def answer(directives: DataFrame, lookups: DataFrame | None = None, computed: DataFrame | None = None) -> DataFrame:
     """query_id, text, action_code, status from (query_id, code, reason, company, clarifying_question).
 
     ``lookups`` (query_id, answer_text, sources) holds what retrieval and
-    generation found; a look-up without a row there is declined.  Unknown
-    codes ask to rephrase.
+    generation found; a look-up without a row there is declined.  ``computed`` (query_id, computed_text, computed_status)
+    holds results of calculations; without it they are unsupported.  Unknown codes ask to rephrase.
     """
     df = directives
+    if computed is not None:
+        df = df.join(computed, "query_id", "left")
+    else:
+        df = df.withColumns({"computed_text": F.lit(None).cast("string"), "computed_status": F.lit(None).cast("string")})
     if lookups is not None:
         df = df.join(lookups, "query_id", "left")
     else:
@@ -98,11 +102,11 @@ def answer(directives: DataFrame, lookups: DataFrame | None = None) -> DataFrame
         F.when(code == "smalltalk", SMALLTALK_TEXT).when(code == "meta", META_TEXT)
         .when(code == "clarify", X.first_filled("clarifying_question", F.lit(CLARIFY_TEXT)))
         .when(code == "decline", decline_text("reason"))
-        .when(code == "compute", UNSUPPORTED["compute"]).when(code == "research", UNSUPPORTED["research"])
+        .when(code == "compute", F.coalesce("computed_text", F.lit(UNSUPPORTED["compute"]))).when(code == "research", UNSUPPORTED["research"])
         .when(code == "lookup", F.when(found, F.col("answer_text")).otherwise(none)).otherwise(REPHRASE_TEXT)
     )
     status = (
-        F.when(code.isin("smalltalk", "meta"), "ok").when(code == "decline", "declined").when(code.isin("compute", "research"), "unsupported")
+        F.when(code.isin("smalltalk", "meta"), "ok").when(code == "decline", "declined").when(code == "compute", F.coalesce("computed_status", F.lit("unsupported"))).when(code == "research", "unsupported")
         .when(code == "lookup", F.when(found, "ok").otherwise("declined")).otherwise("clarify")
     )
     return df.select("query_id", text.alias("text"), code.alias("action_code"), status.alias("status"), F.when((code == "lookup") & found, F.col("sources")).otherwise(F.array()).alias("sources"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.operators import answers, retrieval
+from quarryline.operators.compute import computed_answers
 from quarryline.operators.vector import batched_search
 from quarryline.providers import Embedder, Generator, embed_column
 from quarryline.session import ship
@@ -54,11 +55,11 @@ def found_for(terms: DataFrame, corpus: DataFrame, k: int = 5, id_col: str = "ve
     return hits[0].unionByName(hits[1])
 
 
-def answer_questions(questions: DataFrame, corpus: DataFrame, embedder: Embedder, generator: Generator, k: int = 5, id_col: str = "vec_id") -> tuple[DataFrame, DataFrame]:
+def answer_questions(questions: DataFrame, corpus: DataFrame, embedder: Embedder, generator: Generator, k: int = 5, id_col: str = "vec_id", facts: DataFrame | None = None, concepts: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(answers, misses) of (query_id, query) over chunks (vec_id, ticker, fiscal_year, section, text; embedded here if they have no vectors).
 
     Answers: query_id, text, action_code, status, sources.  Misses: look-ups that found nothing, with their
-    query and filters, as the miss log takes them.
+    query and filters, as the miss log takes them.  With ``facts`` (see ``compute``) calculations over ``concepts`` are answered, too.
     """
     asked = directives(questions)
     lookups = asked.filter("code = 'lookup'")
@@ -74,4 +75,5 @@ def answer_questions(questions: DataFrame, corpus: DataFrame, embedder: Embedder
     found = made.select("query_id", "answer_text").join(sources, "query_id")
     missed = lookups.join(found.select("query_id"), "query_id", "left_anti")
     filters = F.map_filter(F.create_map(F.lit("ticker"), F.col("company"), F.lit("fiscal_year"), F.col("params.year").cast("string")), lambda _, v: v.isNotNull())
-    return answers.answer(asked, found), missed.select("query_id", "query", filters.alias("filters"))
+    computed = computed_answers(asked, facts, list(concepts)) if facts is not None else None
+    return answers.answer(asked, found, computed), missed.select("query_id", "query", filters.alias("filters"))

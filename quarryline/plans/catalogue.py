@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarryline.plans import chunks, datasets, ingest, lexical, more, relational, sketches, sources, temporal, vectors  # noqa: F401  they register their queries
+from quarryline.plans import chunks, compute, datasets, ingest, lexical, more, relational, sketches, sources, temporal, vectors  # noqa: F401  they register their queries
 from quarryline.plans.registry import QUERIES, SQL
 from quarryline.plans.vectors import flagship
 

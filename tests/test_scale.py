@@ -303,3 +303,38 @@ def test_folders_of_submissions(spark, tmp_path):
     assert [g[1] for g in got] == ["café �" * i for i in range(5)] and all(g[0].endswith("full-submission.txt") for g in got)
     assert spark.read.format("submissions").load(str(tmp_path / "none")).count() == 0
     assert len(datasource._tasks(datasource._listed(str(root)))) == 1
+
+
+# --- calculations ----------------------------------------------------------------------------
+
+
+def test_calculations_and_what_stops_them(spark):
+    facts = spark.createDataFrame(
+        [("A", 2020, "revenue", 100.0, "USD"), ("A", 2021, "revenue", 150.0, "USD"), ("A", 2021, "revenue", 150.0, "USD"), ("A", 2022, "revenue", 0.0, "USD"), ("A", 2021, "staff", 3.0, "people"), ("A", 2023, "revenue", 9.0, "EUR"), ("B", 2021, "revenue", 1.0, "USD"), ("B", 2021, "revenue", 2.0, "USD"), ("B", 2020, "revenue", 2.0, None), ("A", 2019, "revenue", None, "USD")],
+        "ticker string, fiscal_year int, concept string, value double, unit string",
+    )
+    asked = [
+        (1, "growth", "A", ["revenue"], [2021], ("ok", 50.0, "%", "")), (2, "ratio", "A", ["revenue", "staff"], [2021], ("ok", 50.0, "USD/people", "")), (3, "difference", "A", ["revenue"], [2020, 2021], ("ok", 50.0, "USD", "")),
+        (4, "sum", "A", ["revenue"], [2020, 2022], ("ok", 250.0, "USD", "")), (5, "growth", "A", ["revenue"], [2023], ("unit_mismatch", None, None, "")), (6, "difference", "A", ["revenue"], [2022, 2023], ("unit_mismatch", None, None, "")),
+        (7, "growth", "A", ["revenue"], [2020], ("missing", None, None, "revenue 2019")), (8, "growth", "B", ["revenue"], [2021], ("ambiguous", None, None, "")), (9, "root", "A", ["revenue"], [2021], ("unknown_calculation", None, None, "")), (10, None, "A", [], [2021], ("unknown_calculation", None, None, "")),
+        (11, "ratio", "A", ["revenue"], [2021], ("missing", None, None, "? 2021")), (12, "ratio", "A", ["staff", "revenue"], [2022], ("missing", None, None, "staff 2022")), (13, "average", "A", ["revenue"], [2020, 2021], ("ok", 125.0, "USD", "")), (14, "sum", "A", ["revenue"], [], ("missing", None, None, "")),
+    ]
+    df = spark.createDataFrame([a[:5] for a in asked], "query_id long, calculation string, company string, metrics array<string>, year_range array<int>")
+    from quarryline.operators import compute
+
+    got = {r["query_id"]: (r["status"], r["value"], r["unit"], r["missing"] or "") for r in compute.compute(df, facts).collect()}
+    assert got == {a[0]: a[5] for a in asked}
+
+
+def test_calculations_are_answered_in_the_run(spark):
+    from quarryline.operators import pipeline
+    from quarryline.providers import ExtractiveGenerator, HashedEmbedder
+
+    facts = spark.createDataFrame([("EN", 2020, "revenue", 100.0, "USD"), ("EN", 2021, "revenue", 150.0, "USD")], "ticker string, fiscal_year int, concept string, value double, unit string")
+    corpus = spark.createDataFrame([(1, "EN", 2021, "mdna", "Revenue rose.")], "vec_id long, ticker string, fiscal_year int, section string, text string")
+    asked = spark.createDataFrame([(1, "Compute the growth of revenue of EN in 2021?"), (2, "Compute the growth of revenue of EN in 2009?"), (3, "What percent of EN in 2021?"), (4, "hello")], "query_id long, query string")
+    found, _ = pipeline.answer_questions(asked, corpus, HashedEmbedder(16), ExtractiveGenerator(), facts=facts, concepts=["revenue"])
+    got = {r["query_id"]: (r["action_code"], r["status"], r["text"]) for r in found.collect()}
+    assert got[1] == ("compute", "ok", "growth of revenue of EN is 50.0000 %")
+    assert got[2][:2] == ("compute", "declined") and "revenue 2008, revenue 2009" in got[2][2]
+    assert got[3][:2] == ("compute", "clarify") and got[4][1] == "ok"
