@@ -135,22 +135,18 @@ def unpack(payload: bytes, first: int = 0, end: int | None = None) -> np.ndarray
     before = np.cumsum(counts) - counts
     own = starts[lo:hi] - starts[lo]  # each block's first word
     block = np.repeat(np.arange(hi - lo), np.diff(np.append(own, len(words))))
-    at = before - before[own][block] + block * size
-    stop = np.minimum((block + 1) * size, n - lo * size)
-    out = np.zeros((hi - lo) * size + max(COUNTS), dtype=U)
+    # a block has room behind it for what its last word holds too many
+    wide = size + max(COUNTS)
+    at = before - before[own][block] + block * wide
+    out = np.zeros((hi - lo) * wide, dtype=U)
     for s in range(len(COUNTS)):
         of = np.flatnonzero(kind == s)
-        if not len(of):
-            continue
         if s == 0:
             out[at[of]] = escapes[words[of].astype(np.int64)]
-            continue
-        lanes = np.arange(COUNTS[s])
-        values = (words[of, None] >> (lanes * WIDTHS[s]).astype(U)) & U((1 << WIDTHS[s]) - 1)
-        places = at[of, None] + lanes
-        real = places < stop[of, None]
-        out[places[real]] = values[real]
-    return out[first - lo * size : end - lo * size]
+        elif len(of):
+            lanes = np.arange(COUNTS[s])
+            out[at[of, None] + lanes] = (words[of, None] >> (lanes * WIDTHS[s]).astype(U)) & U((1 << WIDTHS[s]) - 1)
+    return out.reshape(hi - lo, wide)[:, :size].ravel()[first - lo * size : end - lo * size]
 
 
 def _loose(part: str) -> bool:
@@ -203,6 +199,7 @@ class Encoder:
         return np.array([i for r in rows for i in r], np.uint32), np.array([len(r) for r in rows], np.int64)
 
     def _add(self, text: str) -> int:
+        """A new run's number; pieces of it that are runs themselves come first."""
         made: str | list[int] = text
         if text[-1:] in _STOPS or "\n" in text:
             pieces = _INNER.split(text)
@@ -262,8 +259,11 @@ class Encoder:
         coded = split.values.dictionary_encode()
         known = coded.dictionary.to_pylist()
         place = coded.indices.to_numpy()
-        number = np.fromiter((self._part(p) if x is None else x for p, x in zip(known, map(self.parts.get, known), strict=True)), np.int64, len(known))
-        numbers = number[place]
+        number = list(map(self.parts.get, known))
+        for i, x in enumerate(number):
+            if x is None:
+                number[i] = self._part(known[i])
+        numbers = np.array(number, np.int64)[place]
         loose = np.add.reduceat(numbers == LOOSE, bounds[:-1]) > 0 if len(bounds) > 1 else np.zeros(0, bool)
         rows = []
         for lo, hi, odd in zip(bounds[:-1].tolist(), bounds[1:].tolist(), loose.tolist(), strict=True):
