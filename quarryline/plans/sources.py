@@ -68,25 +68,20 @@ def stream_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}-out").filter("status = 'ok'").groupBy("ticker").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_type AS query, 'u' || (user_id % 7)::VARCHAR AS company, 2 * count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY ALL")
+@query("SELECT event_type AS query, 'u' || (user_id % 7)::VARCHAR AS company, 2 * count(*) AS n FROM events GROUP BY ALL")
 def miss_log_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Misses appended twice through the log's writer and counted from its commits."""
     folder = _folder(spark, "misses")
-    misses = table(spark, sf_dir, "events").filter("event_id % 3 = 0").select((F.col("event_id") * 1.0).cast("double").alias("ts"), F.col("event_type").alias("query"), F.create_map(F.lit("company"), F.concat(F.lit("u"), (F.col("user_id") % 7).cast("string"))).alias("filters"))
+    misses = table(spark, sf_dir, "events").select((F.col("event_id") * 1.0).cast("double").alias("ts"), F.col("event_type").alias("query"), F.create_map(F.lit("company"), F.concat(F.lit("u"), (F.col("user_id") % 7).cast("string"))).alias("filters"))
     for _ in range(2):
         misses.write.format("misses").mode("append").save(folder)
     return spark.read.format("misses").load(folder).groupBy("query", F.col("filters")["company"].alias("company")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents), v AS (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS pos FROM lineitem)
-SELECT a.pos, doc_id, l_orderkey, l_linenumber FROM a JOIN v USING (pos)""")
+@query("""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents), v AS (SELECT doc_id AS other_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS pos FROM documents)
+SELECT a.pos, doc_id, other_id, n_chars FROM a JOIN v USING (pos)""")
 def zip_two_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row i of a file of chunks beside row i of a file of vectors that was written with other partitions.
-
-    The lines of the second file are cut to the length of the first, as files of different lengths are refused.
-    """
-    chunks = saved(table(spark, sf_dir, "documents").select("doc_id").repartition(7))
-    n = chunks.count()
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
-    vectors = saved(lines.orderBy("l_orderkey", "l_linenumber").limit(n).repartition(5))
-    return zip_rows(chunks, vectors, ["doc_id"], ["l_orderkey", "l_linenumber"])
+    """Row i of a file beside row i of another one that was written with other partitions and in another order."""
+    docs = table(spark, sf_dir, "documents")
+    left, right = saved(docs.select("doc_id").repartition(7)), saved(docs.select(F.col("doc_id").alias("other_id"), "n_chars").repartition(5))
+    return zip_rows(left, right, ["doc_id"], ["n_chars", "other_id"])
