@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as X
-from quarryline.operators import dataset, retrieval
+from quarryline.operators import answers, dataset, retrieval
 from quarryline.plans.registry import query, table
 
 
@@ -46,3 +46,11 @@ def weak_duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strip_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
     fenced = F.concat(F.lit("```json\n"), "lang", "source", F.lit("\n```"))
     return table(spark, sf_dir, "documents").select("doc_id", F.length(X.strip_fences(fenced)).cast("long").alias("n"))
+
+
+@query("SELECT doc_id, 'system,user,assistant,user' AS roles, md5('Classify.' || chr(10) || 'one' || chr(10) || '{}' || chr(10) || text) AS contents_md5 FROM documents")
+def prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole prompt of each text: system text, a worked example, the text itself."""
+    m = table(spark, sf_dir, "documents").select("doc_id", answers.chat_messages("text", "Classify.", [("one", "{}")]).alias("m"))
+    part = lambda name: F.transform("m", lambda t: t[name])
+    return m.select("doc_id", F.array_join(part("role"), ",").alias("roles"), F.md5(F.array_join(part("content"), "\n").cast("binary")).alias("contents_md5"))

@@ -12,7 +12,7 @@ from quarryline.operators.numbering import zip_rows
 from quarryline.plans.ingest import _ACC, _OK, _submissions
 from quarryline.plans.registry import query, table
 from quarryline.session import drop_at_exit, saved, shared_folder
-from quarryline.sources import datasource
+from quarryline.sources import datasource, files
 
 
 def _folder(spark: SparkSession, stem: str) -> str:
@@ -85,3 +85,14 @@ def zip_two_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     left, right = saved(docs.select("doc_id").repartition(7)), saved(docs.select(F.col("doc_id").alias("other_id"), "n_chars").repartition(5))
     return zip_rows(left, right, ["doc_id"], ["n_chars", "other_id"])
+
+
+@query("""SELECT upper(lang) AS ticker, (2000 + doc_id % 20)::INT AS fiscal_year, CASE WHEN (doc_id // 3) % 2 = 0 THEN 1 ELSE 2 END AS run, count(*) AS n FROM documents GROUP BY ALL""")
+def vector_delta_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads of a vector table: the second brings all filings, those already stored with other text, and adds the others only."""
+    folder = _folder(spark, "vectors")
+    n = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select(F.upper("lang").alias("ticker"), (2000 + n % 20).cast("int").alias("fiscal_year"), F.format_string("%010d", F.floor(n / 3)).alias("accession_number"), "text", (F.floor(n / 3) % 2 == 0).alias("early"))
+    files.append_vectors(rows.filter("early").drop("early").withColumn("run", F.lit(1)), f"{folder}/v")
+    files.append_vectors(rows.drop("early").withColumns({"run": F.lit(2), "text": F.concat(F.lit("new "), "text")}), f"{folder}/v")
+    return spark.read.parquet(f"{folder}/v").groupBy("ticker", "fiscal_year", "run").agg(F.count("*").alias("n"))
