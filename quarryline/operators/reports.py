@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarryline.functions import text as X
 from quarryline.operators import evaluation, pipeline, retrieval
 from quarryline.providers import Embedder, ExtractiveGenerator, Generator, embed_column
+from quarryline.session import saved
 
 #: Share of common words from which an answer counts as right where there is no model to judge it.
 LEAST_OVERLAP = 0.5
@@ -25,7 +26,7 @@ def retrieval_eval(cases: DataFrame, vectors: DataFrame, embedder: Embedder, k:
     """(a row for each case: id, ticker, rank, hit; metrics): where the chunk that a case names comes within its company and year."""
     asked = cases.select(F.col("id").alias("query_id_text"), F.xxhash64("id").alias("query_id"), "question", "source", X.normalize_ticker("directive_params.company").alias("ticker"), F.col("directive_params.year").alias("fiscal_year"))
     chunks = _chunks(vectors)
-    terms = embed_column(asked.select("query_id", "question", "ticker", "fiscal_year"), embedder, "question", "query_vec")
+    terms = saved(embed_column(asked.select("query_id", "question", "ticker", "fiscal_year"), embedder, "question", "query_vec"))
     hits = pipeline.found_for(terms, chunks, k)
     named = hits.join(chunks.select("vec_id", F.col("chunk_id").alias("found")), "vec_id")
     ranks = retrieval.label_ranks(named, asked.select("query_id", F.col("source.chunk_id").alias("expected")), "found")
