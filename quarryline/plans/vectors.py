@@ -53,8 +53,7 @@ def _batched(spark: SparkSession, sf_dir: str, k: int, on: str | None, optional:
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     label = F.when(F.col("vec_id") % 40 == 0, F.col("label")) if optional else F.col("label")
     queries = emb.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), label.alias("label"))
-    hits = vector.batched_search(emb, queries, k, on)
-    return hits.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    return vector.batched_search(emb, queries, k, on, digits=6)
 
 
 @query(_BATCH.format(on="e.label = q.label") + " SELECT query_id, vec_id, score, rank::INT AS rank FROM s WHERE rank <= 5")

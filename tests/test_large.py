@@ -56,3 +56,20 @@ def test_same_question_looked_up_once(spark):
     assert model.calls.value == 1
     assert set(got) == {*range(40), 99} and all(got[i]["text"] == "found" and len(got[i]["sources"]) == 1 for i in range(1, 40, 2))
     assert sorted((r["query_id"], r["query"], r["filters"]["ticker"]) for r in missed.collect()) == [(i, "What was ZZ revenue in 2001?", "ZZ") for i in range(0, 40, 2)]
+
+
+def test_scores_equal_when_rounded_rank_by_id(spark, tmp_path):
+    """Scores that differ behind the sixth digit tie, as in the SQL, also at the edge of the k best."""
+    import duckdb
+
+    from quarryline.plans import catalogue
+
+    rows = [(i, [1.0, 0.3 + (20 - i) * 1e-8, 0.1 * (i % 2)], 1) for i in range(20)] + [(40 + i, [1.0, 0.2, float(i)], 1) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    df.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("vec_topk_batched", "vec_topk_optional_filter", "context_block", "vec_rank_of_label"):
+        out = catalogue.QUERIES[name](spark, str(tmp_path))
+        want = duck.sql(catalogue.SQL[name])
+        assert sorted(map(tuple, out.select(*want.columns).collect())) == sorted(want.fetchall()), name
