@@ -90,3 +90,36 @@ def test_references_without_semicolon(spark, tmp_path):
     out = catalogue.QUERIES["html_to_text"](spark, str(tmp_path))
     assert [tuple(r) for r in out.select(*want.columns).collect()] == want.fetchall()
     assert [t for _, t in elements("<p>a&amp</p>")] == ["a&"]
+
+
+def test_search_shuffles_no_posting_for_each_query(spark, monkeypatch):
+    """A query costs a row for each part, not one for each posting that it meets; parts and blocks of several sizes agree."""
+    from quarryline.operators import lexical
+
+    rows = [(i, "the same words " + " ".join(f"w{(i * j) % 17}" for j in range(8))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = docs.filter("doc_id % 10 = 0").withColumnRenamed("doc_id", "query_id")
+    monkeypatch.setattr(lexical, "RANGE", 4)
+    out = lexical.bm25_search(lexical.build_index(docs), asked, 5)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1 and "sum(" not in plan
+    small = sorted(map(tuple, out.collect()))
+    monkeypatch.setattr(lexical, "RANGE", 256)
+    monkeypatch.setattr(lexical, "BLOCK", 7)
+    assert small == sorted(map(tuple, lexical.bm25_search(lexical.build_index(docs), asked, 5).collect())) and len(small) == 100
+
+
+def test_chunks_by_slices(spark, monkeypatch):
+    """However many rows a batch has, few of them are Python objects at once."""
+    import pyarrow as pa
+
+    from quarryline.operators import chunking
+
+    df, runs = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema, *_: runs.append(run))
+    chunking.chunk_records(df, type_col=None, delimiter="\n", target=4, overlap=1)
+    chunking.slice_texts(df, 2)
+    whole = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": ["a b\nc d"] * 1000})
+    for run in runs:
+        made = list(run(iter([whole])))
+        assert len(made) > 4 and sorted(x for b in made for x in b.column("doc_id").to_pylist())[::2] == list(range(1000))
