@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from quarryline.session import ship
 
 TARGET, OVERLAP = 480, 64
+#: Rows whose texts are Python objects at once.
+SLICE = 128
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 TokenCounter = Callable[[str], int]
 
@@ -97,7 +99,7 @@ def chunk_records(records: DataFrame, text_col: str = "text", type_col: str | No
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields if f.name != text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(lo, SLICE) for whole in batches for lo in range(0, whole.num_rows, SLICE)):
             at, cells = [], []
             kind = b.column(kinds).to_pylist() if kinds else [None] * b.num_rows
             group = b.column(own).to_pylist() if own else [None] * b.num_rows
@@ -122,7 +124,7 @@ def slice_texts(docs: DataFrame, size: int, text_col: str = "text", slices: Call
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(lo, SLICE) for whole in batches for lo in range(0, whole.num_rows, SLICE)):
             cut = [slices(t, size) if t else [] for t in b.column(text_col).to_pylist()]
             at = pa.array([i for i, own in enumerate(cut) for _ in own], pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(n).take(at) for n in names), pa.array([p for own in cut for p in own], pa.string()), pa.array([j for own in cut for j in range(len(own))], pa.int32())], names=[*names, text_col, "piece"])
