@@ -123,3 +123,17 @@ def test_chunks_by_slices(spark, monkeypatch):
     for run in runs:
         made = list(run(iter([whole])))
         assert len(made) > 4 and sorted(x for b in made for x in b.column("doc_id").to_pylist())[::2] == list(range(1000))
+
+
+def test_intervals_are_cut_once(spark):
+    """Long, short and early intervals give the pairs of a plain comparison; the join reads their nodes, it doesn't cut them again."""
+    import random
+
+    from quarryline.operators import temporal
+
+    rnd = random.Random(4)
+    spans = [(i, s := rnd.randrange(-3000, 3000), s + rnd.choice([0, 1, 7, 63, 64, 700, 5000])) for i in range(150)]
+    left, right = spark.createDataFrame(spans[:70], "a long, s long, e long"), spark.createDataFrame(spans[70:], "b long, s2 long, e2 long")
+    out = temporal.overlap_join(left, right, ("s", "e"), ("s2", "e2"), width=1)
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 12_000
+    assert sorted((r["a"], r["b"]) for r in out.collect()) == sorted((a, b) for a, s, e in spans[:70] for b, s2, e2 in spans[70:] if s <= e2 and s2 <= e)
