@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as X
 from quarryline.functions.elements import explode_elements
 from quarryline.operators.chunking import OVERLAP, TARGET, TokenCounter, chunk_records, word_count
+from quarryline.session import release, saved
 from quarryline.sources.files import exists
 
 META = ("ticker", "filing_type", "fiscal_year", "period_of_report", "accession_number")
@@ -24,7 +27,10 @@ def read_submissions(spark: SparkSession, root: str) -> DataFrame:
 
 def unwrap(submissions: DataFrame) -> DataFrame:
     """META, html and status; a bad filing becomes a row with its error and never fails the job."""
-    df = submissions.withColumn("head", X.header_fields("content")).withColumn("doc", X.primary_document("content"))
+    once = lambda c: F.explode(F.array(c))  # noqa: E731  a row of its own, so that no later column or filter runs the patterns again
+    df = submissions.select("path", "content", once(X.first_document("content")).alias("first"))
+    df = df.select("path", once(F.struct(X.header_fields("content").alias("head"), X.document_html(F.col("first")).alias("doc"))).alias("both"))
+    df = df.select("path", "both.head", "both.doc")
     ticker = X.ticker_from_path("path")
     status = F.when(ticker.isNull(), "no_ticker_in_path").when(F.col("doc.status") != "ok", F.col("doc.status")).otherwise(F.col("head.status"))
     return df.select(ticker.alias("ticker"), "head.filing_type", "head.fiscal_year", "head.period_of_report", X.accession_from_path("path").alias("accession_number"), "doc.html", status.alias("status"))
@@ -60,28 +66,40 @@ def parsed(unwrapped: DataFrame) -> DataFrame:
 
 def chunk_filings(submissions: DataFrame, done: DataFrame | None = None, target: int = TARGET, overlap: int = OVERLAP, count: TokenCounter = word_count, sizes_for: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """(chunks, errors) of the submissions whose accession is not in ``done``; the anti join comes before parsing."""
+    return _chunks_and_errors(unwrap(_new(submissions, done)), target=target, overlap=overlap, count=count, sizes_for=sizes_for)
+
+
+def _new(submissions: DataFrame, done: DataFrame | None) -> DataFrame:
     todo = submissions.withColumn("accession_number", X.accession_from_path("path"))
-    if done is not None:
-        todo = todo.join(done.select("accession_number").distinct(), "accession_number", "left_anti")
-    un = unwrap(todo)
-    errors = un.filter("status <> 'ok'").select("ticker", "accession_number", "status")
-    chunks = chunk_records(section_records(parsed(un)), target=target, overlap=overlap, count=count, sizes_for=sizes_for)
-    return chunks.drop("first_unit", "end_unit"), errors
+    return todo if done is None else todo.join(done.select("accession_number").distinct(), "accession_number", "left_anti")
 
 
-def chunk_corpus(spark: SparkSession, root: str, corpus: str, force: bool = False, **options) -> dict[str, int]:
+def _chunks_and_errors(unwrapped: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    errors = unwrapped.filter("status <> 'ok'").select("ticker", "accession_number", "status")
+    return chunk_records(section_records(parsed(unwrapped)), **options).drop("first_unit", "end_unit"), errors
+
+
+def chunk_corpus(spark: SparkSession, root: str, corpus: str, force: bool = False, read: Callable[[SparkSession, str], DataFrame] | None = None, **options) -> dict[str, int]:
     """Append the new filings under ``root`` to the corpus table; counts of processed, skipped and failed ones.
 
     The state is the corpus itself, and a run commits as one job: a crash
     leaves no half of a filing behind.
+
+    A run opens each file once: the pass that unwraps the new filings into a table counts all of them.  The chunks of a
+    company and year go to few files, so that the next run has few to list; large ones are split.  ``read`` gives (path, content)
+    of all files under ``root`` (``read_submissions`` by default).
     """
-    subs = read_submissions(spark, root)
-    done = spark.read.parquet(corpus).select("accession_number").distinct() if exists(spark, corpus) and not force else None
-    chunks, errors = chunk_filings(subs, done, **options)
+    seen = Observation()
+    subs = (read or read_submissions)(spark, root).observe(seen, F.count("*").alias("n"))
+    done = saved(spark.read.parquet(corpus).select("accession_number").distinct()) if exists(spark, corpus) and not force else None
+    unwrapped = saved(unwrap(_new(subs, done)))
+    chunks, errors = _chunks_and_errors(unwrapped, **options)
     before = done.count() if done is not None else 0
-    chunks.write.mode("overwrite" if force else "append").partitionBy("ticker", "fiscal_year").parquet(corpus)
+    chunks.hint("rebalance", "ticker", "fiscal_year").write.mode("overwrite" if force else "append").partitionBy("ticker", "fiscal_year").parquet(corpus)
     after = spark.read.parquet(corpus).select("accession_number").distinct().count()
-    failed, total = errors.count(), subs.select("path").count()
+    failed, total = errors.count(), seen.get["n"]
+    for df in (unwrapped, *([done] if done is not None else [])):
+        release(df)
     return {"processed": after - before, "skipped": total - failed - (after - before), "errors": failed}
 
 

@@ -137,3 +137,28 @@ def test_intervals_are_cut_once(spark):
     out = temporal.overlap_join(left, right, ("s", "e"), ("s2", "e2"), width=1)
     assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 12_000
     assert sorted((r["a"], r["b"]) for r in out.collect()) == sorted((a, b) for a, s, e in spans[:70] for b, s2, e2 in spans[70:] if s <= e2 and s2 <= e)
+
+
+def _filings(spark, n):
+    body = "<DOCUMENT>\n<TYPE>10-K\n<TEXT><html><p>text</p></html></TEXT>\n</DOCUMENT>"
+    head = "CONFORMED SUBMISSION TYPE:\t10-K\nCONFORMED PERIOD OF REPORT:\t20240131\n"
+    return spark.createDataFrame([(f"/sec-edgar-filings/T{i % 3}/10-K/{i:010d}-24-{i:06d}/full-submission.txt", head + (body if i % 4 else "")) for i in range(n)], "path string, content string")
+
+
+def test_corpus_run_reads_each_filing_once(spark, tmp_path, monkeypatch):
+    """One pass over the files gives chunks, errors and the count of all; chunks of a company and year go to one small file."""
+    from quarryline.operators import ingest
+
+    df, seen = _filings(spark, 40).repartition(8), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(ingest, "read_submissions", lambda *_: df.mapInArrow(counted, df.schema))
+    want = ({"processed": 30, "skipped": 0, "errors": 10}, {"processed": 0, "skipped": 30, "errors": 10})
+    for run, counts in enumerate(want, 1):
+        assert ingest.chunk_corpus(spark, "", f"{tmp_path}/corpus") == counts
+        assert seen.value == 40 * run
+    assert len(spark.read.parquet(f"{tmp_path}/corpus").inputFiles()) == 3
