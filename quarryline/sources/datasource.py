@@ -17,12 +17,14 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 FILE = "full-submission.txt"
-#: Bytes of files that one task reads, about; a larger file is a task of its own.
-TASK_BYTES = 64 << 20
+#: Bytes of files that one task reads, about, a file counting as ``OPEN_BYTES`` more; a larger file is a task of its own.
+TASK_BYTES, OPEN_BYTES = 64 << 20, 128 << 10
+#: Texts of so many bytes, about, and so many files make a batch of rows.
+BATCH_BYTES, BATCH_FILES = 4 << 20, 256
 
 
 def open_path(path: str) -> tuple[pafs.FileSystem, str]:
@@ -62,21 +64,26 @@ def _listed(root: str) -> list[pafs.FileInfo]:
 def _tasks(files: list[pafs.FileInfo]) -> list[Files]:
     out, held, size = [], [], 0
     for f in files:
-        if held and size + f.size > TASK_BYTES:
+        if held and size + f.size + OPEN_BYTES > TASK_BYTES:
             out.append(Files(tuple(held)))
             held, size = [], 0
         held.append(f.path)
-        size += f.size
+        size += f.size + OPEN_BYTES
     return [*out, Files(tuple(held))] if held else out
 
 
 def _read(root: str, part: Files) -> Iterator[pa.RecordBatch]:
-    """A file at a time, whole; bytes that are no UTF-8 become U+FFFD."""
+    """Whole files, a few small ones a batch; bytes that are no UTF-8 become U+FFFD."""
     fs, _ = open_path(root)
-    for path in part.paths:
+    paths, texts, size = [], [], 0
+    for i, path in enumerate(part.paths):
         with fs.open_input_stream(path) as f:
-            text = f.read().decode("utf-8", "replace")
-        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([text])], names=["path", "content"])
+            texts.append(f.read().decode("utf-8", "replace"))
+        paths.append(path)
+        size += len(texts[-1])
+        if size >= BATCH_BYTES or len(paths) == BATCH_FILES or i + 1 == len(part.paths):
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string())], names=["path", "content"])
+            paths, texts, size = [], [], 0
 
 
 class _BatchReader(DataSourceReader):
@@ -117,7 +124,7 @@ class _StreamReader(DataSourceStreamReader):
         """Nothing is kept besides the checkpoint."""
 
 
-class _Stager(DataSourceWriter):
+class _Stager(DataSourceArrowWriter):
     """Files from rows (path, content): what stands behind the root's last folder name in ``path`` is the place below the root."""
 
     def __init__(self, root: str) -> None:
@@ -125,8 +132,9 @@ class _Stager(DataSourceWriter):
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         fs, base = open_path(self.root)
-        for row in iterator:
-            _put(fs, f"{base}/{row.path.lstrip('/')}", (row.content or "").encode())
+        for batch in iterator:
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                _put(fs, f"{base}/{path.as_py().lstrip('/')}", (content.as_py() or "").encode())
         return WriterCommitMessage()
 
 

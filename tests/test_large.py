@@ -162,3 +162,19 @@ def test_corpus_run_reads_each_filing_once(spark, tmp_path, monkeypatch):
         assert ingest.chunk_corpus(spark, "", f"{tmp_path}/corpus") == counts
         assert seen.value == 40 * run
     assert len(spark.read.parquet(f"{tmp_path}/corpus").inputFiles()) == 3
+
+
+def test_small_filings_in_many_tasks_and_few_batches(spark, monkeypatch, tmp_path):
+    """Opening a file counts as bytes, rows of small files share a batch, and the patterns run once a filing."""
+    from quarryline.operators import ingest
+    from quarryline.sources import datasource
+
+    datasource.register(spark)
+    _filings(spark, 40).write.format("submissions").mode("append").save(str(tmp_path))
+    listed = datasource._listed(str(tmp_path))
+    monkeypatch.setattr(datasource, "TASK_BYTES", 1 << 20)
+    assert len(listed) == 40 and len(datasource._tasks(listed)) > 4
+    batches = list(datasource._read(str(tmp_path), datasource.Files(tuple(f.path for f in listed))))
+    assert len(batches) == 1 and batches[0].num_rows == 40
+    un = ingest.unwrap(spark.read.format("submissions").load(str(tmp_path))).filter("status = 'ok'")
+    assert un._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1 and un.count() == 30
