@@ -178,3 +178,25 @@ def test_small_filings_in_many_tasks_and_few_batches(spark, monkeypatch, tmp_pat
     assert len(batches) == 1 and batches[0].num_rows == 40
     un = ingest.unwrap(spark.read.format("submissions").load(str(tmp_path))).filter("status = 'ok'")
     assert un._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1 and un.count() == 30
+
+
+def test_sessions_of_many_keys_without_python(spark, tmp_path):
+    """Sessions are windows of the engine, whatever files a part has, equal to plain code at the edge of the gap; no worker runs for each key."""
+    import datetime as dt
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quarryline.streaming import sessions
+
+    rnd = random.Random(8)
+    rows = [(i, rnd.choice([1, 2, 3, None]), rnd.randrange(0, 4000) * 10, float(i)) for i in range(400)]
+    day = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(i, u, day + dt.timedelta(seconds=t), v) for i, u, t, v in rows], "event_id long, user_id long, ts timestamp_ntz, value double").repartition(5)
+    out = sessions.sessions_in_two_runs(spark, df, "user_id", "ts", "value", 60, "60 days")
+    got = sorted((r["user_id"] or 0, int((r["session_start"] - day).total_seconds()), int((r["session_end"] - day).total_seconds()), r["n"], r["total"]) for r in out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")}).collect())
+    want = sorted((u or 0, *x) for u in (1, 2, 3, None) for x in sessions.merge_sessions([], [(t, v) for _, k, t, v in rows if k == u], 60))
+    assert got == want
+    df.write.parquet(f"{tmp_path}/in")
+    plan = sessions.sessions(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), "user_id", "ts", "value", 60, "1 hour")._jdf.queryExecution().logical().toString()
+    assert "InPandas" not in plan
