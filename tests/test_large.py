@@ -200,3 +200,32 @@ def test_sessions_of_many_keys_without_python(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/in")
     plan = sessions.sessions(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), "user_id", "ts", "value", 60, "1 hour")._jdf.queryExecution().logical().toString()
     assert "InPandas" not in plan
+
+
+def test_search_task_holds_few_scores(spark, monkeypatch):
+    """The largest part against the largest block: what a task holds is a small part of the scores, and its hits are right."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import pyarrow.compute
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    held = []
+    real = PandasCogroupedOps.applyInArrow
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", lambda self, fn, schema: held.append(fn) or real(self, fn, schema))
+    df = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>")
+    vector.batched_search(df, df.toDF("query_id", "query_vec"), 40)
+    rng = np.random.default_rng(1)
+    rows, asked = (rng.normal(size=(n, 8)).astype(np.float32) for n in (vector.PART, 2048))
+    lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 8).cast(pa.list_(pa.float32()))
+    left = pa.table({"vec_id": pa.array(range(len(rows)), pa.int64()), "embedding": lists(rows)})
+    right = pa.table({"query_id": pa.array(range(len(asked)), pa.int64()), "query_vec": lists(asked)})
+    tracemalloc.start()
+    out = held[0](left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+    unit = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rows.astype(float), asked.astype(float))]
+    for i in (0, 777, 2047):
+        best = out.filter(pa.compute.equal(out.column("query_id"), i)).column("vec_id").to_pylist()
+        assert best == np.argsort(-(unit[0] @ unit[1][i]), kind="stable")[:40].tolist()
