@@ -10,7 +10,9 @@ import json
 import posixpath
 import sys
 import uuid
+import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -25,6 +27,8 @@ FILE = "full-submission.txt"
 TASK_BYTES, OPEN_BYTES = 64 << 20, 128 << 10
 #: Texts of so many bytes, about, and so many files make a batch of rows.
 BATCH_BYTES, BATCH_FILES = 4 << 20, 256
+#: Threads that list folders at once.
+LISTERS = 8
 
 
 def open_path(path: str) -> tuple[pafs.FileSystem, str]:
@@ -35,8 +39,12 @@ def open_path(path: str) -> tuple[pafs.FileSystem, str]:
 
 def _put(fs: pafs.FileSystem, path: str, data: bytes) -> None:
     """Write under another name and move, so that a reader never sees half a file."""
-    fs.create_dir(posixpath.dirname(path), recursive=True)
-    part = f"{posixpath.dirname(path)}/.{uuid.uuid4().hex}"
+    folder = posixpath.dirname(path)
+    try:
+        fs.create_dir(folder, recursive=False)
+    except OSError:  # the folder above isn't there yet
+        fs.create_dir(folder, recursive=True)
+    part = f"{folder}/.{uuid.uuid4().hex}"
     with fs.open_output_stream(part) as f:
         f.write(data)
     fs.move(part, path)
@@ -54,11 +62,28 @@ def _lines(fs: pafs.FileSystem, path: str) -> list[str]:
 class Files(InputPartition):
     paths: tuple[str, ...]
 
+    def __getstate__(self) -> bytes:
+        """Paths are much alike, and the driver holds those of all tasks."""
+        return zlib.compress(json.dumps(self.paths).encode())
+
+    def __setstate__(self, state: bytes) -> None:
+        self.paths = tuple(json.loads(zlib.decompress(state)))
+
 
 def _listed(root: str) -> list[pafs.FileInfo]:
+    """Submissions below ``root`` by time of change; what lies below the first level of many folders is listed by threads."""
     fs, base = open_path(root)
-    found = fs.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True))
-    return sorted((f for f in found if f.is_file and f.base_name == FILE), key=lambda f: (f.mtime_ns or 0, f.path))
+    look = lambda folder, deep: fs.get_file_info(pafs.FileSelector(folder, recursive=deep, allow_not_found=True))
+    below = lambda folder, deep=True: [f for f in look(folder, deep) if f.type == pafs.FileType.Directory and not deep or f.is_file and f.base_name == FILE]
+    out, folders = [], [base]
+    with ThreadPoolExecutor(LISTERS) as pool:
+        while 0 < len(folders) < LISTERS:
+            found = [f for own in pool.map(lambda folder: below(folder, False), folders) for f in own]
+            out += [f for f in found if f.is_file]
+            folders = [f.path for f in found if not f.is_file]
+        for own in pool.map(below, folders):
+            out += own
+    return sorted(out, key=lambda f: (f.mtime_ns or 0, f.path))
 
 
 def _tasks(files: list[pafs.FileInfo]) -> list[Files]:
@@ -106,16 +131,23 @@ class _StreamReader(DataSourceStreamReader):
 
     def __init__(self, root: str) -> None:
         self.root = root
+        self.seen: tuple[int, list[pafs.FileInfo]] | None = None  # the listing that gave the last offset, until its batch is dealt out
 
     def initialOffset(self) -> dict:
         return {"changed": 0}
 
     def latestOffset(self) -> dict:
         files = _listed(self.root)
-        return {"changed": files[-1].mtime_ns if files else 0}
+        last = files[-1].mtime_ns if files else 0
+        self.seen = last, files
+        return {"changed": last}
 
     def partitions(self, start: dict, end: dict) -> list[Files]:
-        return _tasks([f for f in _listed(self.root) if start["changed"] < f.mtime_ns <= end["changed"]])
+        if start["changed"] >= end["changed"]:
+            return []  # as Spark asks when a stream goes on
+        files = self.seen[1] if self.seen and self.seen[0] == end["changed"] else _listed(self.root)
+        self.seen = None
+        return _tasks([f for f in files if start["changed"] < f.mtime_ns <= end["changed"]])
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         return _read(self.root, partition)
