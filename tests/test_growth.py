@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
-from quarryline.operators import temporal
+from quarryline.operators import lexical, temporal
 
 
 def test_overlap_join_has_tasks_by_pairs(spark, monkeypatch):
@@ -16,3 +18,21 @@ def test_overlap_join_has_tasks_by_pairs(spark, monkeypatch):
     each = pairs.groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert sum(r["count"] for r in each) == 40 * 20 * 20
     assert len(each) > 8 and max(r["count"] for r in each) <= 6 * 400
+
+
+def test_bm25_packs_its_index_and_sends_no_query_apart(spark, monkeypatch):
+    """The index takes a row for each range, not for each word and range; more jobs give the same hits."""
+    docs = spark.range(1, 601).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.concat(F.lit("w"), (F.col("id") * k % 97).cast("string")) for k in range(1, 30)), F.when(F.col("id") % 50 == 0, "ÄÖ rare")).alias("text"))
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 111 != 0, F.col("text"))).unionByName(spark.createDataFrame([(601, "")], docs.schema))
+    asked = docs.filter("doc_id % 20 = 0").toDF("query_id", "text")
+    index = lexical.build_index(docs)
+    assert index.packed.count() == 3 and {r["n"] for r in index.blocks.filter("term = 'rare'").select(F.size("postings").alias("n")).collect()} == {5, 2}
+    one = sorted(map(tuple, lexical.bm25_search(index, asked, 7).collect()))
+    monkeypatch.setattr(lexical, "SENT", 1)
+    monkeypatch.setattr(lexical, "BLOCK", 9)
+    assert one == sorted(map(tuple, lexical.bm25_search(index, asked, 7).collect())) and len(one) > 200
+    loaded = lexical.Index(index.docs, index.blocks, index.terms, index.n_docs, index.mean_words)
+    assert one == sorted(map(tuple, lexical.bm25_search(loaded, asked, 7).collect()))
+    files = [f.rsplit("/", 1)[0] for f in index.packed.inputFiles()]
+    index.release()
+    assert files and not any(os.path.exists(f.removeprefix("file:")) for f in files)
