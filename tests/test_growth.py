@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from quarryline.operators import lexical, temporal
+from quarryline.operators import lexical, temporal, vector
 
 
 def test_overlap_join_has_tasks_by_pairs(spark, monkeypatch):
@@ -36,3 +36,13 @@ def test_bm25_packs_its_index_and_sends_no_query_apart(spark, monkeypatch):
     files = [f.rsplit("/", 1)[0] for f in index.packed.inputFiles()]
     index.release()
     assert files and not any(os.path.exists(f.removeprefix("file:")) for f in files)
+
+
+def test_vector_search_in_jobs_sends_one_block_at_a_time(spark, monkeypatch):
+    emb = spark.range(300).select(F.col("id").alias("vec_id"), F.array(*(F.sin(F.col("id") * k).cast("float") for k in range(1, 9))).alias("embedding"))
+    asked = emb.filter("vec_id % 5 = 0").toDF("query_id", "query_vec")
+    want = sorted(map(tuple, vector.batched_search(emb, asked, 6, digits=6).collect()))
+    monkeypatch.setattr(vector, "BLOCK", 40)
+    kept = []
+    got = vector.search_in_jobs(emb, asked, 6, digits=6, keep=lambda df: kept.append(df) or df)
+    assert len(kept) == 2 and sorted(map(tuple, got.collect())) == want and len(want) == 354  # the zero vector has no hits
