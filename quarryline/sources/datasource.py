@@ -7,6 +7,7 @@ any store that pyarrow knows; on a cluster it must be one that all executors rea
 from __future__ import annotations
 
 import json
+import os
 import posixpath
 import sys
 import uuid
@@ -14,6 +15,7 @@ import zlib
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -29,6 +31,8 @@ TASK_BYTES, OPEN_BYTES = 64 << 20, 128 << 10
 BATCH_BYTES, BATCH_FILES = 4 << 20, 256
 #: Threads that list folders at once.
 LISTERS = 8
+#: A level of more folders is dealt to tasks by a batch read.
+DEALT = 1024
 
 
 def open_path(path: str) -> tuple[pafs.FileSystem, str]:
@@ -70,6 +74,76 @@ class Files(InputPartition):
         self.paths = tuple(json.loads(zlib.decompress(state)))
 
 
+@dataclass
+class Folders(Files):
+    """Folders whose submissions, at any depth, the task itself lists."""
+
+
+@dataclass
+class _Packed(InputPartition):
+    """Files or folders of a task as the planner holds them."""
+
+    folders: bool
+    state: bytes
+
+    def part(self) -> Files:
+        part = (Folders if self.folders else Files)(())
+        part.__setstate__(self.state)
+        return part
+
+
+def _entries(fs: pafs.FileSystem, folder: str) -> Iterator[tuple[str, bool]]:
+    """(path, is a folder) of the folders and submissions right in ``folder``; a local one is never held whole."""
+    if isinstance(fs, pafs.LocalFileSystem):
+        try:
+            with os.scandir(folder) as found:
+                yield from ((f.path, f.is_dir()) for f in found if f.is_dir() or f.name == FILE)
+        except FileNotFoundError:
+            pass
+        return
+    for f in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
+        if f.type == pafs.FileType.Directory or f.is_file and f.base_name == FILE:
+            yield f.path, not f.is_file
+
+
+def _below(fs: pafs.FileSystem, folder: str) -> list[pafs.FileInfo]:
+    return [f for f in fs.get_file_info(pafs.FileSelector(folder, recursive=True, allow_not_found=True)) if f.is_file and f.base_name == FILE]
+
+
+def _dealt(root: str) -> Iterator[Files]:
+    """Tasks for what lies below ``root``.  The first level of more than ``DEALT`` folders is dealt out as it is listed, and tasks list the rest.
+
+    So the planner holds few paths at a time besides the packed ones of the tasks.  The first folder of a task says how many go with it.
+    """
+    fs, base = open_path(root)
+    files, folders = [], [base]
+    while folders:
+        level = (x for folder in folders for x in _entries(fs, folder))
+        folders = []
+        for path, is_folder in level:
+            (folders if is_folder else files).append(path)
+            if len(folders) > DEALT:
+                break
+        if len(folders) <= DEALT:
+            continue
+        held, step = [], 0
+        for path, is_folder in chain(((x, True) for x in folders), level):
+            if not is_folder:
+                files.append(path)
+                continue
+            if not held:
+                step = max(1, TASK_BYTES // max(OPEN_BYTES, sum(f.size + OPEN_BYTES for f in _below(fs, path))))
+            held.append(path)
+            if len(held) >= step:
+                yield Folders(tuple(held))
+                held = []
+        if held:
+            yield Folders(tuple(held))
+        folders = []
+    for lo in range(0, len(files), DEALT):
+        yield from _tasks(fs.get_file_info(files[lo : lo + DEALT]))
+
+
 def _listed(root: str) -> list[pafs.FileInfo]:
     """Submissions below ``root`` by time of change; what lies below the first level of many folders is listed by threads."""
     fs, base = open_path(root)
@@ -116,10 +190,15 @@ class _BatchReader(DataSourceReader):
         self.root = root
 
     def partitions(self) -> list[Files]:
-        return _tasks(_listed(self.root)) or [Files(())]
-
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        return _read(self.root, partition)
+        packed = [(type(part), part.__getstate__()) for part in _dealt(self.root)]  # plain paths of one task at a time
+        return [_Packed(kind is Folders, state) for kind, state in packed] or [Files(())]
+
+    def read(self, partition: Files | _Packed) -> Iterator[pa.RecordBatch]:
+        part = partition.part() if isinstance(partition, _Packed) else partition
+        if isinstance(part, Folders):
+            fs, _ = open_path(self.root)
+            part = Files(tuple(f.path for folder in part.paths for f in _below(fs, folder)))
+        return _read(self.root, part)
 
 
 class _StreamReader(DataSourceStreamReader):

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarryline.operators import lexical, temporal, vector
+from quarryline.sources import datasource
 
 
 def test_overlap_join_has_tasks_by_pairs(spark, monkeypatch):
@@ -46,3 +48,22 @@ def test_vector_search_in_jobs_sends_one_block_at_a_time(spark, monkeypatch):
     kept = []
     got = vector.search_in_jobs(emb, asked, 6, digits=6, keep=lambda df: kept.append(df) or df)
     assert len(kept) == 2 and sorted(map(tuple, got.collect())) == want and len(want) == 354  # the zero vector has no hits
+
+
+def test_batch_reader_deals_folders_and_holds_no_file(tmp_path, monkeypatch):
+    """The planner lists levels of few folders only; tasks list the rest, each file once, at any depth."""
+    monkeypatch.setattr(datasource, "DEALT", 6)
+    monkeypatch.setattr(datasource, "TASK_BYTES", 4 * datasource.OPEN_BYTES + 1000)
+    paths = [f"{tmp_path}/{t}/10-K/{i:04d}/full-submission.txt" for t in "AB" for i in range(20)]
+    paths += [f"{tmp_path}/full-submission.txt", f"{tmp_path}/A/full-submission.txt", f"{tmp_path}/B/10-K/0003/more/full-submission.txt"]
+    for p in paths:
+        datasource._put(*datasource.open_path(p), p.encode())
+    datasource._put(*datasource.open_path(p), p.encode())
+    (tmp_path / "A" / "10-K" / "0000" / "other.txt").write_text("no submission")
+    reader = datasource._BatchReader(str(tmp_path))
+    monkeypatch.setattr(datasource, "_listed", lambda root: pytest.fail("the planner lists every file"))
+    parts = reader.partitions()
+    assert len(parts) > 8 and sum(p.folders for p in parts) == 10 and all(len(p.part().paths) <= 4 for p in parts)
+    got = [x.as_py() for p in parts for b in reader.read(p) for x in b.column("path")]
+    assert sorted(got) == sorted(paths)
+    assert not list(reader.read(datasource._BatchReader(f"{tmp_path}/none").partitions()[0]))
